@@ -397,7 +397,7 @@ def rankings(spec: Spec, methods: tuple[str, ...], steps: int) -> list[tuple[str
                     row_number() OVER (ORDER BY {hkey(f'shuffle:{seed}')}, row_id) AS rank, count(*) OVER () AS n_ranked
                     FROM tr WHERE is_noisy"""
             )
-    ctes.append(("rnk", " UNION ALL ".join(f"({p})" for p in parts)))
+    ctes.append(("rnk(method, seed, row_id, score, rank, n_ranked)", " UNION ALL ".join(f"({p})" for p in parts)))
     return ctes
 
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,6 +76,13 @@ def stable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_parallel(*steps: Callable[[], object], threads: int = 6) -> list:
+    """Run independent driver steps at the same time, so that their jobs share
+    the cluster instead of queueing behind one another."""
+    with ThreadPoolExecutor(max(1, min(threads, len(steps)))) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
+
+
 def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "left") -> DataFrame:
     """Join a unique-keyed lookup: broadcast when its checked size allows,
     otherwise a shuffle join that adaptive execution may split on skew."""

@@ -64,13 +64,13 @@ def harmonic(n: Column) -> Column:
     return F.when(n < 64, exact).otherwise(series)
 
 
-def yeo_johnson(x: Column, lam: float) -> Column:
-    """Yeo-Johnson power transform for one fixed lambda."""
-    up = F.log1p(x) if lam == 0.0 else (F.pow(x + 1.0, F.lit(lam)) - 1.0) / F.lit(lam)
-    down = (
-        -F.log1p(-x)
-        if lam == 2.0
-        else -(F.pow(1.0 - x, F.lit(2.0 - lam)) - 1.0) / F.lit(2.0 - lam)
+def yeo_johnson(x: Column, lam: float | Column) -> Column:
+    """Yeo-Johnson power transform; lambda is a constant or a column."""
+    lam = F.lit(float(lam)) if isinstance(lam, (int, float)) else lam
+    mirror = F.lit(2.0) - lam
+    up = F.when(F.abs(lam) < 1e-12, F.log1p(x)).otherwise((F.pow(x + 1.0, lam) - 1.0) / lam)
+    down = F.when(F.abs(mirror) < 1e-12, -F.log1p(-x)).otherwise(
+        -(F.pow(1.0 - x, mirror) - 1.0) / mirror
     )
     return F.when(x >= 0, up).otherwise(down)
 

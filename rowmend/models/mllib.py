@@ -16,7 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Spec, stable
+from ..core import Spec, in_parallel, stable
 from ..operators.sampling import stratified_folds
 from .preprocess import MedianImputer, ModeImputer, Standardizer, YeoJohnson
 
@@ -54,11 +54,13 @@ class MLModel:
 
     def oof(self, train: DataFrame, seed: int = 0) -> DataFrame:
         folded = stable(stratified_folds(train, self.n_folds, seed))
-        parts = []
-        for fold in range(self.n_folds):
+
+        def one(fold: int) -> DataFrame:
             fit_on = folded.where(F.col("fold") != fold)
             scored = self.predict(fit_on, folded.where(F.col("fold") == fold))
-            parts.append(scored.select("row_id", "y", "fold", "p1"))
+            return scored.select("row_id", "y", "fold", "p1")
+
+        parts = in_parallel(*[lambda fold=fold: one(fold) for fold in range(self.n_folds)])
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -14,7 +14,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import yeo_johnson
+from ..functions import literal_array, yeo_johnson
 from ..operators.encode import median_of, mode_of
 
 
@@ -88,27 +88,32 @@ def fit_yeo_johnson(
     the transformed column and the sum of sign(x) log1p|x|.
     """
     grid = {c: (low, high) for c in cols}
-    best = {}
+    best = {c: 1.0 for c in cols}
     for _ in range(passes):
         points = {c: [a + (b - a) * i / 8 for i in range(9)] for c, (a, b) in grid.items()}
-        aggs = [F.count(c).alias(f"n_{c}") for c in cols]
-        for c in cols:
-            x = F.col(c).cast("double")
-            aggs.append(F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"l_{c}"))
-            aggs += [
-                F.var_pop(yeo_johnson(x, lam)).alias(f"v_{c}_{i}")
-                for i, lam in enumerate(points[c])
+        # lambdas are data, so all passes run the same compiled plan
+        cells = F.array(
+            *[
+                F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x"), literal_array(points[c]).alias("ls"))
+                for c in cols
             ]
-        row = df.agg(*aggs).first()
+        )
+        long = df.select(F.explode(cells).alias("e")).where(F.col("e.x").isNotNull())
+        long = long.select("e.c", "e.x", F.posexplode("e.ls").alias("i", "lam"))
+        x = F.col("x")
+        rows = long.groupBy("c", "i").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("l"),
+            F.var_pop(yeo_johnson(x, F.col("lam"))).alias("v"),
+        )
+        found = {c: (-math.inf, None) for c in cols}
+        for r in rows.collect():  # 9 rows per column
+            if r["v"] is not None and r["v"] > 0 and not math.isinf(r["v"]):
+                loglik = -r["n"] / 2 * math.log(r["v"]) + (points[r["c"]][r["i"]] - 1) * r["l"]
+                found[r["c"]] = max(found[r["c"]], (loglik, r["i"]))
         for c in cols:
-            def loglik(i: int, c=c) -> float:
-                v = row[f"v_{c}_{i}"]
-                if v is None or not v > 0 or math.isinf(v):
-                    return -math.inf
-                return -row[f"n_{c}"] / 2 * math.log(v) + (points[c][i] - 1) * row[f"l_{c}"]
-
-            top = max(range(9), key=loglik)
-            best[c] = points[c][top] if loglik(top) > -math.inf else 1.0
+            if found[c][1] is not None:
+                best[c] = points[c][found[c][1]]
             a, b = grid[c]
             half = (b - a) / 8
             grid[c] = (max(low, best[c] - half), min(high, best[c] + half))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Spec, stable
+from ..core import Spec, in_parallel, stable
 from ..models.mllib import forest_model, logistic_model
 from ..models.naive_bayes import NaiveBayes
 from ..operators import confident, fairness, noise, repair, shapley
@@ -86,42 +85,54 @@ def rank_rows(model, train: DataFrame, val: DataFrame, methods, k: int = 1,
               shapley_steps: int | None = None) -> DataFrame:
     """All requested rankings of one corrupted training table, stacked."""
     candidates = train.where("is_noisy").select("row_id")
-    parts = []
 
-    def add(method: str, ranking: DataFrame) -> None:
+    def labelled(method: str, ranking: DataFrame) -> DataFrame:
         if "seed" not in ranking.columns:
             ranking = ranking.withColumn("seed", F.lit(SINGLE))
         if "score" not in ranking.columns:
             ranking = ranking.withColumn("score", F.lit(None).cast("double"))
-        parts.append(
-            ranking.select(
-                F.lit(method).alias("method"), F.col("seed").cast("int").alias("seed"), "row_id",
-                "score", F.col("rank").cast("long").alias("rank"), F.col("n_ranked").cast("long").alias("n_ranked"),
-            )
+        return ranking.select(
+            F.lit(method).alias("method"), F.col("seed").cast("int").alias("seed"), "row_id", "score",
+            F.col("rank").cast("long").alias("rank"), F.col("n_ranked").cast("long").alias("n_ranked"),
         )
 
-    if {"shapley", "fair_shapley"} & set(methods):
+    def by_distance() -> list[DataFrame]:
+        wanted = [m for m in ("shapley", "fair_shapley") if m in methods]
+        if not wanted:
+            return []
         apply, cols = model.space(train)
         train_space = stable(apply(train).select("row_id", "y", *cols))
-        if "shapley" in methods:
+
+        def plain() -> DataFrame:
             val_space = apply(val).select("row_id", "y", *cols)
             scores = shapley.knn_shapley(train_space, val_space, cols, "accuracy", k, shapley_steps)
-            add("shapley", shapley.rank_by_shapley(scores, candidates))
-        if "fair_shapley" in methods:
+            return labelled("shapley", shapley.rank_by_shapley(scores, candidates))
+
+        def parity() -> DataFrame:
             pred = model.predict(train, val).select("row_id", "pred")
             val_space = apply(val).select("row_id", "protected", *cols).join(pred, "row_id")
             scores = shapley.knn_shapley(train_space, val_space, cols, "parity", k, shapley_steps)
-            add("fair_shapley", shapley.rank_by_shapley(scores, candidates))
-    if "fair_heuristic" in methods:
-        add("fair_heuristic", fairness.rank_by_parity_impact(train, candidates))
-    if {"confident", "entropy"} & set(methods):
+            return labelled("fair_shapley", shapley.rank_by_shapley(scores, candidates))
+
+        return in_parallel(*[{"shapley": plain, "fair_shapley": parity}[m] for m in wanted])
+
+    def by_probability() -> list[DataFrame]:
+        wanted = [m for m in ("confident", "entropy") if m in methods]
+        if not wanted:
+            return []
         oof = stable(model.oof(train))
-        if "confident" in methods:
-            add("confident", confident.find_label_issues(oof))
-        if "entropy" in methods:
-            add("entropy", confident.rank_by_entropy(oof))
-    if "random" in methods:
-        add("random", confident.rank_random(candidates, SEEDS))
+        how = {"confident": confident.find_label_issues, "entropy": confident.rank_by_entropy}
+        return in_parallel(*[lambda m=m: labelled(m, how[m](oof)) for m in wanted])
+
+    def by_labels() -> list[DataFrame]:
+        if "fair_heuristic" not in methods:
+            return []
+        return [labelled("fair_heuristic", fairness.rank_by_parity_impact(train, candidates))]
+
+    def by_chance() -> list[DataFrame]:
+        return [labelled("random", confident.rank_random(candidates, SEEDS))] if "random" in methods else []
+
+    parts = [r for group in in_parallel(by_distance, by_probability, by_labels, by_chance) for r in group]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -206,8 +217,7 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
         return key, (got["accuracy"], got["dp_gap"])
 
     distinct = sorted({(m, s, n) if n else ("", 0, 0) for m, s, _, _, n in points})
-    with ThreadPoolExecutor(threads) as pool:
-        fitted = dict(pool.map(fit_point, distinct))
+    fitted = dict(in_parallel(*[lambda key=key: fit_point(key) for key in distinct], threads=threads))
     rows = [
         (m, s, p, n, *fitted[(m, s, n) if n else ("", 0, 0)]) for m, s, _, p, n in points
     ]
