@@ -869,3 +869,469 @@ def run_methods(spark, sf):
         NaiveBayes(ORDERS), train, split.where("split = 'val'"), experiments.RANKERS, shapley_steps=COARSE
     )
     return out.select("method", "seed", "row_id", "rank", "n_ranked")
+
+
+# ------------------------------------------------- curves of the MLlib models
+
+
+def _model_curve(spark, sf, model: str, kind: str) -> DataFrame:
+    exp = experiments.run_experiment(
+        views.docs(spark, sf), DOCS, kind, model=model, grid=[0.0, 0.5, 1.0], methods=("shapley", "random")
+    )
+    return _curve(exp)
+
+
+@query("curve_logistic")
+def curve_logistic(spark, sf):
+    return _model_curve(spark, sf, "logistic", "group_label")
+
+
+@query("curve_forest")
+def curve_forest(spark, sf):
+    return _model_curve(spark, sf, "forest", "outlier")
+
+
+# ------------------------------------------------------------ groups of rows
+
+
+def _group_sql(perms: int) -> str:
+    spec = ORDERS
+    return S.with_(
+        S.split("orders")
+        + [("tr", "SELECT * FROM sp WHERE split = 'train'"), ("val", "SELECT * FROM sp WHERE split = 'val'"), S.bin_stats(spec)]
+        + [
+            ("tb", f"SELECT segment AS grp, y, {S.bins(spec)} FROM tr, bst"),
+            ("tl", S.unpivot("tb", spec, "grp, y")),
+            ("gr", "SELECT grp, count(*) AS n_rows FROM tb GROUP BY grp"),
+            (
+                "pm",
+                f"""SELECT p, grp, n_rows, row_number() OVER (PARTITION BY p ORDER BY md5(concat_ws(':', 'perm:0', CAST(p AS VARCHAR), grp)), grp) AS pos
+                    FROM gr CROSS JOIN range(0, {perms}) r(p)""",
+            ),
+            ("pt", f"SELECT p, q AS pos FROM range(0, {perms}) r(p), range(0, (SELECT count(*) + 1 FROM gr)) s(q)"),
+            ("co", "SELECT pt.p, pt.pos, pm.grp FROM pt JOIN pm ON pm.p = pt.p AND pm.pos <= pt.pos"),
+            ("cc", "SELECT p, pos, f, v, count(*) FILTER (y = 0) AS c0, count(*) FILTER (y = 1) AS c1 FROM co JOIN tl USING (grp) GROUP BY ALL"),
+            ("cn", "SELECT p, pos, count(*) FILTER (y = 0)::DOUBLE AS n0, count(*) FILTER (y = 1)::DOUBLE AS n1 FROM co JOIN tb USING (grp) GROUP BY ALL"),
+            ("dm", "SELECT f, count(DISTINCT v)::DOUBLE AS nv FROM tl GROUP BY f"),
+            ("vb", f"SELECT row_id, y, {S.bins(spec)} FROM val, bst"),
+            ("vl", S.unpivot("vb", spec, "row_id, y")),
+            (
+                "sc",
+                """SELECT pt.p, pt.pos, l.row_id, any_value(l.y) AS y,
+                     CAST(round(sum(ln((coalesce(c1, 0) + 1.0::DOUBLE) / (coalesce(n1, 0) + nv)) - ln((coalesce(c0, 0) + 1.0::DOUBLE) / (coalesce(n0, 0) + nv)))
+                       + any_value(ln((coalesce(n1, 0) + 1.0::DOUBLE) / (coalesce(n0, 0) + 1.0::DOUBLE))), 9) > 0 AS INT) AS pred
+                   FROM pt CROSS JOIN vl l JOIN dm ON dm.f = l.f LEFT JOIN cn ON cn.p = pt.p AND cn.pos = pt.pos
+                   LEFT JOIN cc ON cc.p = pt.p AND cc.pos = pt.pos AND cc.f = l.f AND cc.v = l.v GROUP BY pt.p, pt.pos, l.row_id""",
+            ),
+            ("ut", "SELECT p, pos, avg(CAST(pred = y AS DOUBLE)) AS u FROM sc GROUP BY p, pos"),
+            ("gn", "SELECT p, pos, u - lag(u) OVER (PARTITION BY p ORDER BY pos) AS gain FROM ut"),
+        ],
+        "SELECT grp AS segment, round(avg(gain), 9) AS score, max(n_rows) AS n_rows FROM pm JOIN gn ON gn.p = pm.p AND gn.pos = pm.pos GROUP BY grp",
+    )
+
+
+@query("group_mc_shapley", _group_sql(10))
+def group_mc_shapley(spark, sf):
+    from rowmend.plans.groups import group_shapley
+
+    train, val, _ = _train_test(spark, sf, views.orders, ORDERS)
+    return group_shapley(train, val, ORDERS, "segment", n_perms=10).select("segment", R("score", 9), "n_rows")
+
+
+# ----------------------------------------------------------- provenance
+
+
+def _docs_run(spark, sf, kind, methods=None):
+    return experiments.run_experiment(
+        stable(views.docs(spark, sf)), DOCS, kind, methods=methods, shapley_steps=FINE
+    )
+
+
+def _outlier_train(spark, sf):
+    split = stable(sampling.split_rows(views.orders(spark, sf)))
+    return experiments.corrupt(split, ORDERS, "outlier", 0.2, 42)[0]
+
+
+RECORD_SQL = S.with_(
+    S.corrupted("orders", ORDERS, "outlier"),
+    """SELECT row_number() OVER (ORDER BY row_id) - 1 AS train_position, row_id AS dataset_index, is_noisy AS is_true_noisy,
+       protected AS is_protected, y_clean AS clean_label, y AS noisy_label,
+       round(price_clean, 4) AS clean_price, round(price, 4) AS noisy_price, balance FROM tr""",
+)
+
+
+def _flat(records: DataFrame) -> DataFrame:
+    return records.select(
+        "train_position", "dataset_index", "is_true_noisy", "is_protected", "clean_label", "noisy_label",
+        F.round(F.col("clean_features")[0], 4).alias("clean_price"),
+        F.round(F.col("noisy_features")[0], 4).alias("noisy_price"),
+        F.col("noisy_features")[1].alias("balance"),
+    )
+
+
+@query("train_records", RECORD_SQL)
+def train_records(spark, sf):
+    return _flat(provenance.train_records(_outlier_train(spark, sf), ORDERS))
+
+
+@query("record_sink", RECORD_SQL)
+def record_sink(spark, sf):
+    records = provenance.train_records(_outlier_train(spark, sf), ORDERS)
+    path = scratch(spark, "records")
+    store.write_records(records, path)
+    return _flat(spark.read.schema(records.schema).json(path))
+
+
+CACHE = S.corrupted("orders", ORDERS, "group_label") + S.rankings(ORDERS, ("confident", "entropy", "random"), COARSE)
+
+
+def _order_rankings(spark, sf):
+    split = stable(sampling.split_rows(views.orders(spark, sf)))
+    train, _ = experiments.corrupt(split, ORDERS, "group_label", 0.2, 42)
+    methods = ("confident", "entropy", "random")
+    return stable(experiments.rank_rows(NaiveBayes(ORDERS), train, split.where("split = 'val'"), methods))
+
+
+@query(
+    "cleaned_cache",
+    S.with_(
+        CACHE,
+        """SELECT method, seed, row_id, rank, round(min(g * 0.05::DOUBLE), 2) AS min_proportion FROM rnk, range(0, 21) r(g)
+           WHERE rank <= floor(g * 0.05::DOUBLE * n_ranked) GROUP BY method, seed, row_id, rank""",
+    ),
+)
+def cleaned_cache(spark, sf):
+    cache = provenance.cleaned_cache(_order_rankings(spark, sf), repair.proportion_grid())
+    return cache.withColumn("min_proportion", F.round("min_proportion", 2))
+
+
+@query(
+    "prefix_sizes",
+    S.with_(
+        CACHE,
+        """SELECT method, seed, round(g * 0.05::DOUBLE, 2) AS proportion, CAST(floor(g * 0.05::DOUBLE * max(n_ranked)) AS BIGINT) AS n_cleaned
+           FROM rnk, range(0, 21) r(g) GROUP BY method, seed, g""",
+    ),
+)
+def prefix_sizes(spark, sf):
+    out = provenance.prefix_sizes(_order_rankings(spark, sf), repair.proportion_grid())
+    return out.withColumn("proportion", F.round("proportion", 2))
+
+
+@query(
+    "overlap_summary",
+    S.with_(
+        CACHE
+        + [
+            ("gg", "SELECT g, g * 0.05::DOUBLE AS p FROM range(0, 21) r(g)"),
+            ("a", "SELECT g, row_id FROM rnk, gg WHERE method = 'entropy' AND rank <= floor(p * n_ranked)"),
+            ("b", "SELECT g, row_id FROM rnk, gg WHERE method = 'confident' AND rank <= floor(p * n_ranked)"),
+        ],
+        """SELECT round(p, 2) AS proportion, na AS entropy_count, nb AS confident_count, ni AS intersection_count,
+             round(CASE WHEN na + nb - ni > 0 THEN ni / (na + nb - ni)::DOUBLE ELSE 0 END, 9) AS jaccard
+           FROM (SELECT gg.p, (SELECT count(*) FROM a WHERE a.g = gg.g) AS na, (SELECT count(*) FROM b WHERE b.g = gg.g) AS nb,
+                   (SELECT count(*) FROM a JOIN b ON a.g = b.g AND a.row_id = b.row_id WHERE a.g = gg.g) AS ni FROM gg)""",
+    ),
+)
+def overlap_summary(spark, sf):
+    out = provenance.overlap_summary(_order_rankings(spark, sf), repair.proportion_grid(), "entropy", "confident")
+    return out.withColumns({"proportion": F.round("proportion", 2), "jaccard": F.round("jaccard", 9)})
+
+
+@query("summary_sink")
+def summary_sink(spark, sf):
+    path = scratch(spark, "summary")
+    exp = _docs_run(spark, sf, "outlier", ("shapley", "random"))
+    summary = provenance.experiment_summary(exp, "docs")
+    store.write_summary(summary, path)
+    return spark.read.schema(summary.schema).json(path)
+
+
+# --------------------------------------------------------------- reports
+
+KINDS = ("outlier", "random_label", "group_label", "group_missing", "no_noise", "outlier_removal")
+_STORES: dict[tuple[str, str], str] = {}
+
+
+def _curves(spark, sf) -> DataFrame:
+    """Curves of all noise types on the documents, written to the result
+    store once per session and read back by every report."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORES:
+        path = scratch(spark, "curves")
+        frame = stable(views.docs(spark, sf))
+        for kind in KINDS:
+            exp = experiments.run_experiment(frame, DOCS, kind, shapley_steps=FINE)
+            store.write_table(store.tagged(exp.curve, "docs", kind, "nb"), path)
+        _STORES[key] = path
+    return store.read_curves(spark, _STORES[key])
+
+
+def _all_curves_sql() -> list[tuple[str, str]]:
+    parts = []
+    for kind in KINDS:
+        one = S.with_(S.experiment("docs", DOCS, kind, FINE), "SELECT * FROM crv")
+        parts.append(f"SELECT 'docs' AS dataset, '{kind}' AS noise_type, 'nb' AS model, x.* FROM ({one}) x")
+    return [("c", " UNION ALL ".join(parts))]
+
+
+FINALS = _all_curves_sql() + [
+    ("mc", "SELECT dataset, noise_type, model, method, proportion, avg(accuracy) AS accuracy, avg(dp_gap) AS dp_gap FROM c GROUP BY ALL"),
+    (
+        "fin",
+        """SELECT dataset, noise_type, model, method, min_by(accuracy, proportion) AS baseline, max_by(accuracy, proportion) AS final,
+             min_by(dp_gap, proportion) AS baseline_dp, max_by(dp_gap, proportion) AS final_dp FROM mc GROUP BY ALL""",
+    ),
+]
+K = "dataset, noise_type, model"
+
+
+def _wide_sql(methods, value: str, base: str, base_name: str, digits: int = 4) -> str:
+    cols = ", ".join(f"round(max({value}) FILTER (method = '{m}'), {digits}) AS {m}" for m in methods)
+    return f"SELECT {K}, round(max({base}), {digits}) AS {base_name}, {cols} FROM fin GROUP BY {K}"
+
+
+BEST = [
+    ("cand", f"SELECT *, round(final, 9) AS f9, list_position(['shapley', 'confident', 'entropy', 'random'], method) AS o FROM fin WHERE method IN ('shapley', 'confident', 'entropy', 'random') AND final IS NOT NULL"),
+    ("best", f"SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY f9 DESC, o) AS r FROM cand"),
+    ("bst1", f"SELECT {K}, method AS best, round(f9, 4) AS best_accuracy, round(f9 - baseline, 6) AS gain FROM best WHERE r = 1"),
+]
+
+
+@query("curves_from_store", S.with_(_all_curves_sql(), f"SELECT {K}, {CURVE_COLS} FROM c"))
+def curves_from_store(spark, sf):
+    c = _curves(spark, sf)
+    return c.select(*reports.KEYS, "method", "seed", R("proportion", 2), "n_cleaned", R("accuracy", 9), R("dp_gap", 9))
+
+
+@query("experiment_summary", S.with_(FINALS, _wide_sql(reports.ALL_METHODS, "final", "baseline", "baseline")))
+def experiment_summary(spark, sf):
+    return reports.experiment_summary(_curves(spark, sf))
+
+
+@query("best_method", S.with_(FINALS + BEST, f"SELECT {K}, best, best_accuracy, gain FROM bst1"))
+def best_method(spark, sf):
+    return reports.best_method(_curves(spark, sf))
+
+
+@query(
+    "improvement_heatmap",
+    S.with_(
+        FINALS,
+        "SELECT dataset, noise_type, "
+        + ", ".join(f"round(avg(final - baseline) FILTER (method = '{m}'), 6) AS {m}" for m in ("shapley", "confident", "entropy"))
+        + " FROM fin WHERE baseline > 0 AND final IS NOT NULL GROUP BY dataset, noise_type",
+    ),
+)
+def improvement_heatmap(spark, sf):
+    return reports.improvement_heatmap(_curves(spark, sf))
+
+
+@query(
+    "accuracy_table",
+    S.with_(
+        FINALS + BEST + [("wide", _wide_sql(reports.METHODS, "final", "baseline", "baseline"))],
+        f"SELECT wide.*, best FROM wide LEFT JOIN bst1 USING ({K})",
+    ),
+)
+def accuracy_table(spark, sf):
+    return reports.accuracy_table(_curves(spark, sf))
+
+
+@query(
+    "top_gains",
+    S.with_(FINALS + BEST, f"SELECT {K}, best, best_accuracy, gain FROM bst1 WHERE gain > -0.5 ORDER BY gain DESC, {K} LIMIT 4"),
+)
+def top_gains(spark, sf):
+    return reports.top_gains(_curves(spark, sf), min_gain=-0.5, limit=4)
+
+
+@query(
+    "outlier_focus",
+    S.with_(
+        FINALS,
+        """SELECT dataset, model, round(max(baseline) FILTER (noise_type = 'outlier'), 4) AS baseline,
+           round(max(final) FILTER (noise_type = 'outlier' AND method = 'shapley'), 4) AS cap_final,
+           round(max(final) FILTER (noise_type = 'outlier_removal' AND method = 'shapley'), 4) AS removal_final,
+           round(max(final) FILTER (noise_type = 'outlier' AND method = 'random'), 4) AS random_final FROM fin GROUP BY dataset, model""",
+    ),
+)
+def outlier_focus(spark, sf):
+    return reports.outlier_focus(_curves(spark, sf))
+
+
+@query(
+    "no_noise_summary",
+    S.with_(
+        _all_curves_sql()
+        + [
+            ("n", "SELECT dataset, model, method, proportion, avg(accuracy) AS a, stddev_pop(accuracy) AS s FROM c WHERE noise_type = 'no_noise' GROUP BY ALL"),
+            (
+                "w",
+                """SELECT dataset, model, proportion, round(max(a) FILTER (method = 'shapley'), 6) AS shapley,
+                   round(max(a) FILTER (method = 'confident'), 6) AS confident, round(max(a) FILTER (method = 'entropy'), 6) AS entropy,
+                   round(max(a) FILTER (method = 'random'), 6) AS random_mean, round(max(s) FILTER (method = 'random'), 6) AS random_std
+                   FROM n GROUP BY ALL""",
+            ),
+        ],
+        "SELECT * REPLACE (round(proportion, 2) AS proportion), first_value(shapley) OVER (PARTITION BY dataset, model ORDER BY proportion) AS baseline FROM w",
+    ),
+)
+def no_noise_summary(spark, sf):
+    return reports.no_noise_summary(_curves(spark, sf)).withColumn("proportion", F.round("proportion", 2))
+
+
+@query("dp_summary", S.with_(FINALS, _wide_sql(reports.ALL_METHODS, "final_dp", "baseline_dp", "baseline_dp")))
+def dp_summary(spark, sf):
+    return reports.dp_summary(_curves(spark, sf))
+
+
+# -------------------------------------------------------------- variants
+
+OTSU = OOF + S.issues() + [
+    ("mo", "SELECT count(*) AS n, avg(score) AS m, median(score) AS med FROM iss"),
+    ("mm", "SELECT avg(pow(score - m, 2)) AS m2, avg(pow(score - m, 3)) AS m3, avg(pow(score - m, 4)) AS m4 FROM iss, mo"),
+    ("bc", "SELECT (m3 * m3 / (m2 * m2 * m2) + 1) / (m4 / (m2 * m2)) AS bc FROM mm"),
+    ("hb", "SELECT least(CAST(floor(score * 256) AS BIGINT), 255) AS bin, count(*) AS n FROM iss GROUP BY 1"),
+    (
+        "sp2",
+        """SELECT h.bin, (SELECT sum(n) FROM hb x WHERE x.bin <= h.bin)::DOUBLE AS n0, (SELECT sum(n) FROM hb x WHERE x.bin > h.bin)::DOUBLE AS n1,
+             (SELECT sum(n * (bin + 0.5::DOUBLE) / 256) FROM hb x WHERE x.bin <= h.bin) AS s0,
+             (SELECT sum(n * (bin + 0.5::DOUBLE) / 256) FROM hb x WHERE x.bin > h.bin) AS s1 FROM hb h""",
+    ),
+    ("ot", "SELECT (bin + 1) / 256.0::DOUBLE AS otsu FROM sp2 WHERE n1 > 0 ORDER BY round(n0 / (n0 + n1) * n1 / (n0 + n1) * pow(s0 / n0 - s1 / n1, 2), 12) DESC, bin LIMIT 1"),
+    ("thr", "SELECT CASE WHEN bc > 5.0::DOUBLE / 9 THEN otsu ELSE med END AS threshold, otsu, med AS median, bc FROM mo, bc, ot"),
+]
+
+
+@query("otsu_threshold", S.with_(OTSU, "SELECT round(threshold, 6) AS threshold, round(otsu, 6) AS otsu, round(median, 6) AS median, round(bc, 6) AS bc FROM thr"))
+def otsu_threshold(spark, sf):
+    from rowmend.plans.variants import otsu_threshold
+
+    flagged = stable(confident.find_label_issues(_order_oof(spark, sf)))
+    return otsu_threshold(flagged).select(R("threshold"), R("otsu"), R("median"), R("bc"))
+
+
+@query(
+    "adaptive_route",
+    S.with_(
+        OTSU,
+        """SELECT v.row_id, CASE WHEN i.row_id IS NOT NULL THEN 1 - v.y ELSE v.y END AS y FROM v LEFT JOIN iss i ON i.row_id = v.row_id
+           WHERE i.row_id IS NULL OR i.score >= (SELECT threshold FROM thr)""",
+    ),
+)
+def adaptive_route(spark, sf):
+    from rowmend.plans import variants
+
+    flagged = stable(confident.find_label_issues(_order_oof(spark, sf)))
+    threshold = variants.otsu_threshold(flagged).first()["threshold"]
+    out = variants.adaptive_route(views.orders(spark, sf), flagged, threshold, repair.action_flip())
+    return out.select("row_id", "y")
+
+
+def _ref(table: str, id_col: str, n: int, salt: str, out: str) -> tuple[str, str]:
+    return (out, f"SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {S.hkey(salt, id_col)}, {id_col}) AS rr FROM {table}) WHERE rr <= {n}")
+
+
+KERNEL = S.corrupted("orders", ORDERS, "outlier") + S.space(ORDERS) + [
+    _ref("v_sp", "vid", 500, "kval:0", "kv"),
+    _ref("t_sp", "row_id", 2000, "ktrain:0", "kt"),
+    ("k1", "SELECT t.row_id, avg(exp(-0.5::DOUBLE * (pow(t.z0 - w.z0, 2) + pow(t.z1 - w.z1, 2)))) AS s FROM t_sp t, kv w GROUP BY t.row_id"),
+    ("k2", "SELECT t.row_id, avg(exp(-0.5::DOUBLE * (pow(t.z0 - w.z0, 2) + pow(t.z1 - w.z1, 2)))) AS s FROM t_sp t, kt w GROUP BY t.row_id"),
+    ("ks", "SELECT row_id, k1.s - k2.s AS similarity FROM k1 JOIN k2 USING (row_id)"),
+]
+
+
+@query("kernel_similarity", S.with_(KERNEL, "SELECT row_id, round(similarity, 8) AS similarity FROM ks"))
+def kernel_similarity(spark, sf):
+    from rowmend.plans.variants import kernel_similarity
+
+    _, train, val, apply, cols = _order_space(spark, sf, "outlier")
+    return kernel_similarity(apply(train), apply(val), cols).select("row_id", R("similarity", 8))
+
+
+@query(
+    "kernel_rank",
+    S.with_(
+        KERNEL + [("bst", "SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in ORDERS.num) + " FROM val")]
+        + S.predictions(ORDERS, "val", "tr", "vp")
+        + [
+            (
+                "kb",
+                """SELECT row_id, round(0.97::DOUBLE * similarity + (1 - 0.97::DOUBLE) * round(CASE WHEN y = 1 THEN p1 ELSE 1.0::DOUBLE - p1 END, 9), 12) AS score
+                   FROM ks JOIN vp USING (row_id) JOIN tr USING (row_id)""",
+            ),
+            S.ranked("kb", "score", "r", where=S.NOISY_IDS),
+        ],
+        "SELECT row_id, round(score, 8) AS score, rank, n_ranked FROM r",
+    ),
+)
+def kernel_rank(spark, sf):
+    from rowmend.plans import variants
+
+    model, train, val, apply, cols = _order_space(spark, sf, "outlier")
+    similarity = variants.kernel_similarity(apply(train), apply(val), cols)
+    candidates = train.where("is_noisy").select("row_id")
+    own = confident.self_confidence(model.predict(val, train)).join(candidates, "row_id", "left_semi")
+    return variants.kernel_rank(similarity, own.select("row_id", "conf")).select("row_id", R("score", 8), "rank", "n_ranked")
+
+
+HYBRID = (
+    S.corrupted("docs", DOCS, "group_label") + [S.bin_stats(DOCS)] + S.space(DOCS) + S.pairs(3, FINE)
+    + S.shapley_values(S.ACC_UTIL) + S.oof(DOCS) + S.issues()
+    + [
+        ("hc", f"SELECT s.row_id, -s.score AS a, 1 - cf.conf AS b FROM shap s JOIN cf ON cf.row_id = s.row_id WHERE s.{S.NOISY_IDS}"),
+        ("hl", "SELECT min(a) AS la, max(a) AS ha, min(b) AS lb, max(b) AS hb FROM hc"),
+        (
+            "hs",
+            """SELECT row_id, round(0.5::DOUBLE * CASE WHEN ha > la THEN (a - la) / (ha - la) ELSE 0 END
+                 + (1 - 0.5::DOUBLE) * CASE WHEN hb > lb THEN (b - lb) / (hb - lb) ELSE 0 END, 9) AS score FROM hc, hl""",
+        ),
+        S.ranked("hs", "score", "r", True),
+    ]
+)
+
+
+@query("hybrid_rank", S.with_(HYBRID, "SELECT row_id, round(score, 6) AS score, rank, n_ranked FROM r"))
+def hybrid_rank(spark, sf):
+    from rowmend.plans.variants import hybrid_rank
+
+    split = stable(sampling.split_rows(views.docs(spark, sf)))
+    train, _ = experiments.corrupt(split, DOCS, "group_label", 0.2, 42)
+    model = NaiveBayes(DOCS)
+    apply, cols = model.space(train)
+    scores = shapley.knn_shapley(apply(train), apply(split.where("split = 'val'")), cols, steps=FINE)
+    own = confident.self_confidence(model.oof(train))
+    out = hybrid_rank(scores, own, train.where("is_noisy"))
+    return out.select("row_id", R("score"), "rank", "n_ranked")
+
+
+@query(
+    "detect_noise_type",
+    S.with_(
+        S.corrupted("orders", ORDERS, "outlier") + [S.bin_stats(ORDERS)] + S.space(ORDERS) + S.oof(ORDERS) + S.issues()
+        + [
+            ("dr", "SELECT row_id, row_number() OVER (ORDER BY conf, row_id) <= floor(0.2::DOUBLE * count(*) OVER ()) AS fl FROM cf"),
+            ("dz", "SELECT t.*, fl FROM t_sp t JOIN dr ON dr.row_id = t.row_id"),
+            (
+                "da",
+                """SELECT avg(CAST(abs(z0) > 3 OR abs(z1) > 3 AS DOUBLE)) FILTER (fl) AS anomaly,
+                     1 - (var_pop(z0) FILTER (fl) + var_pop(z1) FILTER (fl)) / (var_pop(z0) + var_pop(z1)) AS clustering FROM dz""",
+            ),
+            (
+                "dn",
+                """SELECT *, CASE WHEN anomaly >= 0.25 THEN CASE WHEN clustering < 0.30 THEN 'outlier' ELSE 'group_missing' END
+                     ELSE CASE WHEN clustering >= 0.30 THEN 'group_label' ELSE 'random_label' END END AS noise_type FROM da""",
+            ),
+        ],
+        """SELECT round(anomaly, 6) AS anomaly, round(clustering, 6) AS clustering, noise_type,
+           CASE noise_type WHEN 'outlier' THEN 'kernel' WHEN 'group_label' THEN 'shapley' ELSE 'confident' END AS ranker FROM dn""",
+    ),
+)
+def detect_noise_type(spark, sf):
+    from rowmend.plans.variants import detect_noise_type
+
+    model, train, _, apply, cols = _order_space(spark, sf, "outlier")
+    own = confident.self_confidence(model.oof(train))
+    out = detect_noise_type(apply(train), own, cols)
+    return out.select(R("anomaly"), R("clustering"), "noise_type", "ranker")

@@ -271,29 +271,7 @@ class NaiveBayes:
             .select("gid", "f", "v", "d0", "d1")
         )
         so_far = stable(so_far)
-        domain = _domain_sizes(base.select("f", "v").unionByName(so_far.select("f", "v")))
-        base_rows, moved_rows = _rows_per_feature(base), _rows_per_feature(so_far)
-
-        # test rows with equal bins share one prediction
-        cells = (
-            test.select("y", "protected", *binner.columns())
-            .groupBy("y", "protected", *names)
-            .agg(F.count(F.lit(1)).alias("w"))
-        )
-        for i, n in enumerate(names):
-            cells = _look_up(cells, base, i, n, [], ["c0", "c1"], base_rows.get(i, 0))
-        scored = cells.withColumn("gid", F.explode(F.sequence(F.lit(0), F.lit(len(totals) - 1))))
-        scored = scored.join(F.broadcast(table), "gid")
-        lo = F.lit(0.0)
-        for i, n in enumerate(names):
-            scored = _look_up(scored, so_far, i, n, ["gid"], ["d0", "d1"], moved_rows.get(i, 0))
-            c0, c1 = (
-                F.coalesce(F.col(f"_c{k}{i}"), F.lit(0)) + F.coalesce(F.col(f"_d{k}{i}"), F.lit(0))
-                for k in (0, 1)
-            )
-            lo = lo + log_odds(c0, c1, F.col("n0"), F.col("n1"), F.lit(float(domain.get(i, 1))))
-        scored = scored.withColumn("lo", lo)
-        scored = _with_prediction(scored, prior_log_odds(F.col("n0"), F.col("n1")))
+        scored = score_points(binner, test, table, len(totals), so_far, base)
         w = F.col("w")
         ok = (F.min("n0") > 0) & (F.min("n1") > 0)
         return scored.groupBy(*keys, "g").agg(
@@ -302,6 +280,42 @@ class NaiveBayes:
         )
 
 
+def score_points(binner: Binner, rows: DataFrame, points: DataFrame, n_points: int,
+                 changes: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Predictions of many models for the same rows.
+
+    ``points`` is a small table (gid, n0, n1, ...), one row per model with its
+    label totals; ``changes`` (gid, f, v, d0, d1) are the feature counts of a
+    model, on top of the counts ``base`` (f, v, c0, c1) all models share.  Rows
+    with equal bins share one prediction and carry their number in ``w``.
+    """
+    names = binner.names
+    cells = (
+        rows.select("y", "protected", *binner.columns())
+        .groupBy("y", "protected", *names)
+        .agg(F.count(F.lit(1)).alias("w"))
+    )
+    change_rows = _rows_per_feature(changes)
+    if base is None:
+        domain = _domain_sizes(changes.select("f", "v"))
+    else:
+        domain = _domain_sizes(base.select("f", "v").unionByName(changes.select("f", "v")))
+        base_rows = _rows_per_feature(base)
+        for i, n in enumerate(names):
+            cells = _look_up(cells, base, i, n, [], ["c0", "c1"], base_rows.get(i, 0))
+    scored = cells.withColumn("gid", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))))
+    scored = scored.join(F.broadcast(points), "gid")
+    lo = F.lit(0.0)
+    for i, n in enumerate(names):
+        scored = _look_up(scored, changes, i, n, ["gid"], ["d0", "d1"], change_rows.get(i, 0))
+        c0, c1 = (F.coalesce(F.col(f"_d{k}{i}"), F.lit(0)) for k in (0, 1))
+        if base is not None:
+            c0 = c0 + F.coalesce(F.col(f"_c0{i}"), F.lit(0))
+            c1 = c1 + F.coalesce(F.col(f"_c1{i}"), F.lit(0))
+        lo = lo + log_odds(c0, c1, F.col("n0"), F.col("n1"), F.lit(float(domain.get(i, 1))))
+    return _with_prediction(scored.withColumn("lo", lo), prior_log_odds(F.col("n0"), F.col("n1")))
+
+
 def _with_prediction(scored: DataFrame, prior: Column) -> DataFrame:
     """p1 and the hard label; evidence is compared at nine decimals."""
     total = F.col("lo") + prior

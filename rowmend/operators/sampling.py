@@ -58,6 +58,12 @@ def exact_sample(
     return chosen if where is None else F.coalesce(where, F.lit(False)) & chosen
 
 
+def exact_first(df: DataFrame, n: int, salt: str) -> Column:
+    """Predicate for n rows of ``df`` in a random order (all when fewer)."""
+    _, (cut,) = first_rows(df, salt, lambda total: [min(n, total)])
+    return cut.holds(salt)
+
+
 def stratified_folds(df: DataFrame, n_folds: int = 5, seed: int = 0) -> DataFrame:
     """Add ``fold``: every label is dealt round-robin over the folds, in hash
     order, so fold sizes per label differ by at most one."""

@@ -38,7 +38,6 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import stable
 from ..functions import harmonic
 from .ranking import score_rank
 
@@ -284,18 +283,3 @@ def rank_by_shapley(scores: DataFrame, candidates: DataFrame | None = None) -> D
         candidates.select("row_id"), "row_id", "left_semi"
     )
     return score_rank(pool.withColumn("score", F.round("score", 12)), "score", total_col="n_ranked")
-
-
-def permuted_groups(groups: DataFrame, group: str, n_perms: int, seed: int = 0) -> DataFrame:
-    """``n_perms`` random orders of a group table, as (perm, group, position)."""
-    perms = groups.select(group).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
-    h = F.md5(
-        F.concat_ws(":", F.lit(f"perm:{seed}"), F.col("perm").cast("string"), F.col(group).cast("string")).cast("binary")
-    )
-    order = Window.partitionBy("perm").orderBy(h, group)
-    return perms.withColumn("position", F.row_number().over(order))
-
-
-def stable_scores(scores: DataFrame) -> DataFrame:
-    """Scores written once, for rankings and blends that read them again."""
-    return stable(scores)
