@@ -187,7 +187,7 @@ def row_provenance(spark, sf):
 )
 def global_rank(spark, sf):
     lines = views.lines(spark, sf).select("row_id", "price")
-    return ranking.score_rank(lines, "price", rows_per_bucket=5_000).select("row_id", "rank")
+    return ranking.score_rank(lines, "price", rows_per_bucket=50_000).select("row_id", "rank")
 
 
 @query(
@@ -196,7 +196,7 @@ def global_rank(spark, sf):
 )
 def global_rank_ties(spark, sf):
     lines = views.lines(spark, sf).select("row_id", "discount")
-    return ranking.score_rank(lines, "discount", descending=True, rows_per_bucket=1_000).select("row_id", "rank")
+    return ranking.score_rank(lines, "discount", descending=True, rows_per_bucket=20_000).select("row_id", "rank")
 
 
 @query(

@@ -226,15 +226,23 @@ class NaiveBayes:
         base = stable(long_counts(train.select("y", *binner.columns()), names, []))
         first = base.where("f = 0").agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1")).first()
 
-        inside = moves.where(F.col("b") < points)
-        before = inside.select(*keys, "b", "y", *binner.columns(), F.lit(-1).alias("w"))
-        after = inside.where("keep_after").select(
-            *keys, "b", F.col("y_after").alias("y"),
-            *[binner.value(c, F.col(f"{c}_after")).alias(n) for c, n in zip(self.spec.features, names)],
-            F.lit(1).alias("w"),
+        # every move takes the row out as it was and puts it back repaired
+        after = [
+            binner.value(c, F.col(f"{c}_after")).alias(n) for c, n in zip(self.spec.features, names)
+        ]
+        both = F.array(
+            F.struct(F.lit(-1).alias("w"), F.col("y").cast("int").alias("y"), *binner.columns()),
+            F.struct(
+                F.col("keep_after").cast("int").alias("w"), F.col("y_after").cast("int").alias("y"), *after
+            ),
         )
         # net change per grid point and distinct row content
-        delta = before.unionByName(after).groupBy(*keys, "b", "y", *names).agg(F.sum("w").alias("w"))
+        delta = (
+            moves.where(F.col("b") < points)
+            .select(*keys, "b", F.inline(both))
+            .groupBy(*keys, "b", "y", *names)
+            .agg(F.sum("w").alias("w"))
+        )
         delta = stable(delta.where("w <> 0"))
 
         # label totals at every grid point: |series| x |grid| numbers

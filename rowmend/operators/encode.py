@@ -62,10 +62,71 @@ def frame_columns(df: DataFrame, drop: Sequence[str]) -> DataFrame:
     return df.drop(*drop)
 
 
-def median_of(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """Exact medians in one pass."""
-    row = df.agg(*[F.median(c).alias(c) for c in cols]).first()
-    return {c: row[c] for c in cols}
+def median_of(df: DataFrame, cols: Sequence[str], collect_rows: int = 50_000) -> dict[str, float | None]:
+    """Exact medians of several columns.
+
+    A sketch brackets the middle, the rows below the bracket are counted, and
+    only the few distinct values inside it are read.  A bracket that still
+    holds too many rows is narrowed by another sketch.  The built-in exact
+    median would hold every distinct value of a column in one task.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+    sketch = "array(0.49D, 0.51D)"
+
+    def approx(c: str, inside: Column, share: str = sketch) -> Column:
+        return F.percentile_approx(F.when(inside, x[c]), F.expr(share), F.lit(10_000))
+
+    first = df.agg(
+        *[F.count(x[c]).alias(f"n_{c}") for c in cols],
+        *[approx(c, x[c].isNotNull()).alias(f"q_{c}") for c in cols],
+    ).first()
+    n = {c: first[f"n_{c}"] for c in cols}
+    bracket = {c: tuple(first[f"q_{c}"]) for c in cols if n[c]}
+    below: dict[str, int] = {}
+    open_cols = list(bracket)
+    while open_cols:
+        inside = {c: x[c].between(*bracket[c]) for c in open_cols}
+        row = df.agg(
+            *[F.count_if(x[c] < bracket[c][0]).alias(f"b_{c}") for c in open_cols],
+            *[F.count_if(inside[c]).alias(f"i_{c}") for c in open_cols],
+        ).first()
+        wide = []
+        for c in open_cols:
+            below[c] = row[f"b_{c}"]
+            if row[f"i_{c}"] > collect_rows and bracket[c][0] < bracket[c][1]:
+                wide.append((c, ((n[c] - 1) // 2 - below[c]) / row[f"i_{c}"]))
+        if not wide:
+            break
+        shares = {c: f"array({max(0.0, p - 0.01)!r}D, {min(1.0, p + 0.01)!r}D)" for c, p in wide}
+        narrower = df.agg(*[approx(c, inside[c], shares[c]).alias(c) for c, _ in wide]).first()
+        open_cols = [c for c, _ in wide if tuple(narrower[c]) != bracket[c]]
+        for c in open_cols:
+            bracket[c] = tuple(narrower[c])
+    values: dict[str, list[tuple[float, int]]] = {c: [] for c in cols}
+    if bracket:
+        cells = F.array(
+            *[F.struct(F.lit(c).alias("c"), F.when(x[c].between(*bracket[c]), x[c]).alias("x")) for c in bracket]
+        )
+        long = df.select(F.explode(cells).alias("e")).select("e.c", "e.x").where(F.col("x").isNotNull())
+        for r in long.groupBy("c", "x").count().collect():
+            values[r["c"]].append((r["x"], r["count"]))
+
+    def at(c: str, index: int) -> float:
+        index -= below[c]
+        for v, count in sorted(values[c]):
+            if index < count:
+                return v
+            index -= count
+        raise ValueError(f"the rows of {c} changed between two passes")
+
+    out = {}
+    for c in cols:
+        if not n[c]:
+            out[c] = None
+            continue
+        low, high = at(c, (n[c] - 1) // 2), at(c, n[c] // 2)
+        out[c] = low if low == high else (low + high) / 2
+    return out
 
 
 def mode_of(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:

@@ -26,11 +26,14 @@ COLLECT_ROWS = 50_000  # a boundary bucket is read by the driver only below this
 
 @dataclass(frozen=True)
 class Cut:
-    """The first ``size`` rows in (order key, row_id) order."""
+    """The first ``size`` rows in order-key order.
+
+    Ids are unique and the key is 128 bits long, so the key of the last row is
+    enough; a single comparison also keeps the digest to one per row.
+    """
 
     size: int
     key: str | None = None
-    row_id: int | None = None
     everything: bool = False
 
     def holds(self, salt: str, row_id: str = "row_id") -> Column:
@@ -38,8 +41,7 @@ class Cut:
             return F.lit(True)
         if self.key is None:
             return F.lit(False)
-        h = order_key(salt, row_id)
-        return (h < self.key) | ((h == self.key) & (F.col(row_id) <= self.row_id))
+        return order_key(salt, row_id) <= self.key
 
 
 def first_rows(
@@ -84,14 +86,14 @@ def first_rows(
         wanted = F.lit(False)
         for bucket, _ in at.values():
             wanted = wanted | F.col("h").startswith(bucket)
-        rows = sorted((r["h"], r["row_id"]) for r in keyed.where(wanted).collect())
+        rows = sorted(r["h"] for r in keyed.where(wanted).select("h").collect())
         for k, (bucket, rest) in at.items():
-            found[k] = [r for r in rows if r[0].startswith(bucket)][rest - 1]
+            found[k] = [h for h in rows if h.startswith(bucket)][rest - 1]
 
     def cut(k: int) -> Cut:
         if k <= 0:
             return Cut(0)
-        return Cut(k, *found[k]) if k < total else Cut(total, everything=True)
+        return Cut(k, found[k]) if k < total else Cut(total, everything=True)
 
     return total, [cut(k) for k in sizes_wanted]
 
@@ -128,6 +130,20 @@ def hash_rank(
 # ------------------------------------------------------------- score ranks
 
 
+def edges_below(edges: Sequence, value: Column, dtype: str) -> Column:
+    """Number of sorted constant edges below a value, searched in two levels:
+    first the blocks, then one block."""
+    if not edges:
+        return F.lit(0)
+    step = max(1, round(len(edges) ** 0.5))
+    if len(edges) <= 32:
+        return F.size(F.filter(literal_array(edges, dtype), lambda e: e < value))
+    block_ends = literal_array(edges[step - 1 :: step], dtype)
+    skipped = F.size(F.filter(block_ends, lambda e: e < value)) * step
+    block = F.slice(literal_array(edges, dtype), skipped + 1, F.lit(step))
+    return skipped + F.size(F.filter(block, lambda e: e < value))
+
+
 def score_rank(
     df: DataFrame,
     score: str,
@@ -159,15 +175,14 @@ def score_rank(
     s_edges = sorted(set(s_all))
     r_edges = sorted({stats["r"][i] for i in picked}) if n else []
 
-    def below(edges, value: Column, dtype: str) -> Column:
-        if not edges:
-            return F.lit(0)
-        return F.size(F.filter(literal_array(edges, dtype), lambda e: e < value))
+    frame = frame.withColumn("_i", edges_below(s_edges, F.col("_s"), "double"))
+    # get() is NULL past the last edge
+    at_edge = F.get(literal_array(s_edges), F.col("_i")) if s_edges else F.lit(None)
+    on_edge = F.coalesce(at_edge == F.col("_s"), F.lit(False))
 
-    on_edge = F.array_contains(literal_array(s_edges), F.col("_s")) if s_edges else F.lit(False)
     frame = frame.withColumn(
-        "_b", below(s_edges, F.col("_s"), "double") * 2 + on_edge.cast("int")
-    ).withColumn("_c", F.when(on_edge, below(r_edges, F.col("row_id"), "bigint")).otherwise(0))
+        "_b", F.col("_i") * 2 + on_edge.cast("int")
+    ).withColumn("_c", F.when(on_edge, edges_below(r_edges, F.col("row_id"), "bigint")).otherwise(0))
 
     before = (
         Window.partitionBy(*(groups or [F.lit(0)]))
@@ -183,6 +198,6 @@ def score_rank(
     out = (
         frame.join(F.broadcast(offsets), [*groups, "_b", "_c"])
         .withColumn(rank_col, F.col("_off") + F.row_number().over(inside))
-        .drop("_s", "_b", "_c", "_off")
+        .drop("_s", "_i", "_b", "_c", "_off")
     )
     return out.withColumn(total_col, F.lit(n).cast("long")) if total_col else out
