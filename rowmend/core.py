@@ -83,13 +83,6 @@ def in_parallel(*steps: Callable[[], object], threads: int = 6) -> list:
         return [f.result() for f in [pool.submit(s) for s in steps]]
 
 
-def join_lookup(df: DataFrame, lookup: DataFrame, on, how: str = "left") -> DataFrame:
-    """Join a unique-keyed lookup: broadcast when its checked size allows,
-    otherwise a shuffle join that adaptive execution may split on skew."""
-    small = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(lookup) if small else lookup, on, how)
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Replace NaN by NULL in every floating-point column."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import join_lookup
+from ..core import BROADCAST_ROWS, in_parallel, stable
 from .ranking import score_rank
 
 
@@ -23,25 +23,33 @@ def member(col: str | Column, values) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def category_codes(df: DataFrame, col: str) -> DataFrame:
-    """Dictionary (value, code): codes 0, 1, ... in first-appearance order."""
+def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Dictionary (c, value, code) of several columns in one pass: codes
+    0, 1, ... per column index ``c``, in first-appearance order."""
+    pieces = F.array(
+        *[F.struct(F.lit(i).alias("c"), F.col(name).cast("string").alias("value")) for i, name in enumerate(cols)]
+    )
     first = (
-        df.where(F.col(col).isNotNull())
-        .groupBy(F.col(col).alias("value"))
+        df.select("row_id", F.inline(pieces))
+        .where(F.col("value").isNotNull())
+        .groupBy("c", "value")
         .agg(F.min("row_id").alias("row_id"))
         .withColumn("_first", F.col("row_id").cast("double"))
     )
-    ranked = score_rank(first, "_first")
-    return ranked.select("value", (F.col("rank") - 1).alias("code"))
+    ranked = score_rank(first, "_first", by=["c"])
+    return ranked.select("c", "value", (F.col("rank") - 1).alias("code"))
 
 
 def factorize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace strings by codes in first-appearance order; missing becomes -1."""
+    codes = stable(category_codes(df, cols))
+    sizes = {r["c"]: r["count"] for r in codes.groupBy("c").count().collect()}
     out = df
-    for c in cols:
-        codes = category_codes(df, c).select(F.col("value").alias(c), F.col("code").alias("_code"))
-        out = join_lookup(out, codes, c).withColumn(
-            c, F.coalesce(F.col("_code"), F.lit(-1)).cast("double")
+    for i, name in enumerate(cols):
+        part = codes.where(F.col("c") == i).select(F.col("value").alias(name), F.col("code").alias("_code"))
+        part = F.broadcast(part) if sizes.get(i, 0) <= BROADCAST_ROWS else part
+        out = out.join(part, name, "left").withColumn(
+            name, F.coalesce(F.col("_code"), F.lit(-1)).cast("double")
         ).drop("_code")
     return out.select(*df.columns)
 
@@ -79,9 +87,11 @@ def median_of(df: DataFrame, cols: Sequence[str], collect_rows: int = 50_000) ->
     first = df.agg(
         *[F.count(x[c]).alias(f"n_{c}") for c in cols],
         *[approx(c, x[c].isNotNull()).alias(f"q_{c}") for c in cols],
+        *[F.array(F.min(x[c]), F.max(x[c])).alias(f"r_{c}") for c in cols],
     ).first()
     n = {c: first[f"n_{c}"] for c in cols}
-    bracket = {c: tuple(first[f"q_{c}"]) for c in cols if n[c]}
+    # one percent of a short column is less than a row
+    bracket = {c: tuple(first[f"q_{c}" if n[c] >= 1000 else f"r_{c}"]) for c in cols if n[c]}
     below: dict[str, int] = {}
     open_cols = list(bracket)
     while open_cols:
@@ -94,11 +104,14 @@ def median_of(df: DataFrame, cols: Sequence[str], collect_rows: int = 50_000) ->
         for c in open_cols:
             below[c] = row[f"b_{c}"]
             if row[f"i_{c}"] > collect_rows and bracket[c][0] < bracket[c][1]:
-                wide.append((c, ((n[c] - 1) // 2 - below[c]) / row[f"i_{c}"]))
+                size = row[f"i_{c}"]
+                slack = max(0.01, 3 / size)
+                low = max(0.0, ((n[c] - 1) // 2 - below[c]) / size - slack)
+                high = min(1.0, (n[c] // 2 + 1 - below[c]) / size + slack)
+                wide.append((c, f"array({low!r}D, {high!r}D)"))
         if not wide:
             break
-        shares = {c: f"array({max(0.0, p - 0.01)!r}D, {min(1.0, p + 0.01)!r}D)" for c, p in wide}
-        narrower = df.agg(*[approx(c, inside[c], shares[c]).alias(c) for c, _ in wide]).first()
+        narrower = df.agg(*[approx(c, inside[c], share).alias(c) for c, share in wide]).first()
         open_cols = [c for c, _ in wide if tuple(narrower[c]) != bracket[c]]
         for c in open_cols:
             bracket[c] = tuple(narrower[c])
@@ -131,21 +144,10 @@ def median_of(df: DataFrame, cols: Sequence[str], collect_rows: int = 50_000) ->
 
 def mode_of(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """Most frequent value per column; the smallest one on a tie."""
-    out = {}
-    for c in cols:
+
+    def one(c: str):
         counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).count()
         top = counts.orderBy(F.desc("count"), F.asc("v")).limit(1).collect()
-        out[c] = top[0]["v"] if top else None
-    return out
-
+        return top[0]["v"] if top else None
 
-def mode_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(feature, value): most frequent value of each column, in one pass."""
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])
-        ).alias("e")
-    ).select("e.feature", "e.value")
-    counts = long.where(F.col("value").isNotNull()).groupBy("feature", "value").count()
-    best = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("count"), F.asc("value")))
-    return counts.withColumn("_r", best).where("_r = 1").select("feature", "value")
+    return dict(zip(cols, in_parallel(*[lambda c=c: one(c) for c in cols])))

@@ -7,6 +7,7 @@ rows only inside their bucket.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from ..core import stable
 from ..functions import literal_array, order_key
 
 PREFIX = 3  # hexadecimal digits per bucket level: 4096 buckets
-QUANTILES = 512  # finest bucket grid of a score
+QUANTILES = 2048  # finest bucket grid of a score
 COLLECT_ROWS = 50_000  # a boundary bucket is read by the driver only below this
 
 
@@ -165,8 +166,8 @@ def score_rank(
     probs = literal_array([i / QUANTILES for i in range(1, QUANTILES)])
     stats = frame.agg(
         F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_s", probs, 10_000).alias("s"),
-        F.percentile_approx("row_id", probs, 10_000).alias("r"),
+        F.percentile_approx("_s", probs, 20_000).alias("s"),
+        F.percentile_approx("row_id", probs, 20_000).alias("r"),
     ).first()
     n = stats["n"]
     steps = max(1, min(QUANTILES, -(-n // rows_per_bucket)))
@@ -175,21 +176,29 @@ def score_rank(
     s_edges = sorted(set(s_all))
     r_edges = sorted({stats["r"][i] for i in picked}) if n else []
 
+    # a value gets as many row_id pieces as quantile steps it fills
+    fills = Counter(s_all)
+    width = literal_array([max(1, -(-len(r_edges) // fills[e])) for e in s_edges], "bigint")
     frame = frame.withColumn("_i", edges_below(s_edges, F.col("_s"), "double"))
     # get() is NULL past the last edge
     at_edge = F.get(literal_array(s_edges), F.col("_i")) if s_edges else F.lit(None)
+    piece = (
+        F.floor(edges_below(r_edges, F.col("row_id"), "bigint") / F.get(width, F.col("_i")))
+        if s_edges
+        else F.lit(0)
+    )
     on_edge = F.coalesce(at_edge == F.col("_s"), F.lit(False))
 
     frame = frame.withColumn(
         "_b", F.col("_i") * 2 + on_edge.cast("int")
-    ).withColumn("_c", F.when(on_edge, edges_below(r_edges, F.col("row_id"), "bigint")).otherwise(0))
+    ).withColumn("_c", F.when(on_edge, piece).otherwise(0).cast("int"))
 
     before = (
         Window.partitionBy(*(groups or [F.lit(0)]))
         .orderBy("_b", "_c")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    # at most 2 x 512 + (heavy edges x row_id steps) rows per group
+    # a few times 2048 rows per group at most
     counts = frame.groupBy(*groups, "_b", "_c").count()
     offsets = counts.select(
         *groups, "_b", "_c", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off")

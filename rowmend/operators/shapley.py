@@ -156,7 +156,9 @@ def _count_cells(train: DataFrame, vals, cols, steps: int) -> DataFrame:
             yield emit(np.full(len(step), i), step, n - n1, n1)
 
     schema = "v int, step bigint, n0 bigint, n1 bigint"
-    partial = train.select("row_id", "y", *cols).mapInArrow(count, schema)
+    # one table of counts per task: no more tasks than cores
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    partial = train.select("row_id", "y", *cols).coalesce(cores).mapInArrow(count, schema)
     return partial.groupBy("v", "step").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
