@@ -150,12 +150,9 @@ def factorize(spark, sf):
 
 @query(
     "factorize_many_values",
-    S.with_(
-        [("d", "SELECT c_name, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS code FROM customer GROUP BY c_name")],
-        "SELECT o_orderkey AS row_id, CAST(code AS DOUBLE) AS name FROM orders JOIN customer c ON o_custkey = c_custkey JOIN ("
-        "SELECT c_name, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name"
-        ") d2 ON d2.c_name = c.c_name",
-    ).replace("WITH d AS (SELECT c_name, row_number() OVER (ORDER BY min(c_custkey)) - 1 AS code FROM customer GROUP BY c_name)\n", ""),
+    """SELECT o_orderkey AS row_id, CAST(code AS DOUBLE) AS name FROM orders JOIN customer c ON o_custkey = c_custkey
+       JOIN (SELECT c_name, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code
+             FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name) d ON d.c_name = c.c_name""",
 )
 def factorize_many_values(spark, sf):
     o, c = views.table(spark, sf, "orders"), views.table(spark, sf, "customer")
@@ -406,8 +403,6 @@ def _prefix_sql(cap: float) -> str:
 def _prefixes(spark, sf, cap: float):
     """Sizes and id sums of every prefix: rows enter at one grid point each,
     the 21 totals are running sums."""
-    from pyspark.sql import Window
-
     grid = repair.proportion_grid()
     order = confident.rank_random(views.orders(spark, sf).select("row_id"), [100])
     at = order.withColumn("g", repair.first_grid_index(grid, cap)).where(F.col("g") < len(grid))

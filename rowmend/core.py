@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A side is broadcast only after its row count was checked against this.
+# A lookup is broadcast only after its size was checked against both.
 BROADCAST_ROWS = 200_000
+BROADCAST_CHARS = 50_000_000
 
 
 @dataclass(frozen=True)
@@ -83,6 +84,16 @@ def in_parallel(*steps: Callable[[], object], threads: int = 6) -> list:
         return [f.result() for f in [pool.submit(s) for s in steps]]
 
 
+def broadcastable(table: DataFrame, by: str, text: str) -> set:
+    """Groups of a lookup table that are small enough to broadcast, by rows
+    and by the characters of their text column."""
+    sizes = table.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length(text).cast("long")).alias("chars")
+    )
+    fits = (F.col("n") <= BROADCAST_ROWS) & (F.coalesce("chars", F.lit(0)) <= BROADCAST_CHARS)
+    return {r[by] for r in sizes.where(fits).select(by).collect()}
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Replace NaN by NULL in every floating-point column."""
     floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

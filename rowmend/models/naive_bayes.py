@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import BROADCAST_ROWS, Spec, stable
+from ..core import Spec, broadcastable, stable
 from ..functions import z_bin
 from ..operators.metrics import accuracy, demographic_parity_gap
 from ..operators.sampling import stratified_folds
@@ -97,26 +97,22 @@ def _by_feature(sizes: dict[int, int]) -> Column:
     return out
 
 
-def _rows_per_feature(table: DataFrame) -> dict[int, int]:
-    return {r["f"]: r["count"] for r in table.groupBy("f").count().collect()}
-
-
 def _look_up(rows: DataFrame, table: DataFrame, i: int, name: str, keys: list[str],
-             values: list[str], size: int) -> DataFrame:
+             values: list[str], small: set) -> DataFrame:
     """Left join the entries of feature ``i``; map-side while they are few."""
     part = table.where(F.col("f") == i).select(
         *keys, F.col("v").alias(name), *[F.col(x).alias(f"_{x}{i}") for x in values]
     )
-    return rows.join(F.broadcast(part) if size <= BROADCAST_ROWS else part, [*keys, name], "left")
+    return rows.join(F.broadcast(part) if i in small else part, [*keys, name], "left")
 
 
 def _score(rows: DataFrame, model: DataFrame, names: list[str], keys: list[str],
            defaults: dict[int, Column]) -> DataFrame:
     """Add ``lo``: sum of the log-odds of a row's feature values."""
-    sizes = _rows_per_feature(model)
+    small = broadcastable(model, "f", "v")
     total = F.lit(0.0)
     for i, n in enumerate(names):
-        rows = _look_up(rows, model, i, n, keys, ["lo"], sizes.get(i, 0))
+        rows = _look_up(rows, model, i, n, keys, ["lo"], small)
         total = total + F.coalesce(F.col(f"_lo{i}"), defaults[i])
     return rows.withColumn("lo", total).drop(*[f"_lo{i}" for i in range(len(names))])
 
@@ -303,19 +299,19 @@ def score_points(binner: Binner, rows: DataFrame, points: DataFrame, n_points: i
         .groupBy("y", "protected", *names)
         .agg(F.count(F.lit(1)).alias("w"))
     )
-    change_rows = _rows_per_feature(changes)
+    small_changes = broadcastable(changes, "f", "v")
     if base is None:
         domain = _domain_sizes(changes.select("f", "v"))
     else:
         domain = _domain_sizes(base.select("f", "v").unionByName(changes.select("f", "v")))
-        base_rows = _rows_per_feature(base)
+        small_base = broadcastable(base, "f", "v")
         for i, n in enumerate(names):
-            cells = _look_up(cells, base, i, n, [], ["c0", "c1"], base_rows.get(i, 0))
+            cells = _look_up(cells, base, i, n, [], ["c0", "c1"], small_base)
     scored = cells.withColumn("gid", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))))
     scored = scored.join(F.broadcast(points), "gid")
     lo = F.lit(0.0)
     for i, n in enumerate(names):
-        scored = _look_up(scored, changes, i, n, ["gid"], ["d0", "d1"], change_rows.get(i, 0))
+        scored = _look_up(scored, changes, i, n, ["gid"], ["d0", "d1"], small_changes)
         c0, c1 = (F.coalesce(F.col(f"_d{k}{i}"), F.lit(0)) for k in (0, 1))
         if base is not None:
             c0 = c0 + F.coalesce(F.col(f"_c0{i}"), F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import BROADCAST_ROWS, in_parallel, stable
+from ..core import broadcastable, in_parallel, stable
 from .ranking import score_rank
 
 
@@ -43,11 +43,11 @@ def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def factorize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace strings by codes in first-appearance order; missing becomes -1."""
     codes = stable(category_codes(df, cols))
-    sizes = {r["c"]: r["count"] for r in codes.groupBy("c").count().collect()}
+    small = broadcastable(codes, "c", "value")
     out = df
     for i, name in enumerate(cols):
         part = codes.where(F.col("c") == i).select(F.col("value").alias(name), F.col("code").alias("_code"))
-        part = F.broadcast(part) if sizes.get(i, 0) <= BROADCAST_ROWS else part
+        part = F.broadcast(part) if i in small else part
         out = out.join(part, name, "left").withColumn(
             name, F.coalesce(F.col("_code"), F.lit(-1)).cast("double")
         ).drop("_code")

@@ -43,9 +43,10 @@ from .ranking import score_rank
 
 LOW_OCTAVE, HIGH_OCTAVE = -40, 24  # squared distances outside are clamped
 COARSE_STEPS = 128  # per octave: at most 8192 steps per validation row
-FINE_STEPS = 1 << 24  # per octave: only equal distances share a step
+FINE_STEPS = 1 << 32  # per octave: only equal distances share a step
 CELL_BUDGET = 4_000_000  # |validation| x |training| below this uses FINE_STEPS
-MAX_VAL_ROWS = 10_000  # proven bound of the broadcast validation block
+MAX_VAL_ROWS = 2_000  # bound of the broadcast validation block
+MAX_CELLS = MAX_VAL_ROWS * (HIGH_OCTAVE - LOW_OCTAVE) * COARSE_STEPS  # bound of the value table
 
 # the task functions below travel with the job, so executors need no install
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -259,16 +260,19 @@ def knn_shapley(
             batch.column("protected").to_numpy(zero_copy_only=False).astype(bool),
             batch.column("pred").to_numpy(zero_copy_only=False).astype(np.float64),
         )
-    if steps is None:
+    if steps is None or steps > COARSE_STEPS:
         pairs = train.count() * len(v_matrix)
-        steps = FINE_STEPS if pairs <= CELL_BUDGET else COARSE_STEPS
+        if steps is None:
+            steps = FINE_STEPS if pairs <= CELL_BUDGET else COARSE_STEPS
+        elif min(pairs, len(v_matrix) * (HIGH_OCTAVE - LOW_OCTAVE) * steps) > MAX_CELLS:
+            raise ValueError(f"{steps} steps per octave need more than {MAX_CELLS} cells; choose fewer")
     train = _spread(train.select("row_id", "y", *cols))
     vals = spark.sparkContext.broadcast(v_matrix)
     u_table = spark.createDataFrame(
         [(i, float(p[0]), float(p[1])) for i, p in enumerate(u)], "v int, u0 double, u1 double"
     )
     cells = _count_cells(train, vals, cols, steps).join(F.broadcast(u_table), "v")
-    # at most |validation| x 8192 cells, or CELL_BUDGET of them
+    # at most MAX_CELLS rows, whatever the number of training rows
     values = cell_values(cells, k).toArrow().sort_by([("v", "ascending"), ("step", "ascending")])
     v_ids = values["v"].to_numpy()
     starts = np.searchsorted(v_ids, np.arange(len(v_matrix) + 1))
