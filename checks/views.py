@@ -75,8 +75,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
     content = F.concat_ws(
         "|",
         *[F.col(c).cast("bigint").cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")],
-        F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"),
-        F.date_format("l_shipdate", "yyyyMMdd"),
+        F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("bigint").cast("string"),
+        F.unix_date(F.col("l_shipdate").cast("date")).cast("string"),
     )
     row_id = F.conv(F.substring(F.md5(content.cast("binary")), 1, 15), 16, 10).cast("bigint")
     return table(spark, sf, "lineitem").select(
@@ -92,7 +92,8 @@ def lines(spark: SparkSession, sf: str) -> DataFrame:
 
 LINES_SQL = """
 SELECT ('0x' || substr(md5(concat_ws('|', l_orderkey::BIGINT, l_linenumber::BIGINT, l_partkey::BIGINT,
-        l_suppkey::BIGINT, round(l_extendedprice * 100)::BIGINT, strftime(l_shipdate, '%Y%m%d'))), 1, 15))::BIGINT AS row_id,
+        l_suppkey::BIGINT, floor(l_extendedprice * 100 + 0.5::DOUBLE)::BIGINT,
+        date_diff('day', DATE '1970-01-01', l_shipdate::DATE))), 1, 15))::BIGINT AS row_id,
        CAST(l_returnflag = 'R' AS INT) AS y, l_linestatus = 'F' AS protected,
        l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax
 FROM lineitem

@@ -122,7 +122,7 @@ def hash_rank(
     )
     inside = Window.partitionBy(*groups, "_b").orderBy("_h", "row_id")
     return (
-        keyed.join(F.broadcast(offsets), [*groups, "_b"])
+        keyed.join(F.broadcast(offsets), [*groups, "_b"], "left")
         .withColumn(rank_col, F.col("_off") + F.row_number().over(inside))
         .drop("_h", "_b", "_off")
     )
@@ -205,7 +205,7 @@ def score_rank(
     )
     inside = Window.partitionBy(*groups, "_b", "_c").orderBy("_s", "row_id")
     out = (
-        frame.join(F.broadcast(offsets), [*groups, "_b", "_c"])
+        frame.join(F.broadcast(offsets), [*groups, "_b", "_c"], "left")
         .withColumn(rank_col, F.col("_off") + F.row_number().over(inside))
         .drop("_s", "_i", "_b", "_c", "_off")
     )

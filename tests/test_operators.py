@@ -183,7 +183,7 @@ def test_flipped_rows_score_below_the_rest(spark):
     )
     spec = Spec(("x0", "x1", "x2", "x3"))
     train, val = df.where("row_id < 180"), df.where("row_id >= 180")
-    model = logistic_model(spec, max_iter=100)
+    model = logistic_model(spec, max_iter=20)
     apply, cols = model.space(train)
     pred = model.predict(train, val).select("row_id", "pred")
     values = stable(shapley.knn_shapley(apply(train), apply(val).join(pred, "row_id"), cols, "parity"))

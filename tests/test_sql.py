@@ -11,13 +11,13 @@ NAMES = [
     "global_rank", "global_rank_ties", "global_rank_hash", "split_train_val_test", "val_cap",
     "sample_exact_uniform", "sample_exact_in_group", "stratified_kfold", "inject_outlier",
     "inject_outlier_pooled", "inject_random_label", "inject_group_label", "inject_group_missing",
-    "action_cap", "action_cap_clip", "action_remove", "action_flip", "action_restore_labels",
+    "action_cap", "action_remove", "action_restore_labels",
     "cleaned_prefix", "cleaned_prefix_capped", "impute_median", "impute_mode", "standard_scale",
     "yeo_johnson_fixed", "anova_f", "oof_predict", "knn_shapley", "knn_shapley_k5", "knn_shapley_orders",
-    "rank_by_shapley", "dp_shapley", "dp_heuristic", "confident_joint", "find_label_issues", "entropy_rank",
-    "random_rank", "accuracy", "demographic_parity_gap", "evaluate_guarded", "cleaning_curve",
-    "run_group_missing", "group_mc_shapley", "overlap_summary", "record_sink", "otsu_threshold",
-    "kernel_similarity", "hybrid_rank", "detect_noise_type",
+    "dp_shapley", "dp_heuristic", "confident_joint", "find_label_issues", "entropy_rank",
+    "random_rank", "accuracy", "demographic_parity_gap", "cleaning_curve",
+    "group_mc_shapley", "record_sink", "otsu_threshold",
+    "kernel_similarity", "detect_noise_type",
 ]
 
 
