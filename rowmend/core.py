@@ -77,6 +77,13 @@ def stable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on a frame that comes from fewer files than cores; a
+    frame of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def in_parallel(*steps: Callable[[], object], threads: int = 6) -> list:
     """Run independent driver steps at the same time, so that their jobs share
     the cluster instead of queueing behind one another."""

@@ -38,6 +38,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import spread
 from ..functions import harmonic
 from .ranking import score_rank
 
@@ -222,13 +223,6 @@ def _look_up(train: DataFrame, vals, table, cols, steps: int) -> DataFrame:
     return train.select("row_id", "y", *cols).mapInArrow(score, "row_id bigint, score double")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Use every core: the work per row is |validation| distances, so a
-    training table of few scan partitions is spread out first."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def knn_shapley(
     train: DataFrame,
     val: DataFrame,
@@ -266,7 +260,7 @@ def knn_shapley(
             steps = FINE_STEPS if pairs <= CELL_BUDGET else COARSE_STEPS
         elif min(pairs, len(v_matrix) * (HIGH_OCTAVE - LOW_OCTAVE) * steps) > MAX_CELLS:
             raise ValueError(f"{steps} steps per octave need more than {MAX_CELLS} cells; choose fewer")
-    train = _spread(train.select("row_id", "y", *cols))
+    train = spread(train.select("row_id", "y", *cols))
     vals = spark.sparkContext.broadcast(v_matrix)
     u_table = spark.createDataFrame(
         [(i, float(p[0]), float(p[1])) for i, p in enumerate(u)], "v int, u0 double, u1 double"

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import Spec, in_parallel, stable
+from ..core import Spec, in_parallel, spread, stable
 from ..models.mllib import forest_model, logistic_model
 from ..models.naive_bayes import NaiveBayes
 from ..operators import confident, fairness, noise, repair, shapley
@@ -243,7 +243,7 @@ def run_experiment(
     if model != "nb" and spec.cat:
         df = factorize(df, spec.cat)
     used = df.select("row_id", "y", "protected", *spec.features)
-    split = stable(split_rows(used, seed=split_seed))
+    split = stable(spread(split_rows(used, seed=split_seed)))
     # predicates and literals on top of the split table: nothing to store
     train, cap = corrupt(split, spec, noise_type, level, seed)
     val = split.where(F.col("split") == "val")
