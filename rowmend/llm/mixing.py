@@ -70,7 +70,7 @@ def mix(
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = stable(targets(sums, weights, share, epochs))
     bins = 1 + sized.count() // bin_rows
-    queued = queue(sized.where("size > 0"), goal, epochs, seed, max(bins, 16))
+    queued = queue(sized.where("size > 0"), goal, epochs, seed, max(bins, 64))
     budget = goal.agg(F.sum("target").alias("budget"))
     picked = by_finish_time(queued, budget)
     # a document's own row and its takings are added up by key, so repeated and null ids are safe

@@ -46,3 +46,34 @@ def op5_simhash(spark, sf):
     from . import simhash
 
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op6_quality_rules(spark, sf):
+    from . import rules
+
+    judged = rules.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", *rules.COUNTS, "base_failed", "kept", "path")
+
+
+@query
+def op7_license_scan(spark, sf):
+    from . import licenses
+
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query
+def op8_quality_classifier(spark, sf):
+    from . import quality
+
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+def _sql() -> dict[str, str]:
+    from . import licenses
+
+    return {"op7_license_scan": licenses.scan_sql()}
+
+
+SQL.update(_sql())

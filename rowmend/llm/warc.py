@@ -15,10 +15,15 @@ Texts are UTF-8; a single record has to fit into memory.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowmend.core import stable
+from rowmend.core import BROADCAST_ROWS, stable
 
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"  # after each record's block, and as the writer's line separator
@@ -44,16 +49,20 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     rows = pages.withColumn("payload", F.coalesce(F.col("html"), F.lit("")))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload")))
-    groups = (
+    groups = stable(
         rows.where(F.col("payload_bytes") >= least_bytes)
         .groupBy(F.col("payload_digest").alias("d"))
         .agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         .drop("n")
     )
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
-    joined = rows.withColumn("salt", salt).join(groups, (F.col("payload_digest") == F.col("d")) & (F.col("salt") == F.col("s")), "left")
+    if groups.count() <= BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(groups), F.col("payload_digest") == F.col("d"), "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+        salted = groups.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same = (F.col("payload_digest") == F.col("d")) & (F.col("salt") == F.col("s"))
+        joined = rows.withColumn("salt", salt).join(salted, same, "left")
     revisit = F.col("last").isNotNull() & ~F.col("last").eqNullSafe(F.col("page_id"))
     return joined.select(
         "page_id", "url", "payload", "payload_bytes", "payload_digest",
@@ -91,35 +100,60 @@ def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     record(with_revisits(pages, least_bytes)).write.option("lineSep", GAP).text(path)
 
 
+def _beside(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Left join of rows that carry texts with a narrow table, which is broadcast
+    if it was counted and found small; else both are shuffled."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, "left")
+
+
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """file, offset, body: the text after each magic line up to the next one,
     and the offset in the file at which that magic line begins.
 
     The reader cuts files at any byte and hands the pieces of a cut to one
-    task, in order; a cut's offset is the length of those before it."""
-    cut = "concat(_metadata.file_path, ' ', lpad(_metadata.file_block_start, 20, '0'))"
+    task, in order; a cut's offset is the length of those before it.  The
+    pieces are stored, so that every use sees the same cuts."""
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, so_far = None, 0
+        for batch in batches:
+            size = pc.binary_length(batch.column("body")).to_numpy().astype(np.int64) + len(MAGIC)
+            cuts = pc.dictionary_encode(batch.column("cut"))
+            code, names = cuts.indices.to_numpy(), cuts.dictionary.to_pylist()
+            first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            begin = np.zeros(len(size), np.int64)
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(size)]):
+                if names[code[a]] != cut:
+                    cut, so_far = names[code[a]], 0
+                begin[a:b] = so_far + np.cumsum(size[a:b]) - size[a:b]
+                so_far += int(size[a:b].sum())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("file"), batch.column("cut"), pa.array(begin), pa.array(size), batch.column("body")],
+                ["file", "cut", "ahead", "bytes", "body"],
+            )
+
     raw = spark.read.option("lineSep", MAGIC).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.expr(cut).alias("cut"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("body")
+        F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"),
+        F.expr("concat(_metadata.file_name, ' ', lpad(_metadata.file_block_start, 20, '0'))").alias("cut"),
+        F.col("value").alias("body"),
     )
-    # the numbers are read back from the table, so that every use sees the same ones
-    kept = stable(raw.withColumn("bytes", F.octet_length("body").cast("long") + len(MAGIC)))
-    per_cut = kept.groupBy("file", "cut").agg(F.sum("bytes").alias("bytes"))
+    kept = stable(raw.mapInArrow(ahead, "file string, cut string, ahead long, bytes long, body string"))
     earlier = Window.partitionBy("file").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_cut.select("cut", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"))
-    in_cut = Window.partitionBy("cut").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    # A file begins with a magic line, so its first piece is the nothing before that line.
-    placed = kept.withColumn("ahead", F.coalesce(F.sum("bytes").over(in_cut), F.lit(0))).join(base, "cut")
-    return placed.select("file", "cut", (F.col("base") + F.col("ahead") - len(MAGIC)).alias("offset"), "body").where("offset >= 0")
+    per_cut = kept.groupBy("file", "cut").agg(F.sum("bytes").alias("bytes"))
+    base = stable(per_cut.select("cut", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base")))
+    # a file begins with a magic line, so its first piece is the nothing before that line
+    offset = F.col("base") + F.col("ahead") - len(MAGIC)
+    return _beside(kept, base, ["cut"]).select("file", offset.alias("offset"), "body").where("offset >= 0")
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """file, offset, next, head_bytes, length and the header of every place that may be a record."""
+    """Adds head, length, begin and next to every place that may be a record."""
     head = F.substring_index("body", GAP, 1)
-    whole = F.instr("body", GAP) > 0
-    length = F.regexp_extract(head, "(?:^|\r\n)Content-Length: ([0-9]{1,18})(?:\r\n|$)", 1)
+    length = F.regexp_extract(F.col("head"), "(?:^|\r\n)Content-Length: ([0-9]{1,18})(?:\r\n|$)", 1)
     return (
-        found.where(whole)
-        .select("file", "cut", "offset", head.alias("head"), F.when(length != "", length.cast("long")).alias("length"))
+        found.where(F.instr("body", GAP) > 0)
+        .withColumn("head", head)
+        .withColumn("length", F.when(length != "", length.cast("long")))
         .where("length is not null")
         .withColumn("begin", F.col("offset") + len(MAGIC) + F.octet_length("head") + len(GAP))
         .withColumn("next", F.col("begin") + F.col("length") + len(GAP))
@@ -150,37 +184,26 @@ def reachable(links: DataFrame) -> DataFrame:
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: file, offset, head, payload."""
-    found = stable(pieces(spark, path))
-    links = stable(candidates(found))
-    on = reachable(links)
-    records = stable(links.join(on, ["file", "offset"], "left_semi"))
-    # A piece whose magic line isn't a record's belongs to the record before it.
-    flagged = found.join(records.select("file", "offset", "begin", "length", "head"), ["file", "offset"], "left")
-    own = F.col("begin").isNotNull()
-    skip = F.col("begin") - F.col("offset") - len(MAGIC)
-    in_body = F.octet_length("body") - skip
-    # alone: the block ends in the piece itself, which holds for all but blocks with magic lines
-    alone = flagged.where(own & (in_body >= F.col("length"))).select(
-        "file", "offset", "head",
-        F.decode(F.substring(F.encode("body", "UTF-8"), (skip + 1).cast("int"), F.col("length").cast("int")), "UTF-8").alias("payload"),
-    )
-    broken = records.join(
-        flagged.where(own & (in_body < F.col("length"))).select("file", "offset"), ["file", "offset"], "left_semi"
-    )
-    stray = found.join(records.select("file", "offset"), ["file", "offset"], "left_anti")
-    spread = broken.withColumn("mb", F.explode(F.expr(f"sequence(shiftright(offset, 20), shiftright(next, 20))")))
-    parts = stray.withColumn("mb", F.expr("shiftright(offset, 20)")).alias("p").join(
-        spread.alias("r"),
-        F.expr("p.file = r.file and p.mb = r.mb and p.offset > r.offset and p.offset < r.next"),
-    ).select("r.file", "r.offset", F.struct("p.offset", "p.body").alias("piece"))
-    first = broken.join(found, ["file", "offset"]).select("file", "offset", F.struct("offset", "body").alias("piece"))
-    joined = first.unionByName(parts).groupBy("file", "offset").agg(F.array_sort(F.collect_list("piece")).alias("all"))
-    text = F.array_join(F.transform("all", lambda x: x["body"]), MAGIC)
-    rebuilt = joined.withColumn("text", text).join(broken.select("file", "offset", "head", "begin", "length"), ["file", "offset"]).select(
-        "file", "offset", "head",
-        F.decode(F.substring(F.encode("text", "UTF-8"), (skip + 1).cast("int"), F.col("length").cast("int")), "UTF-8").alias("payload"),
+    found = pieces(spark, path)
+    links = stable(candidates(found).select("file", "offset", "next"))
+    records = stable(links.join(reachable(links), ["file", "offset"], "left_semi"))
+    # a piece whose magic line isn't a record's belongs to the record before it, within the same megabytes
+    stray = found.select("file", "offset").join(records, ["file", "offset"], "left_anti").withColumn("mb", F.expr("shiftright(offset, 20)"))
+    spread = records.withColumn("mb", F.explode(F.expr("sequence(shiftright(offset, 20), shiftright(next, 20))")))
+    inside = F.expr("s.file = r.file and s.mb = r.mb and s.offset > r.offset and s.offset < r.next")
+    owned = stable(stray.alias("s").join(spread.alias("r"), inside).select("s.file", "s.offset", F.col("r.offset").alias("owner")))
+    owners = owned.select("file", F.col("owner").alias("offset"), "owner").distinct()
+    marked = _beside(found, stable(owned.unionByName(owners)), ["file", "offset"])
+    alone = marked.where("owner is null").select("file", "offset", "body")
+    order = F.array_sort(F.collect_list(F.struct("offset", "body")))
+    rebuilt = (
+        marked.where("owner is not null")
+        .groupBy("file", F.col("owner").alias("begin"))
+        .agg(F.array_join(F.transform(order, lambda x: x["body"]), MAGIC).alias("body"))
+        .select("file", F.col("begin").alias("offset"), "body")
     )
-    return alone.unionByName(rebuilt)
+    block = F.substring(F.encode("body", "UTF-8"), (F.col("begin") - F.col("offset") - len(MAGIC) + 1).cast("int"), F.col("length").cast("int"))
+    return candidates(alone.unionByName(rebuilt)).select("file", "offset", "head", F.decode(block, "UTF-8").alias("payload"))
 
 
 def fields(records: DataFrame) -> DataFrame:
