@@ -94,11 +94,12 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] =
     several = F.instr(F.col("tidy"), "\n") > 0
     units = F.concat(lines, F.when(several, F.array(whole)).otherwise(F.array().cast("array<string>")))
     fitting = F.filter(units, lambda u: size(u).between(lo, hi))
-    each = (
-        docs.select("doc_id", tidy.alias("tidy")).select("doc_id", F.explode(fitting).alias("unit"))
-        .withColumn("w", F.split("unit", " "))
-        .withColumn("b", F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda x, y: F.concat(x, F.lit(" "), y)))
-    )
+    # what several expressions use goes through explode, so that it is worked out once a row
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    each = docs.select("doc_id", once(F.coalesce(tidy, F.lit("")), "tidy")).select("doc_id", F.explode(fitting).alias("unit"))
+    each = each.select("doc_id", once(F.split("unit", " "), "w"))
+    pair = F.zip_with(F.expr("slice(w, 1, size(w) - 1)"), F.expr("slice(w, 2, size(w) - 1)"), lambda x, y: F.concat(x, F.lit(" "), y))
+    each = each.select("doc_id", once(pair, "b"))
     known = _templates(templates, least)
     like = F.filter(known, lambda t: F.size("b").between(t["lo"], t["hi"]) & F.arrays_overlap("b", t["b"]))
 
@@ -108,9 +109,9 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] =
         return F.round(2.0 * shared / (F.size("b") + t["n"]), 6)
 
     # the first by name among the largest: templates are in order of their names
-    pairs = each.select("doc_id", "b", like.alias("like")).where(F.size("like") > 0)
+    pairs = each.select("doc_id", "b", once(like, "like")).where(F.size("like") > 0)
     scores = F.transform("like", lambda t: F.struct(dice(t).alias("dice"), t["license"].alias("license")))
-    scored = pairs.select("doc_id", scores.alias("s")).withColumn("dice", F.array_max(F.transform("s", lambda x: x["dice"])))
+    scored = pairs.select("doc_id", once(scores, "s")).withColumn("dice", F.array_max(F.transform("s", lambda x: x["dice"])))
     best = scored.where(F.col("dice") >= least).select(
         "doc_id", "dice", F.array_min(F.transform(F.filter("s", lambda x: x["dice"] == F.col("dice")), lambda x: x["license"])).alias("license")
     )

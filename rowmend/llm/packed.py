@@ -7,11 +7,16 @@ per word or per byte in Python.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark.sql import DataFrame
+
+from rowmend.core import ensure_checkpoint_dir
 
 CHUNK_BYTES = 2_000_000
 SPACE = np.zeros(256, bool)
@@ -127,3 +132,75 @@ def per_doc_sum(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[off[1:]] - total[off[:-1]]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``stable`` for tables with texts: compressed harder."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/texts-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def squeezed(docs: DataFrame) -> DataFrame:
+    """Replaces text (null: empty) by ``packed``, so that shuffles of texts carry a third of the bytes."""
+    others = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for c in chunks(batch.column("text")):
+                raw = c.data.tobytes()
+                out = [pack.compress(raw[a:b]) for a, b in zip(c.off[:-1].tolist(), c.off[1:].tolist())]
+                rest = batch.select(others).slice(c.lo, len(c))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(out, pa.binary())], [*others, "packed"])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return docs.select(*others, "text").mapInArrow(run, kinds + "packed binary")
+
+
+def opened(packed: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(p.as_py()) if p.is_valid else b"" for p in packed]
+
+
+def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
+    """Place of the smallest of each ``width`` consecutive values, the first of equals."""
+    n = len(h)
+    if n < width:
+        return np.zeros(0, np.int64)
+    bits = np.uint64(30)
+    key = (h >> bits << bits) | np.arange(n, dtype=np.uint64)
+    rows = -(-n // width)
+    grid = np.full(rows * width, np.uint64(2**64 - 1))
+    grid[:n] = key
+    grid = grid.reshape(rows, width)
+    head = np.minimum.accumulate(grid, axis=1).ravel()
+    tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    best = np.minimum(tail[: n - width + 1], head[width - 1 : n])
+    return (best & np.uint64(2**30 - 1)).astype(np.int64)
+
+
+def segments(h: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive windows, inside documents, that have the same anchor.
+
+    A window's anchor is the gram in it with the smallest hash, the first of
+    equals: so equal windows have their anchors at the same place.  Given are the
+    hashes of all grams, off: the documents' offsets in the sequence.  Returned
+    are first and last window start of each run, and the anchor's place."""
+    none = np.zeros(0, np.int64)
+    if len(h) < window - gram + 1:
+        return none, none, none
+    at = sliding_argmin(h, window - gram + 1)
+    room = np.maximum(0, np.diff(off) - window + 1)
+    valid = np.zeros(len(at) + 1, np.int64)
+    has = room > 0
+    np.add.at(valid, off[:-1][has], 1)
+    np.add.at(valid, (off[:-1] + room)[has], -1)
+    starts = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
+    if not len(starts):
+        return none, none, none
+    anchor = at[starts]
+    new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    last = np.r_[new[1:], len(starts)] - 1
+    return starts[new], starts[last], anchor[new]

@@ -77,3 +77,19 @@ def _sql() -> dict[str, str]:
 
 
 SQL.update(_sql())
+
+
+@query
+def op9_suffix_trees(spark, sf):
+    from . import suffix_tree
+
+    cut = suffix_tree.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op10_suffix_array(spark, sf):
+    from . import suffix_array
+
+    cut = suffix_array.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

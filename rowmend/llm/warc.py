@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from rowmend.core import BROADCAST_ROWS, stable
 
+from .packed import stored
+
 MAGIC = "WARC/1.0\r\n"
 GAP = "\r\n\r\n"  # after each record's block, and as the writer's line separator
 SALTS = 16
@@ -137,7 +139,7 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
         F.expr("concat(_metadata.file_name, ' ', lpad(_metadata.file_block_start, 20, '0'))").alias("cut"),
         F.col("value").alias("body"),
     )
-    kept = stable(raw.mapInArrow(ahead, "file string, cut string, ahead long, bytes long, body string"))
+    kept = stored(raw.mapInArrow(ahead, "file string, cut string, ahead long, bytes long, body string"))
     earlier = Window.partitionBy("file").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
     per_cut = kept.groupBy("file", "cut").agg(F.sum("bytes").alias("bytes"))
     base = stable(per_cut.select("cut", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base")))
