@@ -93,3 +93,17 @@ def op10_suffix_array(spark, sf):
 
     cut = suffix_array.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op3_decontamination(spark, sf):
+    from . import decontaminate
+
+    return decontaminate.contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op2_language_model(spark, sf):
+    from . import lm
+
+    return lm.score(table(spark, sf, "documents"))

@@ -69,17 +69,18 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp (long): 64-bit SimHash of the lower-cased words' shingles."""
+    """The columns of docs with fp (long), the 64-bit SimHash of the lower-cased words' shingles, for text."""
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            rest = batch.select(others)
             for c in chunks(batch.column("text")):
                 fp = _fingerprints(c, shingle)
-                yield pa.RecordBatch.from_arrays([ids.slice(c.lo, len(c)), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*rest.slice(c.lo, len(c)).columns, pa.array(fp.view(np.int64))], [*others, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return docs.select(*others, "text").mapInArrow(run, kinds + "fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -237,14 +238,31 @@ def components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id: one row per document."""
-    fp = stable(fingerprints(docs, shingle))
+def groups(fp: DataFrame, limit: int) -> DataFrame:
+    """fp, root, component_id of every fingerprint."""
     classes = stable(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(fingerprint_links(classes, limit))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = stable(rooted)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return rooted.select("fp", "root").join(least, "root")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, limit: int = 3) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id: one row per document."""
+    fp = stable(fingerprints(docs.select("doc_id", "text"), shingle))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return fp.join(named, "fp").select("doc_id", hexed, "component_id")
+    return fp.join(groups(fp, limit), "fp").select("doc_id", hexed, "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, limit: int = 3) -> DataFrame:
+    """The rows of docs, without all but one of each group: that with the smallest
+    id (null last), and of rows that repeat it the one with the smallest hash of the text."""
+    tag = F.xxhash64(F.coalesce("text", F.lit("")))
+    fp = stable(fingerprints(docs.select("doc_id", tag.alias("tag"), "text"), shingle))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")).alias("f")
+    chosen = fp.join(groups(fp, limit), "fp").groupBy("root").agg(first).select("f.doc_id", "f.tag")
+    chosen = chosen.select(F.col("doc_id").alias("k"), F.col("tag").alias("g"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", tag.alias("tag"))
+    found = rows.join(chosen, F.col("doc_id").eqNullSafe(F.col("k")) & (F.col("tag") == F.col("g")))
+    return found.dropDuplicates(["k", "g"]).select("row.*")
