@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from rowmend.core import stable
 
-BUCKET_ROWS = 500_000
+from .packed import discard
+
+BUCKET_ROWS = 300_000
 
 
 def multikey_sort(keys: list[np.ndarray]) -> np.ndarray:
@@ -85,12 +87,12 @@ def neighbours(rows: DataFrame, core: str, tokens: list[str], place: list[str],
         for lo in range(0, len(keep), 200_000):
             part, k = out.slice(lo, 200_000).combine_chunks(), keep[lo : lo + 200_000]
             arrays = [part.column(c).combine_chunks() for c in all_keys]
-            arrays += [pa.array(least[k]), pa.array(many[k]), pa.array(mixed[k]), pa.array(edge[k]), pa.array(border[k])]
-            yield pa.RecordBatch.from_arrays(arrays, [*all_keys, "least", "many", "mixed", "edge", "border"])
+            arrays += [pa.array(least[k]), pa.array(many[k]), pa.array(mixed[k]), pa.array(border[k])]
+            yield pa.RecordBatch.from_arrays(arrays, [*all_keys, "least", "many", "mixed", "border"])
 
     ranged = rows.select(*all_keys).repartitionByRange(parts, *all_keys)
     found = stable(
-        ranged.mapInArrow(local, schema + ", least long, many boolean, mixed boolean, edge boolean, border boolean")
+        ranged.mapInArrow(local, schema + ", least long, many boolean, mixed boolean, border boolean")
         .withColumn("part", F.spark_partition_id())
     )
     # across the boundaries: two suffixes from each bucket say which runs go on, and how they began
@@ -104,13 +106,14 @@ def neighbours(rows: DataFrame, core: str, tokens: list[str], place: list[str],
     ).distinct()
     runs = ends.where("_on").groupBy(*[F.col(k).alias(f"_run_{k}") for k in keys]).agg(F.min("_least").alias("_least"))
     cores = ends.where("_core_on").groupBy(F.col(core).alias("_core")).agg(F.max("_mixed").alias("_mixed"))
-    at_edge = found.where("edge")
     same_run = F.lit(True)
     for k in keys:
         same_run = same_run & (F.col(k) == F.col(f"_run_{k}"))
     # at most two runs of a bucket are asked for, so both tables have at most two rows for each bucket
-    at_edge = at_edge.join(F.broadcast(runs), same_run, "left").join(F.broadcast(cores), F.col(core) == F.col("_core"), "left")
-    at_edge = at_edge.withColumn("least", F.least("least", F.coalesce("_least", "least"))).withColumn("many", F.col("many") | F.col("_least").isNotNull())
-    at_edge = at_edge.withColumn("mixed", F.col("mixed") | F.coalesce("_mixed", F.lit(False)))
+    whole = found.join(F.broadcast(runs), same_run, "left").join(F.broadcast(cores), F.col(core) == F.col("_core"), "left")
+    whole = whole.withColumn("least", F.least("least", F.coalesce("_least", "least"))).withColumn("many", F.col("many") | F.col("_least").isNotNull())
+    whole = whole.withColumn("mixed", F.col("mixed") | F.coalesce("_mixed", F.lit(False)))
     cols = [*all_keys, "least", "many", "mixed"]
-    return at_edge.select(*cols).unionByName(found.where("not edge").select(*cols)).where("many or mixed")
+    out = stable(whole.select(*cols).where("many or mixed"))
+    discard(found)
+    return out

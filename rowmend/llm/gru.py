@@ -116,7 +116,7 @@ def log_likelihood(p: dict, states: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
-def scores(p: dict, ids: np.ndarray, off: np.ndarray, n_lanes: int = 256, width: int = 32) -> np.ndarray:
+def scores(p: dict, ids: np.ndarray, off: np.ndarray, n_lanes: int = 384, width: int = 32) -> np.ndarray:
     """Log-likelihood of each whole document."""
     s = Streams(ids, off, n_lanes)
     total = np.zeros(len(off) - 1)
@@ -171,7 +171,7 @@ def _gradients(p: dict, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, real: n
     return g, states[-1]
 
 
-def train(p: dict, ids: np.ndarray, off: np.ndarray, memory: dict, rate: float = 0.03, n_lanes: int = 64, width: int = 16) -> dict:
+def train(p: dict, ids: np.ndarray, off: np.ndarray, memory: dict, rate: float = 0.03, n_lanes: int = 128, width: int = 16) -> dict:
     """Truncated backpropagation through time over the documents, with Adagrad steps."""
     s = Streams(ids, off, n_lanes)
     h = np.zeros((len(s.own), p["wh"].shape[0]), np.float32)

@@ -120,7 +120,16 @@ def vocabulary(counts: DataFrame, size: Size) -> Table:
     head = size.classes * size.class_size
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     end = counts.where(F.col("word") == END).first()
-    rows = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(size.known_words - 1).collect()
+    # the most frequent ones: as many eighths of a doubling as hold no more words than the table
+    step = F.floor(F.log2("c") * 8).cast("int")
+    bins = counts.where(F.col("word") != END).groupBy(step.alias("b")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("b")).collect()
+    held, least = 0, 10_000
+    for r in bins:
+        if held + r.n >= size.known_words:
+            break
+        held, least = held + r.n, r.b
+    rows = counts.where((F.col("word") != END) & (step >= least)).collect()  # fewer than known_words
+    rows.sort(key=lambda r: (-r.c, r.word))
     words = [END.encode(), *(r.word.encode() for r in rows)]
     c = np.array([end.c if end else 0, *(r.c for r in rows)], np.int64)
     model = np.minimum(np.arange(len(words) + 1), head)

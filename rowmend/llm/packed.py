@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from rowmend.core import ensure_checkpoint_dir
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -142,6 +142,15 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        jvm = table.sparkSession.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def squeezed(docs: DataFrame) -> DataFrame:
     """Replaces text (null: empty) by ``packed``, so that shuffles of texts carry a third of the bytes."""
     others = [c for c in docs.columns if c != "text"]

@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from rowmend.core import stable
 
 from .buckets import neighbours
-from .packed import byte_hash, chunks, mix, opened, segments, signed, squeezed, stored
+from .packed import byte_hash, chunks, discard, mix, opened, segments, signed, squeezed, stored
 
 GRAM = 64
 SLICE = 16
+CHUNK = 600_000  # bytes hashed at a time
 PLACE = ["doc", "tag", "at", "n", "x"]
 ROWS = "core long, t1 long, t2 long, doc long, tag int, at int, n int, x int"
 
@@ -59,7 +60,7 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column("doc"), batch.column("tag")]
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), CHUNK):
                 one, two = byte_hash(c), byte_hash(c, 1)
                 if len(c.data) < length:
                     continue
@@ -80,7 +81,7 @@ def _finer(texts: DataFrame, length: int, width: int) -> DataFrame:
     anchor; the core is what all strings of a whole slice have in common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             ids, todo = [batch.column("doc"), batch.column("tag")], batch.column("todo")
             raw = pa.array(opened(batch.column("packed")), pa.binary())
             flat = todo.flatten()
@@ -121,16 +122,20 @@ def repeated(docs: DataFrame, length: int = 400) -> DataFrame:
     texts, found = None, []
     for width in (0, SLICE, 1):
         rows = stable(anchored(docs, length) if not width else _finer(texts, length, width))
-        around = stable(neighbours(rows, "core", ["t1", "t2"], PLACE, rows.count()))
+        around = neighbours(rows, "core", ["t1", "t2"], PLACE, rows.count())
+        discard(rows)
         found.append(around.where("many").select("doc", "tag", "at", "n"))
         if width == 1:
+            discard(texts)
             break
         # of equal ones a single document's stand for all against the others
         rest = around.where("mixed and (not many or coalesce(doc, 9223372036854775807) = least)")
         todo = _lists(rest, ["at", "n", "x"], "todo")
         source = squeezed(docs.select("doc", "tag", "text")) if texts is None else texts.drop("todo")
         joined = source.join(todo, _same()).drop("d", "g").groupBy("doc", "tag").agg(F.first("packed").alias("packed"), F.first("todo").alias("todo"))
-        texts = stored(joined)
+        before, texts = texts, stored(joined)
+        if before is not None:
+            discard(before)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from rowmend.core import stable
 
 from .buckets import neighbours
-from .packed import Chunk, Rolling, byte_hash, chunks, mix, opened, segments, signed, squeezed, stored, words
+from .packed import Chunk, Rolling, byte_hash, chunks, discard, mix, opened, segments, signed, squeezed, stored, words
 from .suffix_array import _lists, _same, tagged
 
 ANCHOR = 5
@@ -91,7 +91,7 @@ def _single(texts: DataFrame, window: int) -> DataFrame:
     """The listed suffixes one by one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, 1000) for b in batches for lo in range(0, b.num_rows, 1000)):
             ids, todo = [batch.column("doc"), batch.column("tag")], batch.column("todo")
             raw = pa.array(opened(batch.column("packed")), pa.binary())
             flat = todo.flatten()
@@ -115,14 +115,17 @@ def repeated(docs: DataFrame, window: int = 13) -> DataFrame:
     in a document with a smaller id."""
     later = "least < coalesce(doc, 9223372036854775807)"
     rows = stable(anchored(docs, window))
-    known = rows.where("core = 0").select("doc", "tag", "at", "n")
-    around = stable(neighbours(rows.where("core != 0"), "core", ["t1"], PLACE, rows.count()))
+    known = stable(rows.where("core = 0").select("doc", "tag", "at", "n"))
+    around = neighbours(rows.where("core != 0"), "core", ["t1"], PLACE, rows.count())
+    discard(rows)
     rest = around.where(f"mixed and not ({later})")
     todo = _lists(rest, ["at", "n"], "todo")
     joined = squeezed(docs.select("doc", "tag", "text")).join(todo, _same()).drop("d", "g")
     texts = stored(joined.groupBy("doc", "tag").agg(F.first("packed").alias("packed"), F.first("todo").alias("todo")))
     single = stable(_single(texts, window))
-    nodes = stable(neighbours(single, "core", ["t1"], PLACE, single.count()))
+    discard(texts)
+    nodes = neighbours(single, "core", ["t1"], PLACE, single.count())
+    discard(single)
     cols = ["doc", "tag", "at", "n"]
     return known.unionByName(around.where(later).select(*cols)).unionByName(nodes.where(later).select(*cols))
 
