@@ -82,19 +82,16 @@ def accuracy_utility(y_val: np.ndarray) -> np.ndarray:
 
 
 def parity_utility(protected: np.ndarray, pred: np.ndarray) -> np.ndarray:
-    """Utility of predicting 1 for a validation row, for the negative
-    demographic-parity gap linearised at the fitted model's rates."""
-    out = np.zeros((len(pred), 2))
-    n_p, n_u = int(protected.sum()), int((~protected).sum())
-    if not n_p or not n_u:
-        return out
-    rate_p, rate_u = float(pred[protected].mean()), float(pred[~protected].mean())
-    if rate_p == rate_u:
-        return out
-    high = protected if rate_p > rate_u else ~protected
-    out[high, 1] = -1.0 / high.sum()
-    out[~high, 1] = 1.0 / (~high).sum()
-    return out
+    """Utility [validation row, label] for the negative demographic-parity gap,
+    linearised at the fitted model's rates: a 1 predicted in the group that is
+    ahead widens the gap by one over the group's size, in the other it narrows it."""
+    group = protected.astype(np.int64)
+    size = np.bincount(group, minlength=2)
+    ones = np.bincount(group, weights=pred, minlength=2)
+    # rates compared without dividing; equal rates and empty groups give no lead
+    lead = np.sign(ones[1] * size[0] - ones[0] * size[1])
+    gain = lead * (1 - 2 * group) / np.maximum(size, 1)[group]
+    return np.column_stack([np.zeros(len(group)), gain])
 
 
 def _bounded(val: DataFrame, cols: Sequence[str], extra: Sequence[str]) -> pa.Table:

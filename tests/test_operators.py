@@ -46,22 +46,20 @@ def test_parity_impact_scores(spark):
 
 
 def test_outlier_injection(spark):
-    rng = np.random.RandomState(1)
-    rows = [(i, int(v[0] > 0), bool(i % 2), *map(float, v)) for i, v in enumerate(rng.randn(200, 3))]
-    df = frame(spark, rows, "row_id bigint, y int, protected boolean, x0 double, x1 double, x2 double")
-    out, cap = noise.inject_outlier(df, "x1", 0.2, seed=7)
-    got = out.orderBy("row_id").toPandas()
-    x = np.array([r[4] for r in rows])
-    mean, sd = x.mean(), x.std()
-    hit = got["is_noisy"].to_numpy()
-    assert hit.sum() == 40 and abs(cap - (mean + 2 * sd)) < 1e-9
-    bad = got["x1"].to_numpy()[hit]
-    assert (bad >= mean + 3 * sd - 1e-9).all() and (bad <= mean + 5 * sd + 1e-9).all()
-    assert len(set(bad)) > 1
-    assert np.array_equal(got["x1"].to_numpy()[~hit], x[~hit])
-    assert np.array_equal(got["x0"], [r[3] for r in rows]) and np.array_equal(got["x1_clean"], x)
-    again, _ = noise.inject_outlier(df.repartition(7), "x1", 0.2, seed=7)
-    pd.testing.assert_frame_equal(again.orderBy("row_id").toPandas(), got, rtol=1e-12)
+    """Cap and share by hand on a table of known moments; a NULL neither counts nor becomes a number by itself."""
+    data = [(i, i % 2, i % 3 == 0, None if i == 0 else float(i % 10), -float(i)) for i in range(121)]
+    df = frame(spark, data, "row_id bigint, y int, protected boolean, price double, other double")
+    out, cap = noise.inject_outlier(df, "price", 0.25, seed=3)
+    got = out.toPandas().set_index("row_id").sort_index()
+    sd = 8.25**0.5  # of 0..9, twelve times each
+    assert abs(cap - (4.5 + 2 * sd)) < 1e-9 and got.is_noisy.sum() == 30
+    k = (got.price[got.is_noisy] - 4.5) / sd
+    assert k.between(3 - 1e-9, 5 + 1e-9).all() and k.nunique() > 20
+    clean = pd.Series([r[3] for r in data], dtype="float64")
+    assert got.price[~got.is_noisy].equals(clean[~got.is_noisy.to_numpy()].rename("price").rename_axis("row_id"))
+    assert (got.other == [r[4] for r in data]).all()
+    parts = noise.inject_outlier(df.repartition(5), "price", 0.25, seed=3)[0].where("is_noisy")
+    assert {r.row_id for r in parts.select("row_id").collect()} == set(got.index[got.is_noisy])
 
 
 def test_constant_column_degenerates_to_the_mean(spark):
@@ -168,30 +166,34 @@ def test_coarse_steps_stay_close_and_keep_the_total(spark):
 
 
 def test_flipped_rows_score_below_the_rest(spark):
-    """Bias planted in the protected group lowers the parity value."""
-    rng = np.random.RandomState(0)
-    x = rng.randn(240, 4)
-    prot = rng.rand(240) < 0.4
-    x[:, 3] = prot
-    y = (x[:, 0] + rng.randn(240) * 0.3 > 0).astype(int)
-    flipped = rng.choice(np.where(prot[:180] & (y[:180] == 1))[0], 15, replace=False)
-    clean = y.copy()
-    y[flipped] = 0
-    rows = [(i, int(y[i]), int(clean[i]), bool(prot[i]), i in flipped, *map(float, x[i])) for i in range(240)]
+    """Labels taken away from one group only score low under the parity utility."""
+    rows = []
+    for i in range(400):
+        merit, member = (i * 37 % 101) / 50 - 1, i * 7 % 5 < 2
+        clean = int(merit > 0)
+        lost = i < 300 and member and clean == 1 and i % 3 == 0
+        rows.append((i, 0 if lost else clean, clean, member, lost, merit, float(member), (i * 53 % 97) / 97))
     df = frame(
-        spark, rows, "row_id bigint, y int, y_clean int, protected boolean, is_noisy boolean, x0 double, x1 double, x2 double, x3 double"
+        spark, rows, "row_id bigint, y int, y_clean int, protected boolean, is_noisy boolean, merit double, member double, other double"
     )
-    spec = Spec(("x0", "x1", "x2", "x3"))
-    train, val = df.where("row_id < 180"), df.where("row_id >= 180")
-    model = logistic_model(spec, max_iter=20)
+    train, val = df.where("row_id < 300"), df.where("row_id >= 300")
+    model = logistic_model(Spec(("merit", "member", "other")), max_iter=20)
     apply, cols = model.space(train)
     pred = model.predict(train, val).select("row_id", "pred")
     values = stable(shapley.knn_shapley(apply(train), apply(val).join(pred, "row_id"), cols, "parity"))
-    scores = values.toPandas().set_index("row_id")["score"]
-    assert np.isfinite(scores).all() and len(scores) == 180
-    assert scores.loc[sorted(flipped)].mean() < scores.mean()
+    scores = values.join(train.select("row_id", "is_noisy"), "row_id").groupBy("is_noisy").agg({"score": "avg", "row_id": "count"}).toPandas()
+    mean = scores.set_index("is_noisy")["avg(score)"]
+    assert scores["count(row_id)"].sum() == 300 and mean[True] < mean[False]
     ranked = shapley.rank_by_shapley(values, train.where("is_noisy"))
-    assert {r["row_id"] for r in ranked.collect()} == set(int(i) for i in flipped)
+    assert ranked.count() == train.where("is_noisy").count() == ranked.select("rank").distinct().count()
+
+
+def test_parity_utility_without_a_lead():
+    none = shapley.parity_utility(np.array([True, True]), np.array([1.0, 0.0]))
+    even = shapley.parity_utility(np.array([True, True, False, False]), np.array([1.0, 0.0, 0.0, 1.0]))
+    assert not none.any() and not even.any()
+    ahead = shapley.parity_utility(np.array([True, True, False]), np.array([1.0, 1.0, 0.0]))
+    assert ahead.tolist() == [[0, -0.5], [0, -0.5], [0, 1]]
 
 
 def test_validation_must_fit_the_broadcast_bound(spark, monkeypatch):
