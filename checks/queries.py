@@ -212,9 +212,9 @@ def split_train_val_test(spark, sf):
 @query(
     "val_cap",
     S.with_(
-        S.split("lines"),
+        S.split("lines", cap=100),
         "SELECT split, count(*) AS n, sum(CAST(row_id % 1000 AS BIGINT)) AS check_sum FROM sp GROUP BY split",
-    ).replace("1000 THEN 'unused'", "100 THEN 'unused'"),
+    ),
 )
 def val_cap(spark, sf):
     out = sampling.split_rows(views.lines(spark, sf).select("row_id"), val_cap=100)
@@ -610,6 +610,17 @@ def knn_shapley_k5(spark, sf):
     return shapley.knn_shapley(train, val, ["vec"], k=5).select("row_id", R("score", 8))
 
 
+@query(
+    "knn_shapley_unscaled",
+    _knn_strict_sql(1).replace(VEC_D2, f"1e20::DOUBLE * ({VEC_D2})"),
+)
+def knn_shapley_unscaled(spark, sf):
+    """The same order from distances far from 1."""
+    far = F.transform("vec", lambda x: x * 1e10)
+    train, val = (part.withColumn("vec", far) for part in _vectors(spark, sf))
+    return shapley.knn_shapley(train, val, ["vec"]).select("row_id", R("score", 8))
+
+
 ORDER_SPACE = S.corrupted("orders", ORDERS, "random_label") + [S.bin_stats(ORDERS)] + S.space(ORDERS)
 
 

@@ -37,7 +37,7 @@ def view(name: str) -> list[tuple[str, str]]:
     return [("v", VIEW_SQL[name])]
 
 
-def split(name: str) -> list[tuple[str, str]]:
+def split(name: str, cap: int | None = None) -> list[tuple[str, str]]:
     return view(name) + [
         ("v_n", "SELECT count(*) AS n, ceil(0.2::DOUBLE * count(*)) AS n_test FROM v"),
         ("v_o", f"SELECT *, row_number() OVER (ORDER BY {hkey('split:0')}, row_id) AS r FROM v"),
@@ -53,7 +53,7 @@ def split(name: str) -> list[tuple[str, str]]:
         ),
         (
             "sp",
-            """SELECT * EXCLUDE (r, s0, cr), CASE WHEN s0 = 'val' AND cr > 1000 THEN 'unused' ELSE s0 END AS split
+            f"""SELECT * EXCLUDE (r, s0, cr), CASE WHEN s0 = 'val' AND {f"cr > {cap}" if cap else "FALSE"} THEN 'unused' ELSE s0 END AS split
                FROM v_c""",
         ),
     ]
@@ -233,13 +233,12 @@ def distance(n: int) -> str:
 
 
 def pairs(n_dims: int, steps: int, d2: str | None = None, name: str = "prs") -> list[tuple[str, str]]:
-    low, high = -40 * steps, 24 * steps - 1
     d2 = d2 or distance(n_dims)
     return [
         (
             name,
-            f"""SELECT vid, row_id, y, CASE WHEN d2 = 0 THEN {low}
-                  ELSE greatest({low}, least({high}, CAST(floor(log2(d2) * {steps}) AS BIGINT))) END AS step
+            f"""SELECT vid, row_id, y, CASE WHEN d2 = 0 THEN -1152921504606846976
+                  ELSE CAST(floor(log2(d2) * {steps}) AS BIGINT) END AS step
                 FROM (SELECT w.vid, t.row_id, t.y, {d2} AS d2 FROM t_sp t, v_sp w)""",
         )
     ]

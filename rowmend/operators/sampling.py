@@ -14,13 +14,13 @@ def split_rows(
     df: DataFrame,
     test_size: float = 0.2,
     val_size: float = 0.1,
-    val_cap: int | None = 1000,
+    val_cap: int | None = None,
     seed: int = 0,
 ) -> DataFrame:
     """Add ``split``: exactly ceil(test_size * n) test rows, then
     ceil(val_size / (1 - test_size) * rest) validation rows, the rest train.
 
-    Validation rows beyond ``val_cap`` (another random order) are ``unused``.
+    With ``val_cap``, validation rows beyond it (another random order) are ``unused``.
     Only predicates on ``row_id`` are added; no row moves.
     """
     val_frac = val_size / (1 - test_size)

@@ -8,23 +8,22 @@ rank i is
 
 and the value of a training row is the mean over the validation rows.
 
-Sorting |validation| x |training| pairs would shuffle every pair.  It is not
-needed: rows at the same distance must get the same value (they are
-exchangeable), so the value depends only on how many rows of each label lie
-in each distance step.  Three steps, and no row is shuffled:
-
-1. every task counts its rows per (validation row, distance step, label);
-2. the counts are added up and turned into one value per
-   (validation row, distance step, label) with a closed form that averages
-   over the orders inside a step;
-3. every task looks its rows up.
-
-A distance step is a fixed fraction of an octave of the squared distance.
-When all pairs fit the cell budget the steps are so fine that only equal
-distances share one and the result is the strict order.  Beyond it, 128 steps
-per octave bound the table by 8192 steps per validation row whatever the
-number of training rows; a step that spans ranks a..b then moves a value by
-less than 1/a - 1/b.
+Rows at the same distance get the same value (they are exchangeable), so the
+value depends only on how many rows of each label lie in each distance step: a
+closed form averages over the orders inside a step.  The caller chooses:
+
+``steps=None``, the strict order at every size: only equal distances (to 2^-32
+of an octave) share a step.  Each pair goes through the shuffle, to its value
+and back to its training row, and nothing through the driver.
+
+``steps=128``, say, per octave of the squared distance: no training row is
+shuffled.  Every task counts its rows per (validation row, step, label), the
+counts become one value per (validation row, step, label), and every task looks
+its rows up.  A step over the ranks a..b moves a value by less than 1/a - 1/b.
+
+Octaves are those of the floats, with no lower or upper limit; distance zero has
+a step of its own.  Validation rows are taken in blocks of ``BLOCK_CELLS`` cells
+(64 octaves of steps each), and their values added up, so there may be any number.
 """
 
 from __future__ import annotations
@@ -38,25 +37,25 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..core import spread
+from ..core import spread, stable
 from ..functions import harmonic
 from .ranking import score_rank
 
-LOW_OCTAVE, HIGH_OCTAVE = -40, 24  # squared distances outside are clamped
-COARSE_STEPS = 128  # per octave: at most 8192 steps per validation row
+COARSE_STEPS = 128  # per octave
 FINE_STEPS = 1 << 32  # per octave: only equal distances share a step
-CELL_BUDGET = 4_000_000  # |validation| x |training| below this uses FINE_STEPS
-MAX_VAL_ROWS = 2_000  # bound of the broadcast validation block
-MAX_CELLS = MAX_VAL_ROWS * (HIGH_OCTAVE - LOW_OCTAVE) * COARSE_STEPS  # bound of the value table
+ZERO, BEYOND = -(1 << 60), 1 << 60  # steps of distance zero, and of one too large for a double
+BLOCK_CELLS = 8_192_000  # of a block of validation rows, at 64 octaves
+STRICT_BLOCK = 1_000  # validation rows a block in the strict order
+HELD_COUNTS = 16_000_000  # counts a task holds before it hands them on
 
 # the task functions below travel with the job, so executors need no install
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _steps_of(d2: np.ndarray, steps: int) -> np.ndarray:
-    with np.errstate(divide="ignore"):
-        raw = np.floor(np.log2(d2) * steps)
-    return np.clip(raw, LOW_OCTAVE * steps, HIGH_OCTAVE * steps - 1).astype(np.int64)
+    usual = (d2 > 0) & np.isfinite(d2)
+    raw = np.floor(np.log2(np.where(usual, d2, 1.0)) * steps).astype(np.int64)
+    return np.where(usual, raw, np.where(d2 > 0, BEYOND, ZERO))
 
 
 def _squared_distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -76,91 +75,124 @@ def _matrix(batch: pa.RecordBatch, cols: Sequence[str]) -> np.ndarray:
     )
 
 
-def accuracy_utility(y_val: np.ndarray) -> np.ndarray:
-    """Utility [validation row, label]: 1 when the labels agree."""
-    return np.column_stack([y_val == 0, y_val == 1]).astype(np.float64)
+def with_utility(val: DataFrame, utility: str) -> DataFrame:
+    """Adds ``u0`` and ``u1``, what a training row of label 0 or 1 is worth to a
+    validation row as its neighbour.
 
-
-def parity_utility(protected: np.ndarray, pred: np.ndarray) -> np.ndarray:
-    """Utility [validation row, label] for the negative demographic-parity gap,
-    linearised at the fitted model's rates: a 1 predicted in the group that is
-    ahead widens the gap by one over the group's size, in the other it narrows it."""
-    group = protected.astype(np.int64)
-    size = np.bincount(group, minlength=2)
-    ones = np.bincount(group, weights=pred, minlength=2)
-    # rates compared without dividing; equal rates and empty groups give no lead
-    lead = np.sign(ones[1] * size[0] - ones[0] * size[1])
-    gain = lead * (1 - 2 * group) / np.maximum(size, 1)[group]
-    return np.column_stack([np.zeros(len(group)), gain])
-
-
-def _bounded(val: DataFrame, cols: Sequence[str], extra: Sequence[str]) -> pa.Table:
-    table = val.select("row_id", *extra, *cols).limit(MAX_VAL_ROWS + 1).toArrow()
-    if table.num_rows > MAX_VAL_ROWS:
-        raise ValueError(
-            f"the validation frame has more than {MAX_VAL_ROWS} rows; cap it with split_rows(val_cap=...)"
-        )
-    return table.sort_by("row_id")
+    "accuracy": 1 when the labels agree.  "parity": the gain in the negative
+    demographic-parity gap, linearised at the rates of ``pred``: a 1 in the group
+    that is ahead costs one over that group's size, in the other it gains that.
+    """
+    if utility == "accuracy":
+        return val.withColumns({"u0": (F.col("y") == 0).cast("double"), "u1": (F.col("y") == 1).cast("double")})
+    group = F.col("protected")
+    sums = val.agg(
+        F.count_if(group).alias("size"), F.count_if(~group).alias("others"),
+        F.sum(F.when(group, F.col("pred"))).cast("double").alias("ones"),
+        F.sum(F.when(~group, F.col("pred"))).cast("double").alias("other_ones"),
+    ).first()
+    if not sums["size"] or not sums["others"]:
+        return val.withColumns({"u0": F.lit(0.0), "u1": F.lit(0.0)})
+    # rates compared without dividing
+    lead = float(np.sign(sums["ones"] * sums["others"] - sums["other_ones"] * sums["size"]))
+    gain = F.when(group, F.lit(-lead / sums["size"])).otherwise(F.lit(lead / sums["others"]))
+    return val.withColumns({"u0": F.lit(0.0), "u1": gain})
+
+
+def _blocks(val: DataFrame, cols: Sequence[str], size: int) -> Iterator[tuple[np.ndarray, list]]:
+    """Feature matrix and (v, u0, u1) of ``size`` validation rows at a time."""
+    held = []
+
+    def block():
+        rows = [r[cols[0]] if isinstance(r[cols[0]], list) else [r[c] for c in cols] for r in held]
+        return np.array(rows, np.float64), [(i, r["u0"], r["u1"]) for i, r in enumerate(held)]
+
+    for row in val.select("row_id", "u0", "u1", *cols).orderBy("row_id").toLocalIterator():
+        held.append(row)
+        if len(held) == size:
+            yield block()
+            held = []
+    if held:
+        yield block()
 
 
 def _count_cells(train: DataFrame, vals, cols, steps: int) -> DataFrame:
     """(v, step, n0, n1): rows per validation row, distance step and label."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v_block = vals.value
-        if steps <= COARSE_STEPS:
-            yield from _dense(batches, v_block)
-        else:
-            for batch in batches:
-                yield from _sparse(batch, v_block)
-
     def emit(v, step, n0, n1):
         return pa.RecordBatch.from_arrays(
-            [pa.array(v, pa.int32()), pa.array(step, pa.int64()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())],
+            [pa.array(np.full(len(step), v), pa.int32()), *(pa.array(c, pa.int64()) for c in (step, n0, n1))],
             names=["v", "step", "n0", "n1"],
         )
 
-    def _dense(batches, v_block):
-        span = (HIGH_OCTAVE - LOW_OCTAVE) * steps
-        cells = None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v_block = vals.value
+        held: dict[int, tuple[int, np.ndarray]] = {}
+
+        def add(i: int, low: int, found: np.ndarray) -> int:
+            """Adds counts that begin at slot ``low``; by how many the held ones grow."""
+            if i not in held:
+                held[i] = (low, found.astype(np.int64))
+                return len(found)
+            old_low, old = held[i]
+            first, end = min(low, old_low), max(low + len(found), old_low + len(old))
+            if end - first > len(old):
+                wider = np.zeros(end - first, np.int64)
+                wider[old_low - first : old_low - first + len(old)] = old
+                held[i] = (first, wider)
+            held[i][1][low - first : low - first + len(found)] += found
+            return len(held[i][1]) - len(old)
+
+        def hand_on():
+            for i, (low, counts) in held.items():
+                counts = counts.reshape(-1, 2)
+                used = np.flatnonzero(counts.any(axis=1))
+                yield emit(i, used + low // 2, counts[used, 0], counts[used, 1])
+            held.clear()
+
+        size = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = _matrix(batch, cols)
             y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
-            if cells is None:
-                cells = np.zeros((len(v_block), span * 2), dtype=np.int32)
             for i, v in enumerate(v_block):
-                slot = (_steps_of(_squared_distance(x, v), steps) - LOW_OCTAVE * steps) * 2 + y
-                low = slot.min()
-                found = np.bincount(slot - low)
-                cells[i, low : low + len(found)] += found.astype(np.int32)
-        if cells is None:
-            return
-        for i in range(0, len(v_block), 100):
-            part = cells[i : i + 100]
-            n0, n1 = part[:, 0::2], part[:, 1::2]
-            v, used = np.nonzero(n0 + n1)
-            yield emit(v + i, used + LOW_OCTAVE * steps, n0[v, used], n1[v, used])
-
-    def _sparse(batch, v_block):
-        if not batch.num_rows:
-            return
-        x = _matrix(batch, cols)
-        y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, v in enumerate(v_block):
-            step, where = np.unique(_steps_of(_squared_distance(x, v), steps), return_inverse=True)
-            n1 = np.bincount(where, weights=y, minlength=len(step)).astype(np.int64)
-            n = np.bincount(where, minlength=len(step))
-            yield emit(np.full(len(step), i), step, n - n1, n1)
-
-    schema = "v int, step bigint, n0 bigint, n1 bigint"
-    # one table of counts per task: no more tasks than cores
-    cores = train.sparkSession.sparkContext.defaultParallelism
-    partial = train.select("row_id", "y", *cols).coalesce(cores).mapInArrow(count, schema)
+                step = _steps_of(_squared_distance(x, v), steps)
+                usual = np.abs(step) < BEYOND
+                for odd in (ZERO, BEYOND):
+                    n = np.bincount(y[step == odd], minlength=2)
+                    if n.any():
+                        yield emit(i, np.array([odd]), n[:1], n[1:])
+                slot = step[usual] * 2 + y[usual]
+                if len(slot):
+                    low = int(slot.min()) // 2 * 2
+                    found = np.bincount(slot - low)
+                    size += add(i, low, np.r_[found, np.zeros(len(found) % 2, np.int64)])
+                if size > HELD_COUNTS:
+                    yield from hand_on()
+                    size = 0
+        yield from hand_on()
+
+    partial = train.select("row_id", "y", *cols).mapInArrow(count, "v int, step bigint, n0 bigint, n1 bigint")
     return partial.groupBy("v", "step").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
+def _pairs(train: DataFrame, vals, cols) -> DataFrame:
+    """(row_id, y, v, step): every training row at every validation row of the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch, cols)
+            for i, v in enumerate(vals.value):
+                step = _steps_of(_squared_distance(x, v), FINE_STEPS)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row_id"), batch.column("y"), pa.array(np.full(len(step), i), pa.int32()), pa.array(step)],
+                    names=["row_id", "y", "v", "step"],
+                )
+
+    return train.select("row_id", F.col("y").cast("int").alias("y"), *cols).mapInArrow(run, "row_id bigint, y int, v int, step bigint")
+
+
 def cell_values(cells: DataFrame, k: int = 1) -> DataFrame:
     """Value of a row of label 0 and of label 1 in every cell.
 
@@ -203,21 +235,60 @@ def cell_values(cells: DataFrame, k: int = 1) -> DataFrame:
 
 
 def _look_up(train: DataFrame, vals, table, cols, steps: int) -> DataFrame:
+    """Adds the values of the block's validation rows to ``total``."""
+    names = train.columns
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v_block, (starts, step, s0, s1) = vals.value, table.value
         for batch in batches:
             x = _matrix(batch, cols)
             y = batch.column("y").to_numpy(zero_copy_only=False) == 1
-            total = np.zeros(batch.num_rows)
+            total = batch.column("total").to_numpy(zero_copy_only=False).copy()
             for i, v in enumerate(v_block):
                 lo, hi = starts[i], starts[i + 1]
                 at = lo + np.searchsorted(step[lo:hi], _steps_of(_squared_distance(x, v), steps))
                 total += np.where(y, s1[at], s0[at])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row_id"), pa.array(total / len(v_block))], names=["row_id", "score"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(total) if c == "total" else batch.column(c) for c in names], names=names)
+
+    return train.mapInArrow(score, train.schema)
 
-    return train.select("row_id", "y", *cols).mapInArrow(score, "row_id bigint, score double")
+
+def _strict(train: DataFrame, blocks, cols, k: int) -> tuple[DataFrame, int]:
+    spark = train.sparkSession
+    parts, n_val = [], 0
+    for matrix, utilities in blocks:
+        pairs = _pairs(train, spark.sparkContext.broadcast(matrix), cols)
+        cells = pairs.groupBy("v", "step").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
+        # one row for each validation row of the block
+        worth = F.broadcast(spark.createDataFrame(utilities, "v int, u0 double, u1 double"))
+        valued = pairs.join(cell_values(cells.join(worth, "v"), k), ["v", "step"])
+        part = valued.groupBy("row_id").agg(F.sum(F.when(F.col("y") == 1, F.col("s1")).otherwise(F.col("s0"))).alias("total"))
+        parts.append(stable(part))
+        n_val += len(matrix)
+    total = parts[0] if parts else None
+    for part in parts[1:]:
+        total = total.unionByName(part)
+    if len(parts) > 1:
+        total = total.groupBy("row_id").agg(F.sum("total").alias("total"))
+    return total, n_val
+
+
+def _stepwise(train: DataFrame, blocks, cols, k: int, steps: int) -> tuple[DataFrame, int]:
+    spark = train.sparkSession
+    total, n_val = train.withColumn("total", F.lit(0.0)), 0
+    for matrix, utilities in blocks:
+        if n_val:  # ends the plan of the block before, and its broadcasts
+            total = stable(total)
+        vals = spark.sparkContext.broadcast(matrix)
+        worth = F.broadcast(spark.createDataFrame(utilities, "v int, u0 double, u1 double"))
+        cells = _count_cells(train, vals, cols, steps).join(worth, "v")
+        # a block's steps, whatever the number of training rows
+        values = cell_values(cells, k).toArrow().sort_by([("v", "ascending"), ("step", "ascending")])
+        starts = np.searchsorted(values["v"].to_numpy(), np.arange(len(matrix) + 1))
+        table = spark.sparkContext.broadcast((starts, *(values[c].to_numpy() for c in ("step", "s0", "s1"))))
+        total = _look_up(total, vals, table, cols, steps)
+        n_val += len(matrix)
+    return total, n_val
 
 
 def knn_shapley(
@@ -234,43 +305,18 @@ def knn_shapley(
     ``features`` are double columns, or one array<double> column, already
     preprocessed and without NULL.  ``utility`` is "accuracy" (validation
     label agreement) or "parity" (negative demographic-parity gap; ``val``
-    then needs ``protected`` and the model's ``pred``).
+    then needs ``protected`` and the model's ``pred``).  ``steps``: distance
+    steps per octave, for large tables; None is the strict order.
     """
-    spark = train.sparkSession
     cols = list(features)
-    extra = ["y"] if utility == "accuracy" else ["protected", "pred"]
-    block = _bounded(val, cols, extra)
-    if block.num_rows == 0:
-        raise ValueError("Shapley values need at least one validation row")
-    batch = block.combine_chunks().to_batches()[0]
-    v_matrix = _matrix(batch, cols)
-    if utility == "accuracy":
-        u = accuracy_utility(batch.column("y").to_numpy(zero_copy_only=False))
-    else:
-        u = parity_utility(
-            batch.column("protected").to_numpy(zero_copy_only=False).astype(bool),
-            batch.column("pred").to_numpy(zero_copy_only=False).astype(np.float64),
-        )
-    if steps is None or steps > COARSE_STEPS:
-        pairs = train.count() * len(v_matrix)
-        if steps is None:
-            steps = FINE_STEPS if pairs <= CELL_BUDGET else COARSE_STEPS
-        elif min(pairs, len(v_matrix) * (HIGH_OCTAVE - LOW_OCTAVE) * steps) > MAX_CELLS:
-            raise ValueError(f"{steps} steps per octave need more than {MAX_CELLS} cells; choose fewer")
+    strict = steps is None or steps >= FINE_STEPS
+    size = STRICT_BLOCK if strict else max(1, BLOCK_CELLS // (64 * steps))
     train = spread(train.select("row_id", "y", *cols))
-    vals = spark.sparkContext.broadcast(v_matrix)
-    u_table = spark.createDataFrame(
-        [(i, float(p[0]), float(p[1])) for i, p in enumerate(u)], "v int, u0 double, u1 double"
-    )
-    cells = _count_cells(train, vals, cols, steps).join(F.broadcast(u_table), "v")
-    # at most MAX_CELLS rows, whatever the number of training rows
-    values = cell_values(cells, k).toArrow().sort_by([("v", "ascending"), ("step", "ascending")])
-    v_ids = values["v"].to_numpy()
-    starts = np.searchsorted(v_ids, np.arange(len(v_matrix) + 1))
-    table = spark.sparkContext.broadcast(
-        (starts, values["step"].to_numpy(), values["s0"].to_numpy(), values["s1"].to_numpy())
-    )
-    return _look_up(train, vals, table, cols, steps)
+    blocks = _blocks(with_utility(val, utility), cols, size)
+    total, n_val = _strict(train, blocks, cols, k) if strict else _stepwise(train, blocks, cols, k, steps)
+    if not n_val:
+        raise ValueError("Shapley values need at least one validation row")
+    return total.select("row_id", (F.col("total") / n_val).alias("score"))
 
 
 def rank_by_shapley(scores: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

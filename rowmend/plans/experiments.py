@@ -229,9 +229,11 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
 def run_experiment(
     df: DataFrame, spec: Spec, noise_type: str, model: str = "nb", level: float = 0.2,
     seed: int = 42, split_seed: int = 0, grid: list[float] | None = None,
-    methods: tuple[str, ...] | None = None, k: int = 1, shapley_steps: int | None = None,
+    methods: tuple[str, ...] | None = None, k: int = 1, shapley_steps: int | None = None, val_cap: int | None = None,
 ) -> Experiment:
-    """Run one experiment on a frame (row_id, y, protected, features)."""
+    """Run one experiment on a frame (row_id, y, protected, features).
+
+    ``val_cap`` bounds the validation rows; those left out are ``unused`` in the split."""
     if noise_type not in NOISE_TYPES:
         raise ValueError(f"unknown noise type {noise_type!r}; choose from {sorted(NOISE_TYPES)}")
     default = NOISE_TYPES[noise_type]
@@ -243,7 +245,7 @@ def run_experiment(
     if model != "nb" and spec.cat:
         df = factorize(df, spec.cat)
     used = df.select("row_id", "y", "protected", *spec.features)
-    split = stable(spread(split_rows(used, seed=split_seed)))
+    split = stable(spread(split_rows(used, val_cap=val_cap, seed=split_seed)))
     # predicates and literals on top of the split table: nothing to store
     train, cap = corrupt(split, spec, noise_type, level, seed)
     val = split.where(F.col("split") == "val")

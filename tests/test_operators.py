@@ -188,24 +188,39 @@ def test_flipped_rows_score_below_the_rest(spark):
     assert ranked.count() == train.where("is_noisy").count() == ranked.select("rank").distinct().count()
 
 
-def test_parity_utility_without_a_lead():
-    none = shapley.parity_utility(np.array([True, True]), np.array([1.0, 0.0]))
-    even = shapley.parity_utility(np.array([True, True, False, False]), np.array([1.0, 0.0, 0.0, 1.0]))
-    assert not none.any() and not even.any()
-    ahead = shapley.parity_utility(np.array([True, True, False]), np.array([1.0, 1.0, 0.0]))
-    assert ahead.tolist() == [[0, -0.5], [0, -0.5], [0, 1]]
-
-
-def test_validation_must_fit_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(shapley, "MAX_VAL_ROWS", 5)
-    df = frame(spark, [(i, i % 2, float(i)) for i in range(20)], "row_id bigint, y int, x double")
-    with pytest.raises(ValueError, match="more than 5 rows"):
-        shapley.knn_shapley(df, df, ["x"])
+def test_parity_utility_without_a_lead(spark):
+    def gains(rows):
+        out = shapley.with_utility(frame(spark, rows, "row_id bigint, protected boolean, pred double"), "parity")
+        return [(r["u0"], r["u1"]) for r in out.orderBy("row_id").collect()]
+
+    assert gains([(0, True, 1.0), (1, True, 0.0)]) == [(0, 0)] * 2
+    assert gains([(0, True, 1.0), (1, True, 0.0), (2, False, 0.0), (3, False, 1.0)]) == [(0, 0)] * 4
+    assert gains([(0, True, 1.0), (1, True, 1.0), (2, False, 0.0)]) == [(0, -0.5), (0, -0.5), (0, 1)]
+
+
+def test_blocks_of_validation_rows_add_up(spark, monkeypatch):
+    df = frame(spark, [(i, i % 2, float(i * i % 17)) for i in range(20)], "row_id bigint, y int, x double")
+    for steps in (None, 16):
+        whole = shapley.knn_shapley(df, df, ["x"], k=2, steps=steps).toPandas().set_index("row_id")["score"]
+        with monkeypatch.context() as m:
+            m.setattr(shapley, "STRICT_BLOCK", 7)
+            m.setattr(shapley, "BLOCK_CELLS", 64 * 16 * 7)
+            m.setattr(shapley, "HELD_COUNTS", 10)
+            cut = shapley.knn_shapley(df, df, ["x"], k=2, steps=steps).toPandas().set_index("row_id")["score"]
+        assert len(whole) == 20 and (whole - cut).abs().max() < 1e-12
     with pytest.raises(ValueError, match="at least one"):
         shapley.knn_shapley(df, df.where("row_id < 0"), ["x"])
-    monkeypatch.setattr(shapley, "MAX_CELLS", 10)
-    with pytest.raises(ValueError, match="choose fewer"):
-        shapley.knn_shapley(df, df.where("row_id < 3"), ["x"], steps=shapley.FINE_STEPS)
+
+
+@pytest.mark.parametrize("scale", [1e-150, 1e-10, 1.0, 31_000.0, 1e140])
+@pytest.mark.parametrize("steps", [None, 128])
+def test_shapley_at_any_scale(spark, scale, steps):
+    x, y = np.arange(6) * scale, np.array([1, 0, 1, 0, 0, 1])
+    train = frame(spark, [(i, int(y[i]), float(x[i])) for i in range(6)], "row_id bigint, y int, x double")
+    val = frame(spark, [(0, 1, 0.0)], "row_id bigint, y int, x double")
+    got = {r["row_id"]: r["score"] for r in shapley.knn_shapley(train, val, ["x"], steps=steps).collect()}
+    want = brute_shapley(x / scale, y, np.zeros(1), np.ones(1, int), 1)
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in range(6))
 
 
 # ------------------------------------------------- confidence, entropy, codes
