@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
+from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,8 +61,10 @@ NOISE_TYPES: dict[str, Noise] = {
 }
 
 
-def make_model(name: str, spec: Spec):
-    """Scorer by key: "nb", "logistic" or "forest"."""
+def make_model(name, spec: Spec):
+    """Scorer by key ("nb", "logistic" or "forest"), or what a function makes of the spec."""
+    if callable(name):
+        return name(spec)
     builders = {"nb": NaiveBayes, "logistic": logistic_model, "forest": forest_model}
     if name not in builders:
         raise ValueError(f"unknown model {name!r}; choose from {sorted(builders)}")
@@ -175,7 +179,8 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
     """(method, seed, proportion, n_cleaned, accuracy, dp_gap).
 
     The Naive Bayes scorer updates its counts along the grid in one pass.
-    Other models are refitted at every point; the driver keeps a few fits in
+    Other models are refitted at every point, and a fit refused as invalid gives
+    NULL metrics; the driver keeps a few fits in
     flight, and points that clean the same rows share one fit.
     """
     grid, methods = list(how.grid), how.rankers
@@ -204,16 +209,24 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
 
     action = repair_action(how.action, spec, cap)
 
+    # the rows and their rank in every ranking, stored once: a point is a projection
+    column = {(m, s): f"_rank_{i}" for i, (m, s) in enumerate(series)}
+    ranks = rankings.groupBy("row_id").agg(
+        *[F.max(F.when((F.col("method") == m) & (F.col("seed") == s), F.col("rank"))).alias(c) for (m, s), c in column.items()]
+    )
+    ranked = stable(train.join(ranks, "row_id", "left"))
+
     def fit_point(key):
         method, seed, n = key
-        ranking = rankings.where((F.col("method") == method) & (F.col("seed") == seed))
-        chosen = ranking.where(F.col("rank") <= n).select("row_id", F.lit(True).alias("_sel"))
-        joined = train.join(chosen, "row_id", "left")
-        rows = action(joined, F.coalesce(F.col("_sel"), F.lit(False))).drop("_sel")
-        rows = stable(rows.select("row_id", "y", *spec.features))
+        chosen = F.coalesce(F.col(column[(method, seed)]) <= n, F.lit(False)) if n else F.lit(False)
+        rows = action(ranked, chosen).select("row_id", "y", *spec.features)
         if not trainable(rows):
             return key, (None, None)
-        got = evaluate(model.predict(rows, test)).first()
+        try:
+            got = evaluate(model.predict(rows, test)).first()
+        except (ArithmeticException, IllegalArgumentException, ValueError) as e:
+            warnings.warn(f"no fit for {method} with {n} rows cleaned: {e}", stacklevel=2)
+            return key, (None, None)
         return key, (got["accuracy"], got["dp_gap"])
 
     distinct = sorted({(m, s, n) if n else ("", 0, 0) for m, s, _, _, n in points})

@@ -9,7 +9,7 @@ from ..core import Spec, stable
 from ..models.naive_bayes import Binner, long_counts, score_points
 from ..operators.metrics import accuracy
 
-MAX_POINTS = 100_000  # permutations x (groups + 1)
+BATCH_POINTS = 100_000  # coalitions scored in one pass: permutations x (groups + 1)
 
 
 def group_shapley(
@@ -19,10 +19,9 @@ def group_shapley(
     rows join the groups before it, over random orders of the groups.
 
     The training rows are read once, for the counts of every group; the model
-    of a coalition is a sum of group counts, and all coalitions are scored in
-    one pass.
+    of a coalition is a sum of group counts, and the coalitions of a batch of
+    permutations are scored in one pass.
     """
-    spark = train.sparkSession
     binner = Binner.fit(train, spec)
     names = binner.names
     counts = stable(long_counts(train.select(F.col(group).alias("grp"), "y", *binner.columns()), names, ["grp"]))
@@ -30,20 +29,32 @@ def group_shapley(
         F.sum("c0").alias("g0"), F.sum("c1").alias("g1")
     )
     n_groups = sizes.count()
-    if n_perms * (n_groups + 1) > MAX_POINTS:
-        raise ValueError("too many groups for this number of permutations; group more coarsely")
+    batch = max(1, BATCH_POINTS // (n_groups + 1))
+    gains = None
+    for first in range(0, n_perms, batch):
+        n = min(batch, n_perms - first)
+        part = _gains(binner, val, sizes, counts, n_groups, first, n, seed)
+        if n < n_perms:
+            part = stable(part)
+        gains = part if gains is None else gains.unionByName(part)
+    return gains.groupBy(F.col("grp").alias(group)).agg(F.avg("gain").alias("score"), F.max("n_rows").alias("n_rows"))
 
+
+def _gains(binner: Binner, val: DataFrame, sizes: DataFrame, counts: DataFrame, n_groups: int,
+           first: int, n_perms: int, seed: int) -> DataFrame:
+    """(grp, n_rows, gain) for the permutations first .. first + n_perms - 1."""
+    spark = val.sparkSession
     h = F.md5(
         F.concat_ws(":", F.lit(f"perm:{seed}"), F.col("perm").cast("string"), F.col("grp").cast("string")).cast("binary")
     )
     order = Window.partitionBy("perm").orderBy(h, "grp")
     perms = stable(
-        sizes.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n_perms - 1))))
+        sizes.withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(first + n_perms - 1))))
         .withColumn("position", F.row_number().over(order))
     )
     running = Window.partitionBy("perm").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     width = n_groups + 1
-    gid = (F.col("perm") * width + F.col("position")).cast("int").alias("gid")
+    gid = ((F.col("perm") - first) * width + F.col("position")).cast("int").alias("gid")
     points = perms.select(
         gid, F.sum("g0").over(running).cast("double").alias("n0"), F.sum("g1").over(running).cast("double").alias("n1")
     ).unionByName(
@@ -62,9 +73,4 @@ def group_shapley(
     utility = scored.groupBy("gid").agg(accuracy(weight=F.col("w")).alias("u"))
     by_perm = Window.partitionBy(F.floor(F.col("gid") / width)).orderBy("gid")
     gain = utility.select("gid", (F.col("u") - F.lag("u").over(by_perm)).alias("gain"))
-    return (
-        perms.select("grp", gid, (F.col("g0") + F.col("g1")).alias("n_rows"))
-        .join(gain, "gid")
-        .groupBy(F.col("grp").alias(group))
-        .agg(F.avg("gain").alias("score"), F.max("n_rows").alias("n_rows"))
-    )
+    return perms.select("grp", gid, (F.col("g0") + F.col("g1")).alias("n_rows")).join(gain, "gid").select("grp", "n_rows", "gain")
