@@ -11,6 +11,7 @@ from rowmend.models.mllib import logistic_model
 from rowmend.models.naive_bayes import NaiveBayes
 from rowmend.models.preprocess import MedianImputer, Standardizer, fit_yeo_johnson
 from rowmend.operators import confident, encode, fairness, metrics, noise, repair, shapley
+from rowmend.plans import groups
 
 from .conftest import frame
 
@@ -274,3 +275,17 @@ def test_stable_folds_use_only_other_folds(spark):
     model = NaiveBayes(Spec(("x",)))
     before = {r["row_id"]: (r["fold"], r["p1"]) for r in model.oof(df).collect()}
     assert len(before) == 100 and all(0 < p < 1 for _, p in before.values())
+
+
+def test_group_values_in_batches(spark, monkeypatch):
+    rows = [(i, int(i * 7 % 10 < 5), i % 2 == 0, "abc"[i % 3], float(i * 7 % 10)) for i in range(90)]
+    df = frame(spark, rows, "row_id bigint, y int, protected boolean, grp string, x double")
+    train, val = df.where("row_id < 60"), df.where("row_id >= 60")
+
+    def values():
+        got = groups.group_shapley(train, val, Spec(("x",)), "grp", n_perms=5).collect()
+        return {r["grp"]: (round(r["score"], 12), r["n_rows"]) for r in got}
+
+    whole = values()
+    monkeypatch.setattr(groups, "BATCH_POINTS", 8)  # two permutations a batch
+    assert len(whole) == 3 and values() == whole
