@@ -635,7 +635,7 @@ def _order_space(spark, sf, kind="random_label"):
 
 @query(
     "knn_shapley_orders",
-    S.with_(ORDER_SPACE + S.pairs(2, COARSE) + S.shapley_values(S.ACC_UTIL), "SELECT row_id, round(score, 9) AS score FROM shap"),
+    S.with_(ORDER_SPACE + S.pairs(4, COARSE) + S.shapley_values(S.ACC_UTIL), "SELECT row_id, round(score, 9) AS score FROM shap"),
 )
 def knn_shapley_orders(spark, sf):
     _, train, val, apply, cols = _order_space(spark, sf)
@@ -645,7 +645,7 @@ def knn_shapley_orders(spark, sf):
 @query(
     "rank_by_shapley",
     S.with_(
-        ORDER_SPACE + S.pairs(2, COARSE) + S.shapley_values(S.ACC_UTIL, k=3)
+        ORDER_SPACE + S.pairs(4, COARSE) + S.shapley_values(S.ACC_UTIL, k=3)
         + [("s12", "SELECT row_id, round(score, 12) AS score FROM shap"), S.ranked("s12", "score", "r", where=S.NOISY_IDS)],
         "SELECT row_id, rank, n_ranked FROM r",
     ),
@@ -659,7 +659,7 @@ def rank_by_shapley(spark, sf):
 @query(
     "dp_shapley",
     S.with_(
-        S.corrupted("docs", DOCS, "group_label") + [S.bin_stats(DOCS)] + S.space(DOCS) + S.pairs(3, FINE)
+        S.corrupted("docs", DOCS, "group_label") + [S.bin_stats(DOCS)] + S.space(DOCS) + S.pairs(5, FINE)
         + S.predictions(DOCS) + S.shapley_values(S.parity_util()),
         "SELECT row_id, round(score, 9) AS score FROM shap",
     ),
@@ -764,27 +764,36 @@ def demographic_parity_gap(spark, sf):
     return _predicted(spark, sf).groupBy("tax").agg(F.round(metrics.demographic_parity_gap(), 9).alias("dp_gap"))
 
 
-@query(
-    "evaluate_guarded",
-    S.with_(
-        S.corrupted("orders", ORDERS, "random_label")
-        + [
-            ("grp", "SELECT status, count(DISTINCT y) AS labels FROM tr WHERE y = 0 OR status <> 'P' GROUP BY status"),
-            S.bin_stats(ORDERS),
-        ]
-        + S.predictions(ORDERS, "tr", "test"),
-        """SELECT t.status, CASE WHEN any_value(labels) = 2 THEN round(avg(CAST(pred = y AS DOUBLE)), 9) END AS accuracy
-           FROM test t JOIN pred p ON p.row_id = t.row_id JOIN grp g ON g.status = t.status GROUP BY t.status""",
-    ),
-)
+def _guarded_sql() -> str:
+    """A scorer per order status, fitted on its rows; those of P have one label, and no row has status X."""
+    ctes = S.corrupted("orders", ORDERS, "random_label")
+    parts = []
+    for status in ("F", "O"):
+        own = [(f"tr_{status}", f"SELECT * FROM tr WHERE status = '{status}'"), S.bin_stats(ORDERS, f"tr_{status}")]
+        own += S.predictions(ORDERS, f"tr_{status}", "test", f"pred_{status}")
+        ctes += [(name.replace("bst", f"bst_{status}"), sql.replace(", bst", f", bst_{status}")) for name, sql in own]
+        parts.append(
+            f"""SELECT '{status}' AS status, round(avg(CAST(pred = y AS DOUBLE)), 9) AS accuracy,
+                round(coalesce(abs(avg(pred) FILTER (protected) - avg(pred) FILTER (NOT protected)), 0), 9) AS dp_gap
+                FROM test t JOIN pred_{status} p ON p.row_id = t.row_id"""
+        )
+    parts += [f"SELECT '{status}', NULL::DOUBLE, NULL::DOUBLE" for status in ("P", "X")]
+    return S.with_(ctes, " UNION ALL ".join(parts))
+
+
+@query("evaluate_guarded", _guarded_sql())
 def evaluate_guarded(spark, sf):
-    """Accuracy per order status; NULL where its rows carry one label only."""
+    """Metrics of a model per order status; NULL without rows or with one label only."""
     split = stable(sampling.split_rows(views.orders(spark, sf)))
     train, _ = experiments.corrupt(split, ORDERS, "random_label", 0.2, 42)
-    labels = train.where("y = 0 or status <> 'P'").groupBy("status").agg(F.count_distinct("y").alias("labels"))
-    scored = NaiveBayes(ORDERS).predict(train, split.where("split = 'test'"))
-    per = metrics.evaluate(scored, ["status"]).join(labels, "status")
-    return per.select("status", F.when(F.col("labels") == 2, F.round("accuracy", 9)).alias("accuracy"))
+    test = split.where("split = 'test'")
+    rows = []
+    for status in ("F", "O", "P", "X"):
+        own = train.where((F.col("status") == status) & ((F.col("y") == 0) | (F.col("status") != "P")))
+        got = metrics.evaluate_guarded(NaiveBayes(ORDERS), own, test)
+        rows.append((status, got["accuracy"], got["dp_gap"]))
+    out = spark.createDataFrame(rows, "status string, accuracy double, dp_gap double")
+    return out.select("status", R("accuracy", 9), R("dp_gap", 9))
 
 
 @query(
@@ -959,10 +968,12 @@ def _outlier_train(spark, sf):
 
 
 RECORD_SQL = S.with_(
-    S.corrupted("orders", ORDERS, "outlier"),
+    S.corrupted("orders", ORDERS, "outlier") + [(f"k_{c}", S.codes("tr", c)) for c in ORDERS.cat],
     """SELECT row_number() OVER (ORDER BY row_id) - 1 AS train_position, row_id AS dataset_index, is_noisy AS is_true_noisy,
        protected AS is_protected, y_clean AS clean_label, y AS noisy_label,
-       round(price_clean, 4) AS clean_price, round(price, 4) AS noisy_price, balance FROM tr""",
+       round(price_clean, 4) AS clean_price, round(price, 4) AS noisy_price, balance,
+       CAST(coalesce(a.code, -1) AS DOUBLE) AS status, CAST(coalesce(b.code, -1) AS DOUBLE) AS segment
+       FROM tr LEFT JOIN k_status a ON a.k = tr.status LEFT JOIN k_segment b ON b.k = tr.segment""",
 )
 
 
@@ -972,6 +983,8 @@ def _flat(records: DataFrame) -> DataFrame:
         F.round(F.col("clean_features")[0], 4).alias("clean_price"),
         F.round(F.col("noisy_features")[0], 4).alias("noisy_price"),
         F.col("noisy_features")[1].alias("balance"),
+        F.col("noisy_features")[2].alias("status"),
+        F.col("noisy_features")[3].alias("segment"),
     )
 
 
@@ -1252,8 +1265,8 @@ KERNEL = S.corrupted("orders", ORDERS, "outlier") + S.space(ORDERS) + [
 def kernel_similarity(spark, sf):
     from rowmend.plans.variants import kernel_similarity
 
-    _, train, val, apply, cols = _order_space(spark, sf, "outlier")
-    return kernel_similarity(apply(train), apply(val), cols).select("row_id", R("similarity", 8))
+    _, train, val, apply, _ = _order_space(spark, sf, "outlier")
+    return kernel_similarity(apply(train), apply(val), ORDERS.num).select("row_id", R("similarity", 8))
 
 
 @query(
@@ -1275,15 +1288,15 @@ def kernel_similarity(spark, sf):
 def kernel_rank(spark, sf):
     from rowmend.plans import variants
 
-    model, train, val, apply, cols = _order_space(spark, sf, "outlier")
-    similarity = variants.kernel_similarity(apply(train), apply(val), cols)
+    model, train, val, apply, _ = _order_space(spark, sf, "outlier")
+    similarity = variants.kernel_similarity(apply(train), apply(val), ORDERS.num)
     candidates = train.where("is_noisy").select("row_id")
     own = confident.self_confidence(model.predict(val, train)).join(candidates, "row_id", "left_semi")
     return variants.kernel_rank(similarity, own.select("row_id", "conf")).select("row_id", R("score", 8), "rank", "n_ranked")
 
 
 HYBRID = (
-    S.corrupted("docs", DOCS, "group_label") + [S.bin_stats(DOCS)] + S.space(DOCS) + S.pairs(3, FINE)
+    S.corrupted("docs", DOCS, "group_label") + [S.bin_stats(DOCS)] + S.space(DOCS) + S.pairs(5, FINE)
     + S.shapley_values(S.ACC_UTIL) + S.oof(DOCS) + S.issues()
     + [
         ("hc", f"SELECT s.row_id, -s.score AS a, 1 - cf.conf AS b FROM shap s JOIN cf ON cf.row_id = s.row_id WHERE s.{S.NOISY_IDS}"),
@@ -1337,7 +1350,7 @@ def hybrid_rank(spark, sf):
 def detect_noise_type(spark, sf):
     from rowmend.plans.variants import detect_noise_type
 
-    model, train, _, apply, cols = _order_space(spark, sf, "outlier")
+    model, train, _, apply, _ = _order_space(spark, sf, "outlier")
     own = confident.self_confidence(model.oof(train))
-    out = detect_noise_type(apply(train), own, cols)
+    out = detect_noise_type(apply(train), own, ORDERS.num)
     return out.select(R("anomaly"), R("clustering"), "noise_type", "ranker")

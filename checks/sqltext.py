@@ -213,21 +213,30 @@ def oof(spec: Spec, source: str = "tr") -> list[tuple[str, str]]:
 
 
 def space(spec: Spec, source: str = "tr") -> list[tuple[str, str]]:
-    """``t_sp`` and ``v_sp``: median-imputed, standardised number columns."""
+    """``t_sp`` and ``v_sp``: median-imputed, standardised numbers, and category codes."""
     med = ", ".join(f"median({c}) AS d_{c}" for c in spec.num)
     filled = ", ".join(f"coalesce({c}, d_{c}) AS {c}" for c in spec.num)
     stat = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in spec.num)
     z = ", ".join(f"({c} - m_{c}) / CASE WHEN s_{c} = 0 THEN 1 ELSE s_{c} END AS z{i}" for i, c in enumerate(spec.num))
+    filled += "".join(f", {c}" for c in spec.cat)
+    z += "".join(f", CAST(coalesce(k{i}.code, -1) AS DOUBLE) AS z{len(spec.num) + i}" for i in range(len(spec.cat)))
+    look_up = " ".join(f"LEFT JOIN x_k{i} k{i} ON k{i}.k = x.{c}" for i, c in enumerate(spec.cat))
     return [
         ("x_med", f"SELECT {med} FROM {source}"),
+        *[(f"x_k{i}", codes(source, c)) for i, c in enumerate(spec.cat)],
         ("x_t", f"SELECT row_id, y, {filled} FROM {source}, x_med"),
         ("x_v", f"SELECT row_id, y, protected, {filled} FROM val, x_med"),
         ("x_st", f"SELECT {stat} FROM x_t"),
-        ("t_sp", f"SELECT row_id, y, {z} FROM x_t, x_st"),
-        ("v_sp", f"SELECT row_id AS vid, y AS vy, protected AS vp, {z} FROM x_v, x_st"),
+        ("t_sp", f"SELECT row_id, y, {z} FROM x_t x CROSS JOIN x_st {look_up}"),
+        ("v_sp", f"SELECT row_id AS vid, y AS vy, protected AS vp, {z} FROM x_v x CROSS JOIN x_st {look_up}"),
     ]
 
 
+def codes(source: str, col: str) -> str:
+    """(k, code): categories numbered by first appearance."""
+    return f"SELECT {col} AS k, row_number() OVER (ORDER BY min(row_id)) - 1 AS code FROM {source} WHERE {col} IS NOT NULL GROUP BY {col}"
+
+
 def distance(n: int) -> str:
     return " + ".join(f"(t.z{i} - w.z{i}) * (t.z{i} - w.z{i})" for i in range(n))
 
@@ -366,7 +375,7 @@ def rankings(spec: Spec, methods: tuple[str, ...], steps: int) -> list[tuple[str
     ctes = [bin_stats(spec)]
     parts = []
     if {"shapley", "fair_shapley"} & set(methods):
-        ctes += space(spec) + pairs(len(spec.num), steps)
+        ctes += space(spec) + pairs(len(spec.features), steps)
     if "shapley" in methods:
         ctes += shapley_values(ACC_UTIL, out="shap")
         ctes.append(("shap12", "SELECT row_id, round(score, 12) AS score FROM shap"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..core import Spec, broadcastable, stable
 from ..functions import z_bin
+from ..operators.encode import category_codes, with_codes
 from ..operators.metrics import accuracy, demographic_parity_gap
 from ..operators.sampling import stratified_folds
 from .preprocess import MedianImputer, Standardizer
@@ -129,11 +130,22 @@ class NaiveBayes:
 
     # -- feature space of the Shapley distances
     def space(self, train: DataFrame):
-        """Function that maps a frame to imputed, standardised columns."""
-        cols = list(self.spec.num)
-        imputer = MedianImputer(cols).fit(train)
-        scaler = Standardizer(cols).fit(imputer.transform(train))
-        return lambda df: scaler.transform(imputer.transform(df)), cols
+        """Function that maps a frame to imputed, standardised numbers and to the
+        codes of its categories: first appearance in ``train``, -1 if missing or
+        not in there."""
+        num, cat = list(self.spec.num), list(self.spec.cat)
+        stages = []
+        if num:
+            stages.append(MedianImputer(num).fit(train))
+            stages.append(Standardizer(num).fit(stages[0].transform(train)))
+        codes = stable(category_codes(train, cat)) if cat else None
+
+        def apply(df: DataFrame) -> DataFrame:
+            for stage in stages:
+                df = stage.transform(df)
+            return with_codes(df, codes, {c: i for i, c in enumerate(cat)}) if cat else df
+
+        return apply, num + cat
 
     def predict(self, train: DataFrame, rows: DataFrame) -> DataFrame:
         """``rows`` with ``p1`` and ``pred`` of a model fitted on ``train``."""

@@ -42,10 +42,15 @@ def category_codes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def factorize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Replace strings by codes in first-appearance order; missing becomes -1."""
-    codes = stable(category_codes(df, cols))
+    return with_codes(df, stable(category_codes(df, cols)), {c: i for i, c in enumerate(cols)})
+
+
+def with_codes(df: DataFrame, codes: DataFrame, columns: dict[str, int]) -> DataFrame:
+    """Replace strings by the codes of a dictionary; ``columns`` gives the column
+    index in it.  Missing values and those not in the dictionary become -1."""
     small = broadcastable(codes, "c", "value")
     out = df
-    for i, name in enumerate(cols):
+    for name, i in columns.items():
         part = codes.where(F.col("c") == i).select(F.col("value").alias(name), F.col("code").alias("_code"))
         part = F.broadcast(part) if i in small else part
         out = out.join(part, name, "left").withColumn(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +41,19 @@ def trainable(train: DataFrame) -> bool:
     return train.agg(F.count_distinct("y")).first()[0] >= 2
 
 
+def evaluate_guarded(model, train: DataFrame, test: DataFrame) -> dict[str, float | None]:
+    """Both metrics of ``model`` fitted on ``train``; None where there is nothing
+    to fit (no rows, one label) or the fit is refused as invalid."""
+    nothing = {"accuracy": None, "dp_gap": None}
+    if not trainable(train):
+        return nothing
+    try:
+        return evaluate(model.predict(train, test)).first().asDict()
+    except (ArithmeticException, IllegalArgumentException, ValueError) as e:
+        warnings.warn(f"no fit: {e}", stacklevel=2)
+        return nothing
+
+
 def random_mean_std(curve: DataFrame) -> DataFrame:
     """Mean and population deviation over the seeds, per method and point."""
     return curve.groupBy("method", "proportion").agg(

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import warnings
 from dataclasses import dataclass, field
 
-from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from ..models.mllib import forest_model, logistic_model
 from ..models.naive_bayes import NaiveBayes
 from ..operators import confident, fairness, noise, repair, shapley
 from ..operators.encode import factorize
-from ..operators.metrics import evaluate, trainable
+from ..operators.metrics import evaluate_guarded
 from ..operators.sampling import split_rows
 
 GRID = repair.proportion_grid()  # 0, 5, ..., 100 %
@@ -220,13 +218,7 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
         method, seed, n = key
         chosen = F.coalesce(F.col(column[(method, seed)]) <= n, F.lit(False)) if n else F.lit(False)
         rows = action(ranked, chosen).select("row_id", "y", *spec.features)
-        if not trainable(rows):
-            return key, (None, None)
-        try:
-            got = evaluate(model.predict(rows, test)).first()
-        except (ArithmeticException, IllegalArgumentException, ValueError) as e:
-            warnings.warn(f"no fit for {method} with {n} rows cleaned: {e}", stacklevel=2)
-            return key, (None, None)
+        got = evaluate_guarded(model, rows, test)
         return key, (got["accuracy"], got["dp_gap"])
 
     distinct = sorted({(m, s, n) if n else ("", 0, 0) for m, s, _, _, n in points})

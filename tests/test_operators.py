@@ -189,6 +189,24 @@ def test_flipped_rows_score_below_the_rest(spark):
     assert ranked.count() == train.where("is_noisy").count() == ranked.select("rank").distinct().count()
 
 
+def test_space_of_categories_alone(spark):
+    schema = "row_id bigint, y int, job string"
+    train = frame(spark, [(0, 1, "b"), (1, 0, None), (2, 1, "a"), (3, 0, "b")], schema)
+    apply, cols = NaiveBayes(Spec((), ("job",))).space(train)
+    val = apply(frame(spark, [(7, 1, "a"), (8, 0, None), (9, 1, "new"), (10, 1, "b")], schema))
+    assert cols == ["job"] and {r.row_id: r.job for r in val.collect()} == {7: 1.0, 8: -1.0, 9: -1.0, 10: 0.0}
+    assert shapley.knn_shapley(apply(train), val, cols).count() == 4
+
+
+def test_guarded_evaluation(spark):
+    schema = "row_id bigint, y int, protected boolean, job string"
+    rows = frame(spark, [(0, 1, True, "b"), (1, 0, False, "a"), (2, 1, False, "b")], schema)
+    model = NaiveBayes(Spec((), ("job",)))
+    assert metrics.evaluate_guarded(model, rows, rows) == {"accuracy": 1.0, "dp_gap": 0.5}
+    for unfit in (rows.where("y = 1"), rows.limit(0)):
+        assert metrics.evaluate_guarded(model, unfit, rows) == {"accuracy": None, "dp_gap": None}
+
+
 def test_parity_utility_without_a_lead(spark):
     def gains(rows):
         out = shapley.with_utility(frame(spark, rows, "row_id bigint, protected boolean, pred double"), "parity")
