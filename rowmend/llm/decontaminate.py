@@ -1,6 +1,8 @@
 """Benchmark items in documents: counting shared q-grams in diagonal bands.
 
-Texts are lower-cased, punctuation becomes blanks.  An item of m bytes stands in
+Texts are folded to lower case in all alphabets, composed (NFC), and all but
+letters, digits and combining marks becomes blanks; bytes are those of UTF-8
+after that.  An item of m bytes stands in
 a document with at most k edits only if they share m - q + 1 - k * q of its
 q-grams on diagonals (place in the text less place in the item) at most k
 apart.  So shared q-grams are counted in bands of 2 (k + 1) diagonals that
@@ -11,8 +13,9 @@ Items are taken in blocks of bounded size, each compared with all documents, so
 a benchmark of any size works with bounded memory.
 
 Nulls: a null text has no matches, a null item is left out, null ids are kept.
-Items of fewer than q normalised bytes are too short to tell, and left out;
-short ones are allowed fewer edits, so that the number stays positive.
+Items of fewer than q normalised bytes have to stand as they are between word
+borders; short ones are allowed fewer edits, so that the number stays positive.
+Items without a letter or digit are left out.
 Repeated rows match alike; an item that matches a document several times is
 reported once, with the fewest edits, the first of equals.  Empty tables give
 no matches.
@@ -20,6 +23,7 @@ no matches.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +38,24 @@ BLOCK_BYTES = 2_000_000
 TABLE_BITS = 22
 MULTIPLIERS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
-_KEEP = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))
+_KEEP = set(range(48, 58)) | set(range(97, 123))
 CLEAN = bytes(b + 32 if 65 <= b <= 90 else b if b in _KEEP else 32 for b in range(256))
 
 
-def normalise(text: bytes) -> bytes:
-    return b" ".join(text.translate(CLEAN).split())
+class _Letters(dict):
+    """Code point to itself, or to a blank, as they come up."""
+
+    def __missing__(self, code: int) -> int:
+        kept = chr(code).isalnum() or unicodedata.category(chr(code))[0] == "M"
+        self[code] = code if kept else 32
+        return self[code]
+
+
+def normalise(text: bytes, letters: dict = _Letters()) -> bytes:
+    if text.isascii():
+        return b" ".join(text.translate(CLEAN).split())
+    folded = unicodedata.normalize("NFC", text.decode("utf-8", "replace")).casefold()
+    return " ".join(unicodedata.normalize("NFC", folded).translate(letters).split()).encode()
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -61,6 +77,12 @@ class Items:
         self.size = np.array([len(t) for t in texts], np.int64)
         self.edits = np.array([min(int(rate * len(t)), (len(t) - Q) // Q) for t in texts], np.int64)
         self.need = self.size - Q + 1 - self.edits * Q
+        # those without a q-gram, by their words
+        self.short: dict[bytes, list[int]] = {}
+        for i, t in enumerate(texts):
+            if len(t) < Q:
+                self.short.setdefault(t, []).append(i)
+        self.short_words = sorted({t.count(b" ") + 1 for t in self.short})
         h = [grams(t) for t in texts]
         item = np.repeat(np.arange(len(texts)), [len(x) for x in h])
         place = np.concatenate([np.arange(len(x)) for x in h])
@@ -103,6 +125,19 @@ class Items:
         return np.concatenate(out)
 
 
+    def exact(self, text: bytes) -> dict[int, tuple[int, int]]:
+        """item -> (0, end) of the first place of each item shorter than q, on word borders."""
+        out: dict[int, tuple[int, int]] = {}
+        if self.short:
+            words = text.split(b" ")
+            end = np.cumsum([len(w) + 1 for w in words]) - 1
+            for n in self.short_words:
+                for k in range(len(words) - n + 1):
+                    for i in self.short.get(b" ".join(words[k : k + n]), ()):
+                        out.setdefault(i, (0, int(end[k + n - 1])))
+        return out
+
+
 def align(item: bytes, text: bytes, low: int, high: int, edits: int) -> tuple[int, int] | None:
     """(edits, end in the text) of the best match of the item that begins between
     ``low`` and ``high``, or None if it takes more than ``edits``."""
@@ -142,6 +177,10 @@ def _matches(items: Items, data: bytes, off: np.ndarray) -> dict[int, dict[int,
             if hit:
                 best = out.setdefault(doc, {})
                 best[i] = min(best.get(i, hit), hit)
+    for doc in range(len(off) - 1 if items.short else 0):
+        found = items.exact(data[off[doc] : off[doc + 1] - 1])
+        if found:
+            out.setdefault(doc, {}).update(found)
     return out
 
 
@@ -153,7 +192,7 @@ def blocks(benchmark: DataFrame, rate: float) -> Iterator[Items]:
     for k in range(n):
         rows = kept.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         known = [(r.item_id, normalise(r.text.encode())) for r in rows]
-        known = [(i, t) for i, t in known if len(t) >= Q]
+        known = [(i, t) for i, t in known if t]
         if known:
             yield Items([i for i, _ in known], [t for _, t in known], rate)
 
