@@ -3,8 +3,9 @@
 Word counts come from all training documents.  The ``classes * class_size`` most
 frequent words have weights of their own; the others are one class, in which
 their counts decide.  The model is trained in rounds: tasks start from the same
-weights, learn from the training documents of the round's share, and their
-weights are averaged, and kept if documents apart from those become likelier.  So counts and training grow with the corpus, while the
+weights, learn from the training documents of the round, and their weights are
+averaged, and kept if documents of another round become likelier.  Each training
+document is in one round.  So counts and training grow with the corpus, while the
 weights and the table of ``known_words`` frequent words, which go to every task,
 stay as large as the parameters say.
 
@@ -42,7 +43,7 @@ class Size:
     embed: int = 16
     hidden: int = 24
     rounds: int = 2
-    share: int = 20  # a round learns from one in so many training documents
+    share: int = 1  # more: the rounds together learn from one in so many training documents
     task_words: int = 400_000  # words in memory at a time
 
 
@@ -155,14 +156,17 @@ def initial(table: Table, size: Size) -> dict[str, np.ndarray]:
     return gru.start(log_class, log_word, size.embed, size.hidden, seed=5)
 
 
+def _round(size: Size) -> Column:
+    """The round that learns from a training document; from ``rounds`` on, none does."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(size.share * size.rounds))
+
+
 def train(docs: DataFrame, table: Table, size: Size) -> dict[str, np.ndarray]:
     """Weights after all rounds; docs: the training documents."""
     sc = docs.sparkSession.sparkContext
     p = initial(table, size)
     memory = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     names = list(p)
-    parts = size.share * (size.rounds + 1)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts))
     for k in range(size.rounds):
         held = sc.broadcast((vars(table), p, memory))  # plain values
 
@@ -188,19 +192,18 @@ def train(docs: DataFrame, table: Table, size: Size) -> dict[str, np.ndarray]:
             return pa.table({"name": group.column("name")[:1], "value": pa.array([(total / seen.sum()).astype("<f4").tobytes()], pa.binary())})
 
         # all tasks' weights meet in two steps, so that no group holds those of all
-        share = docs.where(part.between((size.rounds + 1) * k, (size.rounds + 1) * (k + 1) - 1)).select("text")
-        learned = share.mapInArrow(run, "name string, value binary, seen long")
+        learned = docs.where(_round(size) == k).select("text").mapInArrow(run, "name string, value binary, seen long")
         rows = _average(learned, average).collect()  # as large as the model
         if rows:
             new = {r.name: np.frombuffer(r.value, "<f4") for r in rows}
             tried = {n: new[n].reshape(p[n].shape).copy() for n in names}
-            if better(docs.where(part >= parts - size.rounds - 1).select("text"), table, p, tried, size):
+            if better(docs.where(_round(size) == (k + 1) % size.rounds).select("text"), table, p, tried, size):
                 p, memory = tried, {n: new[f"m:{n}"].reshape(p[n].shape).copy() for n in names}
     return p
 
 
 def better(docs: DataFrame, table: Table, old: dict, new: dict, size: Size) -> bool:
-    """Whether documents that no round learns from are likelier with the new weights."""
+    """Whether the documents are likelier with the new weights."""
     held = docs.sparkSession.sparkContext.broadcast((vars(table), old, new))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
