@@ -107,3 +107,13 @@ def op2_language_model(spark, sf):
     from . import lm
 
     return lm.score(table(spark, sf, "documents"))
+
+
+@query
+def op13_binary_records(spark, sf):
+    import public_tokenizers
+
+    from . import records
+
+    done = records.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", "start", "n_tokens", "ids_crc32")
