@@ -71,9 +71,9 @@ def op8_quality_classifier(spark, sf):
 
 
 def _sql() -> dict[str, str]:
-    from . import licenses
+    from . import licenses, prefix_trie
 
-    return {"op7_license_scan": licenses.scan_sql()}
+    return {"op7_license_scan": licenses.scan_sql(), "op11_prefix_trie": prefix_trie.nodes_sql()}
 
 
 SQL.update(_sql())
@@ -117,3 +117,11 @@ def op13_binary_records(spark, sf):
 
     done = records.round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return done.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op11_prefix_trie(spark, sf):
+    from . import prefix_trie
+
+    nodes = prefix_trie.prefix_trie(table(spark, sf, "conversations"))
+    return nodes.select(*prefix_trie.NUMBERS, "ends_sha256")
