@@ -71,9 +71,13 @@ def op8_quality_classifier(spark, sf):
 
 
 def _sql() -> dict[str, str]:
-    from . import licenses, prefix_trie
+    from . import licenses, prefix_trie, spelling
 
-    return {"op7_license_scan": licenses.scan_sql(), "op11_prefix_trie": prefix_trie.nodes_sql()}
+    return {
+        "op7_license_scan": licenses.scan_sql(),
+        "op11_prefix_trie": prefix_trie.nodes_sql(),
+        "op12_spelling_variants": spelling.variants_sql(),
+    }
 
 
 SQL.update(_sql())
@@ -125,3 +129,10 @@ def op11_prefix_trie(spark, sf):
 
     nodes = prefix_trie.prefix_trie(table(spark, sf, "conversations"))
     return nodes.select(*prefix_trie.NUMBERS, "ends_sha256")
+
+
+@query
+def op12_spelling_variants(spark, sf):
+    from . import spelling
+
+    return spelling.spelling_variants(table(spark, sf, "documents"))
