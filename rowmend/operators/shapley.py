@@ -12,79 +12,88 @@ Rows at the same distance get the same value (they are exchangeable), so the
 value depends only on how many rows of each label lie in each distance step: a
 closed form averages over the orders inside a step.  The caller chooses:
 
-``steps=None``, the strict order at every size: only equal distances (to 2^-32
-of an octave) share a step.  Each pair goes through the shuffle, to its value
-and back to its training row, and nothing through the driver.
-
-``steps=128``, say, per octave of the squared distance: no training row is
-shuffled.  Every task counts its rows per (validation row, step, label), the
-counts become one value per (validation row, step, label), and every task looks
-its rows up.  A step over the ranks a..b moves a value by less than 1/a - 1/b.
+``steps=None``, the strict order: only equal distances (to 2^-32 of an octave)
+share a step.  ``steps=128``, say, per octave of the squared distance: a step over
+the ranks a..b moves a value by less than 1/a - 1/b.
+
+``error=0.001``, say: only the nearest rows are valued, the others get 0.  Beyond rank
+K* = range of u / error a value is at most ``error``, and so is what the rows there
+take from the nearer ones; so no score is off by more, and per validation row about
+K* rows are sorted and looked at, not all.
+
+No pair of rows goes through a shuffle, and no row through the driver.  Training
+rows are packed into chunks, validation rows dealt out to blocks; each block meets
+all chunks in its task.  If there are more training rows than a task takes, a block
+meets them in splits: the splits' counts per step are added up per validation row, turned
+into values, and the values meet the chunks.  What a block gives to a chunk is one
+array of sums, so the shuffle carries (training rows) x (blocks) numbers.
 
 Octaves are those of the floats, with no lower or upper limit; distance zero has
-a step of its own.  Validation rows are taken in blocks of ``BLOCK_CELLS`` cells
-(64 octaves of steps each), and their values added up, so there may be any number.
+a step of its own.  A feature that is NULL or NaN is an error.
 """
 
 from __future__ import annotations
 
+import math
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import spread, stable
-from ..functions import harmonic
 from .ranking import score_rank
 
 COARSE_STEPS = 128  # per octave
 FINE_STEPS = 1 << 32  # per octave: only equal distances share a step
 ZERO, BEYOND = -(1 << 60), 1 << 60  # steps of distance zero, and of one too large for a double
-BLOCK_CELLS = 8_192_000  # of a block of validation rows, at 64 octaves
-STRICT_BLOCK = 1_000  # validation rows a block in the strict order
-HELD_COUNTS = 16_000_000  # counts a task holds before it hands them on
+CHUNK_VALUES = 131_072  # features of the training rows of a chunk
+SPLIT_VALUES = 16_000_000  # features of the training rows that a task holds
+BLOCK_ROWS = 1_024  # validation rows of a block at most
+BLOCK_CELLS = 4_000_000  # steps of a block's validation rows whose values a task holds, about
+TILE = 16_384
+DENSE = 1 << 20  # steps that are counted in an array
 
 # the task functions below travel with the job, so executors need no install
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _steps_of(d2: np.ndarray, steps: int) -> np.ndarray:
+    if len(d2) and 0 < d2.min() and d2.max() < np.inf:
+        return np.floor(np.log2(d2) * steps).astype(np.int64)
     usual = (d2 > 0) & np.isfinite(d2)
     raw = np.floor(np.log2(np.where(usual, d2, 1.0)) * steps).astype(np.int64)
     return np.where(usual, raw, np.where(d2 > 0, BEYOND, ZERO))
 
 
-def _squared_distance(x: np.ndarray, v: np.ndarray) -> np.ndarray:
-    d2 = np.zeros(len(x))
-    for j in range(x.shape[1]):
-        diff = x[:, j] - v[j]
-        d2 += diff * diff
-    return d2
-
-
 def _matrix(batch: pa.RecordBatch, cols: Sequence[str]) -> np.ndarray:
     if len(cols) == 1 and pa.types.is_list(batch.column(cols[0]).type):
         flat = batch.column(cols[0]).flatten().to_numpy(zero_copy_only=False)
-        return flat.astype(np.float64).reshape(batch.num_rows, -1)
-    return np.column_stack(
-        [batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in cols]
-    )
+        x = flat.astype(np.float64).reshape(batch.num_rows, -1)
+    else:
+        x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in cols])
+    if np.isnan(x).any():
+        raise ValueError("a feature is NULL or NaN; impute before distances are taken")
+    return x
 
 
-def with_utility(val: DataFrame, utility: str) -> DataFrame:
-    """Adds ``u0`` and ``u1``, what a training row of label 0 or 1 is worth to a
-    validation row as its neighbour.
+def with_utility(val: DataFrame, utility: str | Callable[[object], Column], labels: Sequence = (0, 1)) -> DataFrame:
+    """Adds ``u0``, ``u1`` and so on: what a training row of the first, second, ... label is
+    worth to a validation row as its neighbour.
 
     "accuracy": 1 when the labels agree.  "parity": the gain in the negative
     demographic-parity gap, linearised at the rates of ``pred``: a 1 in the group
-    that is ahead costs one over that group's size, in the other it gains that.
+    that is ahead costs one over that group's size, in the other it gains that.  Or a function that makes a column over ``val`` from a label.
     """
+    if callable(utility):
+        return val.withColumns({f"u{i}": utility(label).cast("double") for i, label in enumerate(labels)})
     if utility == "accuracy":
-        return val.withColumns({"u0": (F.col("y") == 0).cast("double"), "u1": (F.col("y") == 1).cast("double")})
+        return val.withColumns({f"u{i}": (F.col("y") == label).cast("double") for i, label in enumerate(labels)})
+    if list(labels) != [0, 1]:
+        raise ValueError("parity is for the labels 0 and 1")
     group = F.col("protected")
     sums = val.agg(
         F.count_if(group).alias("size"), F.count_if(~group).alias("others"),
@@ -99,224 +108,346 @@ def with_utility(val: DataFrame, utility: str) -> DataFrame:
     return val.withColumns({"u0": F.lit(0.0), "u1": gain})
 
 
-def _blocks(val: DataFrame, cols: Sequence[str], size: int) -> Iterator[tuple[np.ndarray, list]]:
-    """Feature matrix and (v, u0, u1) of ``size`` validation rows at a time."""
-    held = []
-
-    def block():
-        rows = [r[cols[0]] if isinstance(r[cols[0]], list) else [r[c] for c in cols] for r in held]
-        return np.array(rows, np.float64), [(i, r["u0"], r["u1"]) for i, r in enumerate(held)]
-
-    for row in val.select("row_id", "u0", "u1", *cols).orderBy("row_id").toLocalIterator():
-        held.append(row)
-        if len(held) == size:
-            yield block()
-            held = []
-    if held:
-        yield block()
-
-
-def _count_cells(train: DataFrame, vals, cols, steps: int) -> DataFrame:
-    """(v, step, n0, n1): rows per validation row, distance step and label."""
-
-    def emit(v, step, n0, n1):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(step), v), pa.int32()), *(pa.array(c, pa.int64()) for c in (step, n0, n1))],
-            names=["v", "step", "n0", "n1"],
-        )
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v_block = vals.value
-        held: dict[int, tuple[int, np.ndarray]] = {}
-
-        def add(i: int, low: int, found: np.ndarray) -> int:
-            """Adds counts that begin at slot ``low``; by how many the held ones grow."""
-            if i not in held:
-                held[i] = (low, found.astype(np.int64))
-                return len(found)
-            old_low, old = held[i]
-            first, end = min(low, old_low), max(low + len(found), old_low + len(old))
-            if end - first > len(old):
-                wider = np.zeros(end - first, np.int64)
-                wider[old_low - first : old_low - first + len(old)] = old
-                held[i] = (first, wider)
-            held[i][1][low - first : low - first + len(found)] += found
-            return len(held[i][1]) - len(old)
-
-        def hand_on():
-            for i, (low, counts) in held.items():
-                counts = counts.reshape(-1, 2)
-                used = np.flatnonzero(counts.any(axis=1))
-                yield emit(i, used + low // 2, counts[used, 0], counts[used, 1])
-            held.clear()
-
-        size = 0
+def _chunks(train: DataFrame, cols: Sequence[str], labels: Sequence) -> DataFrame:
+    """Training rows, packed: chunk, n, width (features), x and y (place of the label), and ids."""
+    names = np.array(labels)
+    order = np.argsort(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch, cols)
-            y = batch.column("y").to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, v in enumerate(v_block):
-                step = _steps_of(_squared_distance(x, v), steps)
-                usual = np.abs(step) < BEYOND
-                for odd in (ZERO, BEYOND):
-                    n = np.bincount(y[step == odd], minlength=2)
-                    if n.any():
-                        yield emit(i, np.array([odd]), n[:1], n[1:])
-                slot = step[usual] * 2 + y[usual]
-                if len(slot):
-                    low = int(slot.min()) // 2 * 2
-                    found = np.bincount(slot - low)
-                    size += add(i, low, np.r_[found, np.zeros(len(found) % 2, np.int64)])
-                if size > HELD_COUNTS:
-                    yield from hand_on()
-                    size = 0
-        yield from hand_on()
-
-    partial = train.select("row_id", "y", *cols).mapInArrow(count, "v int, step bigint, n0 bigint, n1 bigint")
-    return partial.groupBy("v", "step").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
-
-def _pairs(train: DataFrame, vals, cols) -> DataFrame:
-    """(row_id, y, v, step): every training row at every validation row of the block."""
+            x, given = _matrix(batch, cols), batch.column("y").to_numpy(zero_copy_only=False)
+            y = order[np.minimum(np.searchsorted(names[order], given), len(names) - 1)]
+            if (names[y] != given).any():
+                raise ValueError(f"a training label is none of {list(labels)}")
+            ids = batch.column("row_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            size = max(1, CHUNK_VALUES // x.shape[1])
+            for lo in range(0, len(x), size):
+                part = slice(lo, lo + size)
+                n = len(y[part])
+                parts = [x[part].tobytes(), y[part].astype(np.int32).tobytes(), ids[part].tobytes()]
+                heads = [pa.array([chunk]), pa.array([n], pa.int32()), pa.array([x.shape[1]], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*heads, *(pa.array([p], pa.binary()) for p in parts)], ["chunk", "n", "width", "x", "y", "ids"])
+                chunk += 1
+
+    return train.mapInArrow(run, "chunk bigint, n int, width int, x binary, y binary, ids binary")
+
+
+def _heads(val: DataFrame, cols: Sequence[str], n_labels: int) -> DataFrame:
+    """Validation rows, packed: key, a (features), b (utilities)."""
+    us = [f"u{i}" for i in range(n_labels)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch, cols)
-            for i, v in enumerate(vals.value):
-                step = _steps_of(_squared_distance(x, v), FINE_STEPS)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id"), batch.column("y"), pa.array(np.full(len(step), i), pa.int32()), pa.array(step)],
-                    names=["row_id", "y", "v", "step"],
-                )
+            if batch.num_rows:
+                x = _matrix(batch, cols)
+                u = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in us])
+                packed = [pa.array([row.tobytes() for row in m], pa.binary()) for m in (x, u)]
+                yield pa.RecordBatch.from_arrays([batch.column("row_id"), *packed], ["key", "a", "b"])
 
-    return train.select("row_id", F.col("y").cast("int").alias("y"), *cols).mapInArrow(run, "row_id bigint, y int, v int, step bigint")
+    return val.select(F.col("row_id").cast("long").alias("row_id"), *us, *cols).mapInArrow(run, "key bigint, a binary, b binary")
 
 
-def cell_values(cells: DataFrame, k: int = 1) -> DataFrame:
-    """Value of a row of label 0 and of label 1 in every cell.
+def _harmonic(n: np.ndarray) -> np.ndarray:
+    table = np.r_[0.0, np.cumsum(1.0 / np.arange(1, 64))]
+    m = np.maximum(n, 64).astype(np.float64)
+    series = np.log(m) + np.euler_gamma + 0.5 / m - (1 / 12 - (1 / 120 - 1 / 252 / m**2) / m**2) / m**2
+    return np.where(n < 64, table[np.clip(n, 0, 63)], series)
 
-    ``cells`` holds (v, step, n0, n1, u0, u1).  A cell covers the ranks a..b of
-    its validation row; the value is the mean over all orders of its rows.
-    """
-    up = Window.partitionBy("v").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    beyond = Window.partitionBy("v").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
-    kk = F.lit(float(k))
 
-    def steps_below(n):  # sum of c(j) for j <= n
-        return F.when(n <= k, n / kk).otherwise(1.0 + harmonic(n) - F.lit(sum(1.0 / j for j in range(1, k + 1))))
+def _values(counts: np.ndarray, u: np.ndarray, k: int) -> np.ndarray:
+    """Value of a row of each label in each step, the nearest step first.
+
+    A step covers the ranks a..b of the validation row; the value is the mean over
+    all orders of its rows."""
+    m = counts.sum(axis=1)
+    b = np.cumsum(m)
+    a = b - m + 1
+
+    def shares_to(n):  # sum of c(j) for j <= n
+        return np.where(n <= k, n / k, 1.0 + _harmonic(n) - _harmonic(np.array(k)))
 
-    framed = (
-        cells.withColumn("m", F.col("n0") + F.col("n1"))
-        .withColumn("b", F.sum("m").over(up))
-        .withColumn("a", F.col("b") - F.col("m") + 1)
-    )
-    a, b, m = F.col("a"), F.col("b"), F.col("m")
     # drop c(j-1) - c(j) = 1 / (j (j-1)) for j > k and 0 before
-    from_rank = F.greatest(a, F.lit(k + 1))
-    drop_all = F.when(b >= from_rank, 1.0 / (from_rank - 1) - 1.0 / b).otherwise(0.0)
-    # sum of (j - a) * drop(j) over the cell
-    drop_in = F.when(
-        b >= from_rank, harmonic(b - 1) - harmonic(from_rank - 2) - a * drop_all
-    ).otherwise(0.0)
-    total_u = F.col("n0") * F.col("u0") + F.col("n1") * F.col("u1")
-    framed = (
-        framed.withColumn("_tail", total_u / m * drop_all)
-        .withColumn("_after", F.coalesce(F.sum("_tail").over(beyond), F.lit(0.0)))
-        .withColumn("_c", (steps_below(b) - steps_below(a - 1)) / m)
-        .withColumn("_in", F.when(m > 1, drop_in / (m * (m - 1))).otherwise(0.0))
-        .withColumn("_u", total_u)
-    )
+    start = np.maximum(a, k + 1)
+    some = b >= start
+    drop_all = np.where(some, 1.0 / (start - 1) - 1.0 / b, 0.0)
+    # sum of (j - a) * drop(j) over the step
+    drop_in = np.where(some, _harmonic(b - 1) - _harmonic(start - 2) - a * drop_all, 0.0)
+    total = counts @ u
+    tail = total / m * drop_all
+    after = np.r_[np.cumsum(tail[::-1])[::-1][1:], 0.0]
+    own = (shares_to(b) - shares_to(a - 1)) / m
+    inner = np.where(m > 1, drop_in / np.maximum(m * (m - 1.0), 1.0), 0.0)
+    return u[None, :] * own[:, None] - (total[:, None] - u[None, :]) * inner[:, None] - after[:, None]
+
+
+class _Rows:
+    """Training rows of a task, by columns."""
+
+    def __init__(self, chunks: list[tuple], n_labels: int):
+        self.labels = n_labels
+        self.names = [c[0] for c in chunks]
+        self.sizes = [c[1] for c in chunks]
+        parts = [np.frombuffer(x, np.float64).reshape(n, -1) for _, n, x, _ in chunks]
+        self.x = np.asfortranarray(np.concatenate(parts))
+        self.y = np.concatenate([np.frombuffer(y, np.int32) for *_, y in chunks]).astype(np.int64)
+
+    def distances(self, v: np.ndarray) -> np.ndarray:
+        """Squared, added up feature by feature."""
+        d2 = np.zeros(len(self.y))
+        room = np.empty(TILE)
+        for lo in range(0, len(d2), TILE):
+            tile = d2[lo : lo + TILE]
+            diff = room[: len(tile)]
+            for j in range(self.x.shape[1]):
+                np.subtract(self.x[lo : lo + TILE, j], v[j], out=diff)
+                np.multiply(diff, diff, out=diff)
+                np.add(tile, diff, out=tile)
+        return d2
+
+    def cells(self, v: np.ndarray, steps: int, near: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Steps in order, rows per step and label, the rows that are in them, and each one's place among the steps.
+
+        With ``near`` at least the steps that hold the nearest ``near`` rows; others may be missing."""
+        d2 = self.distances(v)
+        rows = None
+        if near is not None and near < len(d2):
+            far = np.partition(d2, near - 1)[near - 1]
+            # a step that begins within reach is taken whole
+            reach = far if far == 0 or not np.isfinite(far) else far * 2.0 ** (2.0 / steps)
+            rows = np.flatnonzero(d2 <= reach)
+            step = _steps_of(d2[rows], steps)
+            inside = step <= _steps_of(np.array([far]), steps)[0]
+            rows, step = rows[inside], step[inside]
+        else:
+            step = np.concatenate([_steps_of(d2[lo : lo + TILE], steps) for lo in range(0, len(d2), TILE)])
+        y = self.y if rows is None else self.y[rows]
+        usual = np.abs(step) < BEYOND
+        whole = bool(usual.all())
+        some = step if whole else step[usual]
+        low, high = (int(some.min()), int(some.max())) if len(some) else (0, 0)
+        if high - low < DENSE:
+            code = step - (low - 1) if whole else np.where(usual, step - (low - 1), np.where(step < 0, 0, high - low + 2))
+            counts = np.bincount(code * self.labels + y, minlength=(high - low + 3) * self.labels).reshape(-1, self.labels)
+            used = np.flatnonzero(counts.any(axis=1))
+            at = np.cumsum(counts.any(axis=1)) - 1
+            named = used + (low - 1)
+            named = np.where(used == 0, ZERO, np.where(used == high - low + 2, BEYOND, named))
+            return named, counts[used], rows, at[code]
+        named, at = np.unique(step, return_inverse=True)
+        return named, np.bincount(at * self.labels + y, minlength=len(named) * self.labels).reshape(-1, self.labels), rows, at
+
+    def hand_out(self, block: int, totals: np.ndarray) -> Iterator[tuple]:
+        lo = 0
+        for name, n in zip(self.names, self.sizes):
+            yield name, block, totals[lo : lo + n].tobytes()
+            lo += n
+
+
+def _within(counts: np.ndarray, near: int | None) -> int:
+    """How many of the steps hold the nearest rows."""
+    if near is None:
+        return len(counts)
+    return int(np.searchsorted(np.cumsum(counts.sum(axis=1)), near)) + 1 if len(counts) else 0
+
+
+def _met(heads: DataFrame, chunks: DataFrame, blocks: int, splits: int) -> DataFrame:
+    """Each block's validation rows, and then the chunks of a split, in one partition for each block and split."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    tops = heads.select(block.alias("block"), every(splits).alias("split"), F.lit(0).alias("kind"), "key", F.lit(0).alias("n"), "a", "b", _or_null(heads, "c"))
+    split = F.pmod(F.xxhash64("chunk"), F.lit(splits)).cast("int").alias("split")
+    rest = chunks.select(
+        every(blocks).alias("block"), split, F.lit(1).alias("kind"), F.col("chunk").alias("key"), "n", F.col("x").alias("a"), F.col("y").alias("b"),
+        F.lit(None).cast("binary").alias("c"),
+    )
+    place = F.col("block") * splits + F.col("split")
+    return tops.unionByName(rest).repartitionById(blocks * splits, place.cast("int")).sortWithinPartitions("block", "split", "kind", "key")
+
+
+def _or_null(df: DataFrame, name: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast("binary").alias(name)
+
+
+def _parties(batches: Iterator[pa.RecordBatch], n_labels: int) -> Iterator[tuple]:
+    """(block, split, validation rows, training rows) of a task, one after the other."""
+    at, tops, chunks = None, [], []
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("block", "split", "kind", "key", "n", "a", "b", "c")))
+        for block, split, kind, key, n, a, b, c in rows:
+            if (block, split) != at:
+                if tops and chunks:
+                    yield *at, tops, _Rows(chunks, n_labels)
+                at, tops, chunks = (block, split), [], []
+            if kind == 0:
+                tops.append((key, np.frombuffer(a, np.float64), b, c))
+            else:
+                chunks.append((key, n, a, b))
+    if tops and chunks:
+        yield *at, tops, _Rows(chunks, n_labels)
+
+
+def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
+
+SUMS = (["chunk", "block", "part"], [pa.int64(), pa.int32(), pa.binary()])
+CELLS = (["key", "split", "a", "u", "steps", "counts"], [pa.int64(), pa.int32(), *[pa.binary()] * 4])
+
+
+def _in_one(met: DataFrame, k: int, steps: int, near: int | None, n_labels: int) -> DataFrame:
+    """chunk, block, part: what a block's validation rows give to the chunk's rows, if the block meets all chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, tops, rows in _parties(batches, n_labels):
+            totals = np.zeros(len(rows.y))
+            for _, v, u, _ in tops:
+                _, counts, chosen, at = rows.cells(v, steps, near)
+                values = np.zeros((len(counts), n_labels))
+                m = _within(counts, near)
+                values[:m] = _values(counts[:m], np.frombuffer(u, np.float64), k)
+                if chosen is None:
+                    totals += values.ravel()[at * n_labels + rows.y]
+                else:
+                    totals[chosen] += values.ravel()[at * n_labels + rows.y[chosen]]
+            for row in rows.hand_out(block, totals):
+                yield _batch([row], *SUMS)
+
+    return met.mapInArrow(run, "chunk bigint, block int, part binary")
+
+
+def _counted(met: DataFrame, steps: int, near: int | None, n_labels: int) -> DataFrame:
+    """key, split, a, u, steps, counts: a split's rows per step and label for each validation row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, split, tops, rows in _parties(batches, n_labels):
+            for key, v, u, _ in tops:
+                named, counts, _, _ = rows.cells(v, steps, near)
+                yield _batch([(key, split, v.tobytes(), u, named.tobytes(), counts.astype(np.int64).tobytes())], *CELLS)
 
-    def value(u: str):
-        return F.col(u) * F.col("_c") - (F.col("_u") - F.col(u)) * F.col("_in") - F.col("_after")
+    return met.mapInArrow(run, "key bigint, split int, a binary, u binary, steps binary, counts binary")
 
-    return framed.select("v", "step", value("u0").alias("s0"), value("u1").alias("s1"))
 
+def _valued(cells: DataFrame, k: int, near: int | None, n_labels: int) -> DataFrame:
+    """key, a, b (steps), c (values of a row of each label there), from the counts of all splits."""
+
+    def merged(rows: list[tuple]) -> tuple:
+        steps = np.concatenate([np.frombuffer(r[3], np.int64) for r in rows])
+        counts = np.concatenate([np.frombuffer(r[4], np.int64).reshape(-1, n_labels) for r in rows])
+        named, at = np.unique(steps, return_inverse=True)
+        total = np.zeros((len(named), n_labels), np.int64)
+        np.add.at(total, at, counts)
+        m = _within(total, near)
+        return rows[0][0], rows[0][1], named[:m].tobytes(), _values(total[:m], np.frombuffer(rows[0][2], np.float64), k).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["key", "a", "b", "c"], [pa.int64(), *[pa.binary()] * 3]
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "u", "steps", "counts"))):
+                if held and row[0] != held[0][0]:
+                    yield _batch([merged(held)], names, kinds)
+                    held = []
+                held.append(row)
+        if held:
+            yield _batch([merged(held)], names, kinds)
+
+    return cells.repartition("key").sortWithinPartitions("key", "split").mapInArrow(run, "key bigint, a binary, b binary, c binary")
+
+
+def _looked_up(met: DataFrame, steps: int, n_labels: int) -> DataFrame:
+    """chunk, block, part, from the validation rows' values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _, tops, rows in _parties(batches, n_labels):
+            totals = np.zeros(len(rows.y))
+            for _, v, named, values in tops:
+                named, values = np.frombuffer(named, np.int64), np.frombuffer(values, np.float64)
+                d2 = rows.distances(v)
+                for lo in range(0, len(d2), TILE):
+                    step, y = _steps_of(d2[lo : lo + TILE], steps), rows.y[lo : lo + TILE]
+                    at = np.minimum(np.searchsorted(named, step), len(named) - 1)
+                    totals[lo : lo + TILE] += np.where(named[at] == step, values[at * n_labels + y], 0.0)
+            for row in rows.hand_out(block, totals):
+                yield _batch([row], *SUMS)
+
+    return met.mapInArrow(run, "chunk bigint, block int, part binary")
+
+
+def _added(parts: DataFrame, chunks: DataFrame, n_val: int) -> DataFrame:
+    """row_id, score: the blocks' parts of each chunk, added up in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, total, at = None, None, None
 
-def _look_up(train: DataFrame, vals, table, cols, steps: int) -> DataFrame:
-    """Adds the values of the block's validation rows to ``total``."""
-    names = train.columns
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total / n_val)], ["row_id", "score"])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v_block, (starts, step, s0, s1) = vals.value, table.value
         for batch in batches:
-            x = _matrix(batch, cols)
-            y = batch.column("y").to_numpy(zero_copy_only=False) == 1
-            total = batch.column("total").to_numpy(zero_copy_only=False).copy()
-            for i, v in enumerate(v_block):
-                lo, hi = starts[i], starts[i + 1]
-                at = lo + np.searchsorted(step[lo:hi], _steps_of(_squared_distance(x, v), steps))
-                total += np.where(y, s1[at], s0[at])
-            yield pa.RecordBatch.from_arrays([pa.array(total) if c == "total" else batch.column(c) for c in names], names=names)
-
-    return train.mapInArrow(score, train.schema)
-
-
-def _strict(train: DataFrame, blocks, cols, k: int) -> tuple[DataFrame, int]:
-    spark = train.sparkSession
-    parts, n_val = [], 0
-    for matrix, utilities in blocks:
-        pairs = _pairs(train, spark.sparkContext.broadcast(matrix), cols)
-        cells = pairs.groupBy("v", "step").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1"))
-        # one row for each validation row of the block
-        worth = F.broadcast(spark.createDataFrame(utilities, "v int, u0 double, u1 double"))
-        valued = pairs.join(cell_values(cells.join(worth, "v"), k), ["v", "step"])
-        part = valued.groupBy("row_id").agg(F.sum(F.when(F.col("y") == 1, F.col("s1")).otherwise(F.col("s0"))).alias("total"))
-        parts.append(stable(part))
-        n_val += len(matrix)
-    total = parts[0] if parts else None
-    for part in parts[1:]:
-        total = total.unionByName(part)
-    if len(parts) > 1:
-        total = total.groupBy("row_id").agg(F.sum("total").alias("total"))
-    return total, n_val
-
-
-def _stepwise(train: DataFrame, blocks, cols, k: int, steps: int) -> tuple[DataFrame, int]:
-    spark = train.sparkSession
-    total, n_val = train.withColumn("total", F.lit(0.0)), 0
-    for matrix, utilities in blocks:
-        if n_val:  # ends the plan of the block before, and its broadcasts
-            total = stable(total)
-        vals = spark.sparkContext.broadcast(matrix)
-        worth = F.broadcast(spark.createDataFrame(utilities, "v int, u0 double, u1 double"))
-        cells = _count_cells(train, vals, cols, steps).join(worth, "v")
-        # a block's steps, whatever the number of training rows
-        values = cell_values(cells, k).toArrow().sort_by([("v", "ascending"), ("step", "ascending")])
-        starts = np.searchsorted(values["v"].to_numpy(), np.arange(len(matrix) + 1))
-        table = spark.sparkContext.broadcast((starts, *(values[c].to_numpy() for c in ("step", "s0", "s1"))))
-        total = _look_up(total, vals, table, cols, steps)
-        n_val += len(matrix)
-    return total, n_val
+            for chunk, block, part in zip(*(batch.column(c).to_pylist() for c in ("chunk", "block", "part"))):
+                if chunk != at:
+                    if at is not None:
+                        yield done()
+                    at, ids = chunk, np.frombuffer(part, np.int64)
+                    total = np.zeros(len(ids))
+                else:
+                    total += np.frombuffer(part, np.float64)
+        if at is not None:
+            yield done()
+
+    ids = chunks.select("chunk", F.lit(-1).alias("block"), F.col("ids").alias("part"))
+    together = ids.unionByName(parts).repartition("chunk").sortWithinPartitions("chunk", "block")
+    return together.mapInArrow(run, "row_id bigint, score double")
 
 
 def knn_shapley(
     train: DataFrame,
     val: DataFrame,
     features: Sequence[str],
-    utility: str = "accuracy",
+    utility: str | Callable[[object], Column] = "accuracy",
     k: int = 1,
     steps: int | None = None,
+    error: float | None = None,
+    labels: Sequence = (0, 1),
 ) -> DataFrame:
     """(row_id, score): Shapley value of every training row; lowest = most
     harmful.
 
     ``features`` are double columns, or one array<double> column, already
     preprocessed and without NULL.  ``utility`` is "accuracy" (validation
-    label agreement) or "parity" (negative demographic-parity gap; ``val``
-    then needs ``protected`` and the model's ``pred``).  ``steps``: distance
-    steps per octave, for large tables; None is the strict order.
+    label agreement), "parity" (negative demographic-parity gap; ``val``
+    then needs ``protected`` and the model's ``pred``), or a function that gives the
+    worth of a neighbour of some label as a column over ``val``.  ``steps``: distance
+    steps per octave; None is the strict order.  ``error``: how far a score may be off;
+    None values all ranks.  ``labels``: the labels y that training rows may have.
     """
-    cols = list(features)
-    strict = steps is None or steps >= FINE_STEPS
-    size = STRICT_BLOCK if strict else max(1, BLOCK_CELLS // (64 * steps))
-    train = spread(train.select("row_id", "y", *cols))
-    blocks = _blocks(with_utility(val, utility), cols, size)
-    total, n_val = _strict(train, blocks, cols, k) if strict else _stepwise(train, blocks, cols, k, steps)
+    cols, n_labels = list(features), len(labels)
+    steps = FINE_STEPS if steps is None else min(steps, FINE_STEPS)
+    heads = stable(_heads(with_utility(val, utility, labels), cols, n_labels))
+    n_val = heads.count()
     if not n_val:
         raise ValueError("Shapley values need at least one validation row")
-    return total.select("row_id", (F.col("total") / n_val).alias("score"))
+    near = None
+    if error is not None:
+        us = with_utility(val, utility, labels).agg(*[f(f"u{i}").alias(f"{n}{i}") for i in range(n_labels) for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        reach = max(0.0, *(us[f"hi{i}"] for i in range(n_labels))) - min(0.0, *(us[f"lo{i}"] for i in range(n_labels)))
+        near = max(k, math.ceil(reach / error), 1)
+    chunks = stable(_chunks(spread(train.select("row_id", "y", *cols)), cols, labels))
+    size = chunks.agg(F.sum("n").alias("n"), F.max("width").alias("width")).first()
+    n_train = size["n"] or 0
+    splits = max(1, -(-n_train * (size["width"] or 1) // SPLIT_VALUES))
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    cells = min(n_train, near or n_train) if steps == FINE_STEPS else min(n_train, near or n_train, 64 * steps)
+    rows = max(1, BLOCK_ROWS if splits == 1 else min(BLOCK_ROWS, BLOCK_CELLS // max(1, cells)))
+    blocks = max(-(-n_val // rows), min(n_val, -(-4 * cores // splits)))
+    if splits == 1:
+        parts = _in_one(_met(heads, chunks, blocks, 1), k, steps, near, n_labels)
+    else:
+        values = stable(_valued(_counted(_met(heads, chunks, blocks, splits), steps, near, n_labels), k, near, n_labels))
+        parts = _looked_up(_met(values, chunks, blocks, splits), steps, n_labels)
+    return _added(stable(parts), chunks, n_val)
 
 
 def rank_by_shapley(scores: DataFrame, candidates: DataFrame | None = None) -> DataFrame:

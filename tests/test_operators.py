@@ -219,18 +219,62 @@ def test_parity_utility_without_a_lead(spark):
 
 def test_blocks_of_validation_rows_add_up(spark, monkeypatch):
     df = frame(spark, [(i, i % 2, float(i * i % 17)) for i in range(20)], "row_id bigint, y int, x double")
-    for steps in (None, 16):
+    for steps, splits in ((None, 100), (16, 100), (None, 6), (16, 6)):
         whole = shapley.knn_shapley(df, df, ["x"], k=2, steps=steps).toPandas().set_index("row_id")["score"]
         with monkeypatch.context() as m:
-            m.setattr(shapley, "STRICT_BLOCK", 7)
-            m.setattr(shapley, "BLOCK_CELLS", 64 * 16 * 7)
-            m.setattr(shapley, "HELD_COUNTS", 10)
+            m.setattr(shapley, "BLOCK_ROWS", 7)
+            m.setattr(shapley, "CHUNK_VALUES", 3)
+            m.setattr(shapley, "SPLIT_VALUES", splits)
             cut = shapley.knn_shapley(df, df, ["x"], k=2, steps=steps).toPandas().set_index("row_id")["score"]
         assert len(whole) == 20 and (whole - cut).abs().max() < 1e-12
     with pytest.raises(ValueError, match="at least one"):
         shapley.knn_shapley(df, df.where("row_id < 0"), ["x"])
 
 
+@pytest.mark.parametrize("splits", [1_000_000, 150])
+@pytest.mark.parametrize("k,error", [(1, 0.02), (5, 0.05), (3, 1.0), (1, 1e-9)])
+def test_truncated_values_stay_within_their_error(spark, monkeypatch, splits, k, error):
+    monkeypatch.setattr(shapley, "SPLIT_VALUES", splits)
+    monkeypatch.setattr(shapley, "CHUNK_VALUES", 20)
+    rng = np.random.RandomState(9)
+    x = np.round(rng.randn(200, 2), 1)  # many ties
+    x[:60] = x[0]
+    rows = [(i, int(rng.rand() < 0.4), *map(float, x[i])) for i in range(200)]
+    train = frame(spark, rows, "row_id bigint, y int, a double, b double")
+    val = train.where("row_id % 9 = 0")
+    exact = shapley.knn_shapley(train, val, ["a", "b"], k=k).toPandas().set_index("row_id")["score"]
+    near = shapley.knn_shapley(train, val, ["a", "b"], k=k, error=error).toPandas().set_index("row_id")["score"]
+    off = (exact - near).abs()
+    assert len(near) == 200 and off.max() <= error + 1e-12
+    assert (off.max() < 1e-12) == (error < 1e-6)
+
+
+def test_own_utility_of_three_labels(spark):
+    """Closeness of labels, against all orders."""
+    x, y, v, label, k = [0.1, 0.5, 0.2, 0.9, 0.4], ["a", "c", "b", "a", "c"], 0.0, "b", 2
+    worth = {"a": 0.25, "b": 1.0, "c": -0.5}
+    want = np.zeros(5)
+    for order in permutations(range(5)):
+        have = []
+        gain = lambda s: sum(worth[y[i]] for i in sorted(s, key=lambda i: x[i])[:k]) / k
+        for i in order:
+            want[i] += (gain([*have, i]) - gain(have)) / 120
+            have.append(i)
+    train = frame(spark, [(i, y[i], x[i]) for i in range(5)], "row_id bigint, y string, x double")
+    val = frame(spark, [(0, label, v)], "row_id bigint, y string, x double")
+    closeness = lambda name: F.when(F.col("y") == "b", F.lit(worth[name])).otherwise(0.0)
+    got = shapley.knn_shapley(train, val, ["x"], closeness, k=k, labels=("a", "b", "c")).toPandas().set_index("row_id")["score"]
+    assert np.abs(got.sort_index().to_numpy() - want).max() < 1e-12
+    with pytest.raises(Exception, match="none of"):
+        shapley.knn_shapley(train, val, ["x"], closeness, labels=("a", "b")).collect()
+
+
+def test_missing_features_are_an_error(spark):
+    train = frame(spark, [(0, 1, 1.0), (1, 0, float("nan"))], "row_id bigint, y int, x double")
+    with pytest.raises(Exception, match="NULL or NaN"):
+        shapley.knn_shapley(train, train.where("row_id = 0"), ["x"]).collect()
+
+
 @pytest.mark.parametrize("scale", [1e-150, 1e-10, 1.0, 31_000.0, 1e140])
 @pytest.mark.parametrize("steps", [None, 128])
 def test_shapley_at_any_scale(spark, scale, steps):
