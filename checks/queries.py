@@ -580,22 +580,23 @@ def _vectors(spark, sf):
     return split.where("split = 'train'"), split.where("split = 'val'")
 
 
-def _knn_strict_sql(k: int) -> str:
-    """The textbook recursion over strictly ordered neighbours."""
-    return S.with_(
-        VECTOR_SPACE
-        + [
-            ("d", f"SELECT vid, row_id, CAST(y = vy AS DOUBLE) AS u, {VEC_D2} AS d2 FROM t_sp t, v_sp w"),
-            ("o", "SELECT *, row_number() OVER (PARTITION BY vid ORDER BY d2, row_id) AS i, count(*) OVER (PARTITION BY vid) AS n FROM d"),
-            ("e", "SELECT *, u - lead(u, 1, 0) OVER (PARTITION BY vid ORDER BY i) AS du FROM o"),
-            (
-                "s",
-                f"""SELECT row_id, sum(CASE WHEN i = n THEN u * least({k}, n) / ({k}.0::DOUBLE * n) ELSE du * least({k}, i) / ({k}.0::DOUBLE * i) END)
-                    OVER (PARTITION BY vid ORDER BY i DESC) AS s FROM e""",
-            ),
-        ],
-        "SELECT row_id, round(avg(s), 8) AS score FROM s GROUP BY row_id",
-    )
+def _recursion(k: int, worth: str = "CAST(y = vy AS DOUBLE)", last: str = "n") -> list[tuple[str, str]]:
+    """The textbook recursion over strictly ordered neighbours, or over the first ``last`` of them, as if there were no others
+    that are worth anything."""
+    return VECTOR_SPACE + [
+        ("d", f"SELECT vid, row_id, {worth} AS u, {VEC_D2} AS d2 FROM t_sp t, v_sp w"),
+        ("o", "SELECT *, row_number() OVER (PARTITION BY vid ORDER BY d2, row_id) AS i, count(*) OVER (PARTITION BY vid) AS n FROM d"),
+        ("e", f"SELECT *, u - lead(u, 1, 0) OVER (PARTITION BY vid ORDER BY i) AS du FROM o WHERE i <= {last}"),
+        (
+            "s",
+            f"""SELECT row_id, sum(CASE WHEN i = {last} THEN u * least({k}, i) / ({k}.0::DOUBLE * i) ELSE du * least({k}, i) / ({k}.0::DOUBLE * i) END)
+                OVER (PARTITION BY vid ORDER BY i DESC) AS s FROM e""",
+        ),
+    ]
+
+
+def _knn_strict_sql(k: int, **how) -> str:
+    return S.with_(_recursion(k, **how), "SELECT row_id, round(avg(s), 8) AS score FROM s GROUP BY row_id")
 
 
 @query("knn_shapley", _knn_strict_sql(1))
@@ -621,6 +622,52 @@ def knn_shapley_unscaled(spark, sf):
     return shapley.knn_shapley(train, val, ["vec"]).select("row_id", R("score", 8))
 
 
+NEAR, NEAR_K = 50, 2
+_SHARE = "(least({k}, {i}) / ({k}.0::DOUBLE * {i}))"
+
+
+@query(
+    "knn_shapley_truncated",
+    S.with_(
+        _recursion(NEAR_K)
+        + [
+            ("whole", "SELECT row_id, avg(s) AS score FROM s GROUP BY row_id"),
+            (
+                "s2",
+                f"""SELECT row_id, u * {_SHARE.format(k=NEAR_K, i="i")}
+                      + coalesce(sum(u * ({_SHARE.format(k=NEAR_K, i="i")} - {_SHARE.format(k=NEAR_K, i="greatest(i - 1, 1)")}))
+                        OVER (PARTITION BY vid ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+                    FROM o WHERE i <= {NEAR}""",
+            ),
+            ("near_sums", "SELECT row_id, sum(s) / (SELECT count(*) FROM v_sp) AS score FROM s2 GROUP BY row_id"),
+        ],
+        f"""SELECT row_id, round(coalesce(b.score, 0), 8) + 0 AS score, round(a.score, 8) AS whole, abs(a.score - coalesce(b.score, 0)) <= 1.0 / {NEAR} AS within
+            FROM whole a LEFT JOIN near_sums b USING (row_id)""",
+    ),
+)
+def knn_shapley_truncated(spark, sf):
+    """Only the nearest ranks, next to the whole values: no score is off by more than asked for."""
+    train, val = _vectors(spark, sf)
+    near = shapley.knn_shapley(train, val, ["vec"], k=NEAR_K, error=1 / NEAR)
+    whole = shapley.knn_shapley(train, val, ["vec"], k=NEAR_K).withColumnRenamed("score", "whole")
+    off = F.abs(F.col("whole") - F.col("score")) <= 1.0 / NEAR
+    return near.join(whole, "row_id").select("row_id", R("score", 8), R("whole", 8), off.alias("within"))
+
+
+# worth of a neighbour by its label (0 or 1) and that of the validation row
+WORTH = {(0, 0): 1.0, (1, 0): -0.25, (0, 1): -1.5, (1, 1): 2.0}
+
+
+@query(
+    "knn_shapley_own_utility",
+    _knn_strict_sql(3, worth="CASE " + " ".join(f"WHEN y = {y} AND vy = {v} THEN {w}" for (y, v), w in WORTH.items()) + " END"),
+)
+def knn_shapley_own_utility(spark, sf):
+    train, val = _vectors(spark, sf)
+    worth = lambda label: F.when(F.col("y") == 0, WORTH[label, 0]).otherwise(WORTH[label, 1])
+    return shapley.knn_shapley(train, val, ["vec"], worth, k=3).select("row_id", R("score", 8))
+
+
 ORDER_SPACE = S.corrupted("orders", ORDERS, "random_label") + [S.bin_stats(ORDERS)] + S.space(ORDERS)
 
 

@@ -91,13 +91,13 @@ def in_parallel(*steps: Callable[[], object], threads: int = 6) -> list:
         return [f.result() for f in [pool.submit(s) for s in steps]]
 
 
-def broadcastable(table: DataFrame, by: str, text: str) -> set:
+def broadcastable(table: DataFrame, by: str, text: str, row_bytes: int = 0) -> set:
     """Groups of a lookup table that are small enough to broadcast, by rows
-    and by the characters of their text column."""
+    and by the characters of their text column and ``row_bytes`` for each row."""
     sizes = table.groupBy(by).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length(text).cast("long")).alias("chars")
     )
-    fits = (F.col("n") <= BROADCAST_ROWS) & (F.coalesce("chars", F.lit(0)) <= BROADCAST_CHARS)
+    fits = (F.col("n") <= BROADCAST_ROWS) & (F.coalesce("chars", F.lit(0)) + F.col("n") * row_bytes <= BROADCAST_CHARS)
     return {r[by] for r in sizes.where(fits).select(by).collect()}
 
 

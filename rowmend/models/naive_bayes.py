@@ -12,20 +12,27 @@ from the uncleaned training rows and stay fixed while rows are repaired.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import Spec, broadcastable, stable
 from ..functions import z_bin
 from ..operators.encode import category_codes, with_codes
-from ..operators.metrics import accuracy, demographic_parity_gap
 from ..operators.sampling import stratified_folds
 from .preprocess import MedianImputer, Standardizer
 
 MISSING = "?"  # category of a missing value
 
+# the task functions below travel with the job, so executors need no install
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Binner:
@@ -264,72 +271,114 @@ class NaiveBayes:
             .collect()
         ):
             change[(r["method"], r["seed"], r["b"])] = (r["d0"], r["d1"])
-        totals = []
-        for method, seed in series:
-            n0, n1 = first["n0"] or 0, first["n1"] or 0
-            for g in range(points):
-                d0, d1 = change[(method, seed, g)]
-                n0, n1 = n0 + d0, n1 + d1
-                totals.append((len(totals), method, seed, g, float(n0), float(n1)))
+        n0s, n1s = np.zeros(len(series) * points), np.zeros(len(series) * points)
+        for i, (method, seed) in enumerate(series):
+            steps = np.array([change[(method, seed, g)] for g in range(points)], np.int64).reshape(-1, 2)
+            sums = np.cumsum(steps, axis=0) + [first["n0"] or 0, first["n1"] or 0]
+            n0s[i * points : (i + 1) * points], n1s[i * points : (i + 1) * points] = sums[:, 0], sums[:, 1]
+
+        moved = long_counts(delta, names, [*keys, "b"], weight="w").withColumnsRenamed({"c0": "d0", "c1": "d1"})
+        place = spark.createDataFrame([(m, s, i) for i, (m, s) in enumerate(series)], "method string, seed int, i int")
+        changes = moved.join(F.broadcast(place), keys).select((F.col("i") * points + F.col("b")).alias("gid"), "f", "v", "d0", "d1")
+        scored = point_counts(binner, test, n0s, n1s, changes, points, base)
         table = spark.createDataFrame(
-            totals, "gid int, method string, seed int, g int, n0 double, n1 double"
-        )
-
-        # feature counts: the base once, and the changes up to each grid point
-        moved = long_counts(delta, names, [*keys, "b"], weight="w").withColumnsRenamed(
-            {"c0": "d0", "c1": "d1"}
-        )
-        so_far = (
-            moved.withColumn("g", F.explode(F.sequence(F.col("b"), F.lit(points - 1))))
-            .groupBy(*keys, "g", "f", "v")
-            .agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
-            .join(F.broadcast(table.select("gid", *keys, "g")), [*keys, "g"])
-            .select("gid", "f", "v", "d0", "d1")
+            [(i * points + g, m, s, g, bool(n0s[i * points + g] > 0 and n1s[i * points + g] > 0))
+             for i, (m, s) in enumerate(series) for g in range(points)],
+            "gid int, method string, seed int, g int, ok boolean",
+        )
+        return F.broadcast(table).join(point_metrics(scored), "gid").select(
+            *keys, "g", F.when(F.col("ok"), F.col("accuracy")).alias("accuracy"), F.when(F.col("ok"), F.col("dp_gap")).alias("dp_gap")
         )
-        so_far = stable(so_far)
-        scored = score_points(binner, test, table, len(totals), so_far, base)
-        w = F.col("w")
-        ok = (F.min("n0") > 0) & (F.min("n1") > 0)
-        return scored.groupBy(*keys, "g").agg(
-            F.when(ok, accuracy(weight=w)).alias("accuracy"),
-            F.when(ok, demographic_parity_gap(weight=w)).alias("dp_gap"),
-        )
-
 
-def score_points(binner: Binner, rows: DataFrame, points: DataFrame, n_points: int,
-                 changes: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """Predictions of many models for the same rows.
 
-    ``points`` is a small table (gid, n0, n1, ...), one row per model with its
-    label totals; ``changes`` (gid, f, v, d0, d1) are the feature counts of a
-    model, on top of the counts ``base`` (f, v, c0, c1) all models share.  Rows
-    with equal bins share one prediction and carry their number in ``w``.
-    """
-    names = binner.names
-    cells = (
-        rows.select("y", "protected", *binner.columns())
-        .groupBy("y", "protected", *names)
-        .agg(F.count(F.lit(1)).alias("w"))
-    )
-    small_changes = broadcastable(changes, "f", "v")
+def _point_models(changes: DataFrame, base: DataFrame | None, n0: np.ndarray, n1: np.ndarray, run: int, domain: dict[int, int]) -> DataFrame:
+    """(f, v, lo): the evidence of each feature value in all models, one array."""
+    entries = changes.groupBy("f", "v").agg(F.collect_list(F.struct("gid", "d0", "d1")).alias("e"))
     if base is None:
-        domain = _domain_sizes(changes.select("f", "v"))
+        rows = entries.select("f", "v", F.lit(0).cast("long").alias("c0"), F.lit(0).cast("long").alias("c1"), "e")
     else:
-        domain = _domain_sizes(base.select("f", "v").unionByName(changes.select("f", "v")))
-        small_base = broadcastable(base, "f", "v")
-        for i, n in enumerate(names):
-            cells = _look_up(cells, base, i, n, [], ["c0", "c1"], small_base)
-    scored = cells.withColumn("gid", F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))))
-    scored = scored.join(F.broadcast(points), "gid")
-    lo = F.lit(0.0)
+        whole = base.select(F.col("f"), F.col("v"), F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"))
+        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+        rows = whole.join(entries, ["f", "v"], "full").select("f", "v", zero("c0"), zero("c1"), "e")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                f = batch.column("f")[i].as_py()
+                counts = np.zeros((2, len(n0)))
+                e = batch.column("e")[i].values
+                if e is not None and len(e):
+                    gid = e.field("gid").to_numpy(zero_copy_only=False)
+                    for k, d in enumerate(("d0", "d1")):
+                        np.add.at(counts[k], gid, e.field(d).to_numpy(zero_copy_only=False))
+                    counts = np.cumsum(counts.reshape(2, -1, run), axis=2).reshape(2, -1)
+                c0, c1 = (counts[k] + batch.column(f"c{k}")[i].as_py() for k in (0, 1))
+                lo = np.log((c1 + 1.0) / (n1 + domain[f])) - np.log((c0 + 1.0) / (n0 + domain[f]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("f").slice(i, 1), batch.column("v").slice(i, 1), pa.array([lo], pa.list_(pa.float64()))], ["f", "v", "lo"]
+                )
+
+    return rows.mapInArrow(make, "f int, v string, lo array<double>")
+
+
+def point_counts(binner: Binner, rows: DataFrame, n0: np.ndarray, n1: np.ndarray, changes: DataFrame, run: int,
+                 base: DataFrame | None = None) -> DataFrame:
+    """(gid, y, protected, n, hits): rows of each kind, and how many of them model ``gid`` calls 1.
+
+    ``n0`` and ``n1`` are the label totals of the models; ``changes`` (gid, f, v, d0, d1) are feature
+    counts that hold for a model and those after it in its run of ``run`` models, on top of the
+    counts ``base`` (f, v, c0, c1) that all share.  Rows with equal bins are scored once, for all
+    models together: a feature value brings one array, and arrays are added."""
+    names = binner.names
+    known = changes.select("f", "v") if base is None else base.select("f", "v").unionByName(changes.select("f", "v"))
+    domain = _domain_sizes(known)
+    models = stable(_point_models(changes, base, n0, n1, run, domain))
+    small = broadcastable(models, "f", "v", 8 * len(n0))
+    cells = rows.select("y", "protected", *binner.columns()).groupBy("y", "protected", *names).agg(F.count(F.lit(1)).alias("w"))
     for i, n in enumerate(names):
-        scored = _look_up(scored, changes, i, n, ["gid"], ["d0", "d1"], small_changes)
-        c0, c1 = (F.coalesce(F.col(f"_d{k}{i}"), F.lit(0)) for k in (0, 1))
-        if base is not None:
-            c0 = c0 + F.coalesce(F.col(f"_c0{i}"), F.lit(0))
-            c1 = c1 + F.coalesce(F.col(f"_c1{i}"), F.lit(0))
-        lo = lo + log_odds(c0, c1, F.col("n0"), F.col("n1"), F.lit(float(domain.get(i, 1))))
-    return _with_prediction(scored.withColumn("lo", lo), prior_log_odds(F.col("n0"), F.col("n1")))
+        cells = _look_up(cells, models, i, n, [], ["lo"], small)
+    missing = [np.log(1.0 / (n1 + d)) - np.log(1.0 / (n0 + d)) for d in (float(domain.get(i, 1)) for i in range(len(names)))]
+    prior = np.log((n1 + 1.0) / (n0 + 1.0))
+    kinds = [(y, p) for y in (0, 1) for p in (False, True, None)]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, hits = np.zeros(len(kinds)), np.zeros((len(kinds), len(n0)))
+        for batch in batches:
+            lo = np.zeros((batch.num_rows, len(n0)))
+            for i in range(len(names)):
+                arrays = batch.column(f"_lo{i}")
+                found = arrays.is_valid().to_numpy(zero_copy_only=False)
+                lo[found] += arrays.flatten().to_numpy().reshape(-1, len(n0))
+                lo[~found] += missing[i]
+            # evidence is compared at nine decimals
+            called = lo + prior >= 5e-10
+            y, p, w = (batch.column(c) for c in ("y", "protected", "w"))
+            w = w.to_numpy().astype(np.float64)
+            of = np.array([kinds.index(k) for k in zip(y.to_pylist(), p.to_pylist())], np.int64)
+            for k in np.unique(of):
+                total[k] += w[of == k].sum()
+                hits[k] += w[of == k] @ called[of == k]
+        for k in np.flatnonzero(total):
+            columns = [np.arange(len(n0), dtype=np.int32), np.full(len(n0), kinds[k][0], np.int32)]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array([kinds[k][1]] * len(n0), pa.bool_()), pa.array(np.full(len(n0), total[k])), pa.array(hits[k])],
+                ["gid", "y", "protected", "n", "hits"],
+            )
+
+    packed = cells.select(F.col("y").cast("int").alias("y"), "protected", "w", *[f"_lo{i}" for i in range(len(names))])
+    return packed.mapInArrow(score, "gid int, y int, protected boolean, n double, hits double")
+
+
+def point_metrics(counts: DataFrame) -> DataFrame:
+    """(gid, accuracy, dp_gap) from ``point_counts``."""
+    right = F.sum(F.when(F.col("y") == 1, F.col("hits")).otherwise(F.col("n") - F.col("hits")))
+
+    def rate(group: Column) -> Column:
+        rows = F.sum(F.when(group, F.col("n")).otherwise(0.0))
+        return F.when(rows > 0, F.sum(F.when(group, F.col("hits")).otherwise(0.0)) / rows)
+
+    gap = F.coalesce(F.abs(rate(F.col("protected")) - rate(~F.col("protected"))), F.lit(0.0))
+    return counts.groupBy("gid").agg((right / F.sum("n")).alias("accuracy"), gap.alias("dp_gap"))
 
 
 def _with_prediction(scored: DataFrame, prior: Column) -> DataFrame:

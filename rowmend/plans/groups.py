@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import Spec, stable
-from ..models.naive_bayes import Binner, long_counts, score_points
-from ..operators.metrics import accuracy
+from ..models.naive_bayes import Binner, long_counts, point_counts, point_metrics
 
-BATCH_POINTS = 100_000  # coalitions scored in one pass: permutations x (groups + 1)
+BATCH_NUMBERS = 4_000_000  # coalitions scored in one pass, permutations x (groups + 1), times feature values
 
 
 def group_shapley(
@@ -29,7 +29,8 @@ def group_shapley(
         F.sum("c0").alias("g0"), F.sum("c1").alias("g1")
     )
     n_groups = sizes.count()
-    batch = max(1, BATCH_POINTS // (n_groups + 1))
+    n_values = counts.select("f", "v").distinct().count()
+    batch = max(1, BATCH_NUMBERS // ((n_groups + 1) * max(1, n_values)))
     gains = None
     for first in range(0, n_perms, batch):
         n = min(batch, n_perms - first)
@@ -52,25 +53,19 @@ def _gains(binner: Binner, val: DataFrame, sizes: DataFrame, counts: DataFrame,
         sizes.withColumn("perm", F.explode(F.sequence(F.lit(first), F.lit(first + n_perms - 1))))
         .withColumn("position", F.row_number().over(order))
     )
-    running = Window.partitionBy("perm").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     width = n_groups + 1
     gid = ((F.col("perm") - first) * width + F.col("position")).cast("int").alias("gid")
-    points = perms.select(
-        gid, F.sum("g0").over(running).cast("double").alias("n0"), F.sum("g1").over(running).cast("double").alias("n1")
-    ).unionByName(
-        spark.range(n_perms).select(
-            (F.col("id") * width).cast("int").alias("gid"), F.lit(0.0).alias("n0"), F.lit(0.0).alias("n1")
-        )
+    # one row for each coalition of the batch; the first of a permutation is empty
+    n0s, n1s = np.zeros((n_perms, width)), np.zeros((n_perms, width))
+    for r in perms.select(gid, "g0", "g1").collect():
+        n0s[divmod(r["gid"], width)], n1s[divmod(r["gid"], width)] = r["g0"], r["g1"]
+    totals = [np.cumsum(m, axis=1).ravel() for m in (n0s, n1s)]
+    # a group's counts belong to every later coalition of its permutation: a run of the models
+    changes = perms.select("perm", "grp", "position").join(counts, "grp").select(
+        gid, "f", "v", F.col("c0").alias("d0"), F.col("c1").alias("d1")
     )
-    # a group's counts belong to every later coalition of its permutation
-    joined = perms.select("perm", "grp", "position").join(counts, "grp")
-    changes = (
-        joined.withColumn("position", F.explode(F.sequence(F.col("position"), F.lit(n_groups))))
-        .groupBy(gid, "f", "v")
-        .agg(F.sum("c0").alias("d0"), F.sum("c1").alias("d1"))
-    )
-    scored = score_points(binner, val, points, n_perms * width, stable(changes))
-    utility = scored.groupBy("gid").agg(accuracy(weight=F.col("w")).alias("u"))
+    scored = point_counts(binner, val, *totals, stable(changes), width)
+    utility = point_metrics(scored).select("gid", F.col("accuracy").alias("u"))
     by_perm = Window.partitionBy(F.floor(F.col("gid") / width)).orderBy("gid")
     gain = utility.select("gid", (F.col("u") - F.lag("u").over(by_perm)).alias("gain"))
     return perms.select("grp", gid, (F.col("g0") + F.col("g1")).alias("n_rows")).join(gain, "gid").select("grp", "n_rows", "gain")

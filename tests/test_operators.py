@@ -349,5 +349,5 @@ def test_group_values_in_batches(spark, monkeypatch):
         return {r["grp"]: (round(r["score"], 12), r["n_rows"]) for r in got}
 
     whole = values()
-    monkeypatch.setattr(groups, "BATCH_POINTS", 8)  # two permutations a batch
+    monkeypatch.setattr(groups, "BATCH_NUMBERS", 8)  # one permutation a batch
     assert len(whole) == 3 and values() == whole
