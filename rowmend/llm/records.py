@@ -24,8 +24,11 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
+import zlib
 from array import array
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +37,9 @@ from pyspark.sql import functions as F
 
 from rowmend.core import ensure_checkpoint_dir
 
-FILE_BYTES = 24_000_000  # of text
+FILE_BYTES = 32_000_000  # of text
 SPREAD_BYTES = 1_000_000  # of text that a task has at least, if there are more cores than files
-CACHE_CHARS = 30_000_000  # of pieces of text whose ids a task remembers
+CACHE_CHARS = 25_000_000  # of pieces of text, and 32 for each, whose ids a worker remembers
 HEAD, HEAD_BYTES = "<qBBHI", 16
 LENGTH, CHECK = "<Q", "<I"
 BLOCK = 1024
@@ -45,9 +48,12 @@ BLOCK = 1024
 POLYNOMIAL = 0x82F63B78
 MASK_ADD = 0xA282EAD8
 
-# A token of the byte-level pattern either begins with the white space that follows something else, or is
-# such space: so a text may be cut in front of each blank that follows something that is not white space.
-PIECES = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
+# Where a text may be cut without changing its ids, as tokens of the byte-level pattern end there: in front of white
+# space after something else, between a letter and what is none, and after a single line break or tab.
+PIECES = re.compile(
+    r"[\t\r\n](?=[^ \t\r\n])|[ \t\r\n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+"
+)
+PLAIN = re.compile(r" ?[^ \t\r\n]+")
 # Texts with other white space (or what some engine counts as such) are not cut.
 _RARE = [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
 RARE_SPACE = re.compile("[" + "".join(map(chr, _RARE)) + "]")
@@ -136,7 +142,16 @@ END = _end_frame()
 
 
 class Ids:
-    """Ids of texts.  Each distinct piece of text goes through the tokenizer once."""
+    """Ids of texts.  Each distinct piece of text goes through the tokenizer once, as long as it is remembered."""
+
+    @staticmethod
+    def of_worker(vocabulary: str, special: bool) -> Ids:
+        """The same object for all tasks of a Python worker, as Spark lets them follow each other in one process."""
+        kept = vars(sys.modules.setdefault("rowmend_worker", ModuleType("rowmend_worker")))
+        key = f"{special} {zlib.crc32(vocabulary.encode())} {len(vocabulary)}"
+        if key not in kept:
+            kept[key] = Ids(vocabulary, special)
+        return kept[key]
 
     def __init__(self, vocabulary: str, special: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -150,12 +165,29 @@ class Ids:
         self.known: dict[str, int] = {}
         self.flat, self.start, self.chars = array("I"), array("q", [0]), 0
 
+    def _add(self, piece: str, ids) -> None:
+        self.known[piece] = len(self.known)
+        self.flat.extend(ids)
+        self.start.append(len(self.flat))
+        self.chars += len(piece) + 32
+
     def _learn(self, pieces: list[str]) -> None:
-        for piece, coded in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.known[piece] = len(self.known)
-            self.flat.extend(coded.ids)
-            self.start.append(len(self.flat))
-            self.chars += len(piece) + 32
+        encode = self.tokenizer.encode_batch_fast
+        # pieces without line breaks go through side by side, with line breaks between them
+        plain = [p for p in pieces if PLAIN.fullmatch(p) and not RARE_SPACE.search(p)]
+        lines = encode(["\n".join(plain[k : k + 500]) for k in range(0, len(plain), 500)], add_special_tokens=False)
+        end = encode(["\n"], add_special_tokens=False)[0].ids[0]
+        at = 0
+        for line in lines:
+            ids = np.array([*line.ids, end], np.uint32)
+            stops = np.flatnonzero(ids == end)
+            data, starts = ids.tobytes(), np.r_[0, stops[:-1] + 1]
+            for lo, hi in zip((4 * starts).tolist(), (4 * stops).tolist()):
+                self._add(plain[at], array("I", data[lo:hi]))
+                at += 1
+        others = set(pieces).difference(plain)
+        for piece, coded in zip(others, encode(list(others), add_special_tokens=False)):
+            self._add(piece, coded.ids)
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
@@ -167,10 +199,13 @@ class Ids:
             found = [text] if RARE_SPACE.search(text) else PIECES.findall(text)
             n[i] = len(found)
             pieces += found
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        if new:
-            self._learn(new)
-        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            open_ = [i for i, code in enumerate(found) if code is None]
+            self._learn(list({pieces[i] for i in open_}))
+            for i in open_:
+                found[i] = self.known[pieces[i]]
+        code = np.array(found, np.int64)
         start = np.frombuffer(self.start, np.int64)
         size = np.diff(start)[code]
         upto = np.r_[0, np.cumsum(size)]
@@ -207,7 +242,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, special:
     order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text").asc()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, rest = Ids(vocabulary.value, special), None
+        ids_of, rest = Ids.of_worker(vocabulary.value, special), None
         for batch in batches:
             texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for lo, hi in _portions(texts):

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from rowmend.core import stable
 
 GROUP = 3_000  # words that one acceptor is built from
-HELD = 400_000
+HELD = 150_000
 TASK_WORDS = 20_000
 
 # Latin-1, as runs of letters hold nothing else: A-Z lower-cased, letters kept, and the rest made blank
