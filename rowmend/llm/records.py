@@ -28,6 +28,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from types import ModuleType
 
 import numpy as np
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 
 from rowmend.core import ensure_checkpoint_dir
 
-FILE_BYTES = 32_000_000  # of text
+FILE_BYTES = 24_000_000  # of text
 SPREAD_BYTES = 1_000_000  # of text that a task has at least, if there are more cores than files
-CACHE_CHARS = 25_000_000  # of pieces of text, and 32 for each, whose ids a worker remembers
+HELD = 500_000  # entries of texts whose ids a worker remembers
 HEAD, HEAD_BYTES = "<qBBHI", 16
 LENGTH, CHECK = "<Q", "<I"
 BLOCK = 1024
@@ -54,9 +55,11 @@ PIECES = re.compile(
     r"[\t\r\n](?=[^ \t\r\n])|[ \t\r\n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+"
 )
 PLAIN = re.compile(r" ?[^ \t\r\n]+")
+ALONE = "\x01"
 # Texts with other white space (or what some engine counts as such) are not cut.
 _RARE = [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
 RARE_SPACE = re.compile("[" + "".join(map(chr, _RARE)) + "]")
+UNEVEN = re.compile("[\t\r" + ALONE + "".join(map(chr, _RARE)) + "]")
 
 
 def _step(crc: np.ndarray) -> np.ndarray:
@@ -141,6 +144,46 @@ def _end_frame() -> bytes:
 END = _end_frame()
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``flat`` that ``code`` names, one after the other, and where each ends."""
+    size = np.diff(start)[code]
+    upto = np.r_[0, np.cumsum(size)]
+    place = np.repeat(start[code] - upto[:-1], size) + np.arange(upto[-1])
+    return (flat[place] if len(place) else np.zeros(0, np.uint32)), upto
+
+
+class Known:
+    """Ids of strings."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.flat, self.start, self.uses = array("I"), array("q", [0]), np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def add(self, names: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Names that are new, their ids one after the other, and where each one's end."""
+        self.place.update(zip(names, range(len(self.place), len(self.place) + len(names))))
+        self.start.frombytes((ends.astype(np.int64) + len(self.flat)).tobytes())
+        self.flat.frombytes(ids.astype(np.uint32).tobytes())
+
+    def of(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.uses = np.r_[self.uses, np.zeros(len(self) - len(self.uses), np.int64)]
+        self.uses += np.bincount(code, minlength=len(self))
+        return _gather(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64), code)
+
+    def forget(self, keep: int) -> "Known":
+        """What has been used most often."""
+        kept, often = Known(), np.argsort(-self.uses, kind="stable")[:keep]
+        often = np.sort(often[self.uses[often] > 1])
+        ids, upto = _gather(np.frombuffer(self.flat, np.uint32), np.frombuffer(self.start, np.int64), often)
+        names = list(self.place)
+        kept.add([names[i] for i in often.tolist()], ids, upto[1:])
+        kept.uses = self.uses[often] // 2
+        return kept
+
+
 class Ids:
     """Ids of texts.  Each distinct piece of text goes through the tokenizer once, as long as it is remembered."""
 
@@ -159,60 +202,64 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = not special
-        self._forget()
+        # entries of texts, and the smaller pieces that they are made of
+        self.entries, self.pieces = Known(), Known()
+        self.line_break = self._encode(["\n"])[0].ids
 
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.start, self.chars = array("I"), array("q", [0]), 0
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def _add(self, piece: str, ids) -> None:
-        self.known[piece] = len(self.known)
-        self.flat.extend(ids)
-        self.start.append(len(self.flat))
-        self.chars += len(piece) + 32
-
-    def _learn(self, pieces: list[str]) -> None:
-        encode = self.tokenizer.encode_batch_fast
-        # pieces without line breaks go through side by side, with line breaks between them
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """Entries that a text is cut into: a word, for a blank and the word; a line break and the first word of a
+        line; and ``ALONE`` before what stands for itself."""
+        if UNEVEN.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n":
+            return [ALONE + p for p in ([text] if RARE_SPACE.search(text) else PIECES.findall(text))]
+        return (ALONE + text.replace("\n", " \n")).split(" ")
+
+    def _learn(self, entries: list[str]) -> None:
+        cut = [
+            ([e[1:]] if RARE_SPACE.search(e) else PIECES.findall(e[1:])) if e[0] == ALONE else PIECES.findall(e if e[0] == "\n" else " " + e)
+            for e in entries
+        ]
+        flat = list(chain.from_iterable(cut))
+        self._learn_pieces(list(set(flat).difference(self.pieces.place)))
+        code = np.fromiter(map(self.pieces.place.__getitem__, flat), np.int64, len(flat))
+        ids, upto = self.pieces.of(code)
+        self.entries.add(entries, ids, upto[np.cumsum([len(c) for c in cut])])
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        # pieces without white space but a blank in front go through side by side, with line breaks between them
         plain = [p for p in pieces if PLAIN.fullmatch(p) and not RARE_SPACE.search(p)]
-        lines = encode(["\n".join(plain[k : k + 500]) for k in range(0, len(plain), 500)], add_special_tokens=False)
-        end = encode(["\n"], add_special_tokens=False)[0].ids[0]
-        at = 0
-        for line in lines:
-            ids = np.array([*line.ids, end], np.uint32)
-            stops = np.flatnonzero(ids == end)
-            data, starts = ids.tobytes(), np.r_[0, stops[:-1] + 1]
-            for lo, hi in zip((4 * starts).tolist(), (4 * stops).tolist()):
-                self._add(plain[at], array("I", data[lo:hi]))
-                at += 1
-        others = set(pieces).difference(plain)
-        for piece, coded in zip(others, encode(list(others), add_special_tokens=False)):
-            self._add(piece, coded.ids)
+        lines = self._encode(["\n".join(plain[k : k + 500]) for k in range(0, len(plain), 500)])
+        ids = np.array(list(chain.from_iterable(line.ids + self.line_break for line in lines)), np.uint32)
+        stops = np.flatnonzero(ids == self.line_break[0])
+        self.pieces.add(plain, np.delete(ids, stops), stops - np.arange(len(stops)))
+        others = list(set(pieces).difference(plain))
+        coded = [c.ids for c in self._encode(others)]
+        self.pieces.add(others, np.array(list(chain.from_iterable(coded)), np.uint32), np.cumsum([len(c) for c in coded]))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
-        if self.chars > CACHE_CHARS:
-            self._forget()
-        pieces: list[str] = []
+        if len(self.entries) > HELD or len(self.entries.flat) > 8 * HELD:
+            self.entries = self.entries.forget(HELD // 2)
+        if len(self.pieces) > HELD or len(self.pieces.flat) > 8 * HELD:
+            self.pieces = self.pieces.forget(HELD // 2)
+        entries: list[str] = []
         n = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            found = [text] if RARE_SPACE.search(text) else PIECES.findall(text)
-            n[i] = len(found)
-            pieces += found
-        found = list(map(self.known.get, pieces))
+            mine = self._cut(text) if text else []
+            n[i] = len(mine)
+            entries += mine
+        known = self.entries.place
+        found = list(map(known.get, entries))
         if None in found:
             open_ = [i for i, code in enumerate(found) if code is None]
-            self._learn(list({pieces[i] for i in open_}))
+            self._learn(list({entries[i] for i in open_}))
             for i in open_:
-                found[i] = self.known[pieces[i]]
-        code = np.array(found, np.int64)
-        start = np.frombuffer(self.start, np.int64)
-        size = np.diff(start)[code]
-        upto = np.r_[0, np.cumsum(size)]
-        place = np.repeat(start[code] - upto[:-1], size) + np.arange(upto[-1])
-        ids = np.frombuffer(self.flat, np.uint32)[place] if len(place) else np.zeros(0, np.uint32)
-        bounds = upto[np.r_[0, np.cumsum(n)]]
-        return ids, np.diff(bounds)
+                found[i] = known[entries[i]]
+        ids, upto = self.entries.of(np.array(found, np.int64))
+        return ids, np.diff(upto[np.r_[0, np.cumsum(n)]])
 
 
 def _portions(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
