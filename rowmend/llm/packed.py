@@ -22,8 +22,6 @@ CHUNK_BYTES = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
 
 @dataclass
 class Chunk:
@@ -78,8 +76,21 @@ def words(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, c.off)
 
 
+# Two polynomials over the prime field of 2^31 - 1, whose bases are drawn at random: unlike one modulo a power of
+# two, these tell regular texts (Thue-Morse words, say) apart as well as any others.
+PRIME = np.uint64(2**31 - 1)
+_DRAWN = np.random.default_rng(20).integers(2**20, 2**31 - 2, (2, 2), dtype=np.int64)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2^62."""
+    x = (x & PRIME) + (x >> np.uint64(31))
+    x = (x & PRIME) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
 def _letters(which: int, fold: bool) -> np.ndarray:
-    table = np.random.default_rng(1000 + which).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+    table = np.random.default_rng(1000 + which).integers(1, 2**62, 256, dtype=np.uint64)
     if fold:
         table[65:91] = table[97:123]
     return table
@@ -88,14 +99,19 @@ def _letters(which: int, fold: bool) -> np.ndarray:
 _POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    if (which, size) not in _POWERS:
-        base = _BASES[which] | 1
-        inverse = pow(base, -1, 2**64)
-        up, down = np.full(size, base, np.uint64), np.full(size, inverse, np.uint64)
-        up[0] = down[0] = 1
-        _POWERS[which, size] = np.cumprod(up), np.cumprod(down)
-    return _POWERS[which, size]
+def _powers(which: int, part: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base, and of its inverse."""
+    known = _POWERS.get((which, part))
+    if known is None or len(known[0]) < size:
+        prime, base = int(PRIME), int(_DRAWN[which, part])
+        out = []
+        for b in (base, pow(base, -1, prime)):
+            p = np.ones(1, np.uint64)
+            while len(p) < size:
+                p = np.concatenate([p, _reduced(p * np.uint64(pow(b, len(p), prime)))])
+            out.append(p)
+        known = _POWERS[which, part] = (out[0], out[1])
+    return known
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -107,16 +123,25 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """64-bit hash of any range of a sequence in constant time per range."""
+    """Hash of any range of a sequence in constant time per range: 62 bits, mixed to 64.
+
+    Ranges of n values collide with a chance of (n / 2^31)^2.  The two halves of a value's 62 lower bits
+    are the coefficients of the two polynomials."""
 
     def __init__(self, values: np.ndarray, which: int = 0):
         size = 1 << max(10, int(len(values)).bit_length())
-        up, self.down = _powers(which, size)
-        self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+        self.sums, self.down = [], []
+        for part in (0, 1):
+            up, down = _powers(which, part, size)
+            half = (values >> np.uint64(31 * part)) & PRIME
+            sums = np.zeros(len(values) + 1, np.uint64)
+            np.cumsum(_reduced(half * up[: len(values)]), out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+        one, two = (_reduced(_reduced(s[end] - s[start]) * d[start]) for s, d in zip(self.sums, self.down))
+        return mix(one << np.uint64(31) | two)
 
 
 def byte_hash(c: Chunk, which: int = 0, fold: bool = False) -> Rolling:

@@ -13,6 +13,9 @@ and then into single ones, and sorted anew; only what is left undecided goes on.
 Nulls: a null text is an empty one, a null id a document of its own; both are
 returned.  Repeated rows are further places where their strings stand.  Texts
 shorter than ``length`` lose nothing.  An empty table gives an empty result.
+Texts may be of any length; a document's own list of places has to fit into memory.
+Other columns stay; one with the name of a result (n_bytes, n_removed, n_spans,
+kept_sha256) is replaced by it.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowmend.core import stable
 
@@ -34,13 +38,31 @@ GRAM = 64
 SLICE = 16
 CHUNK = 600_000  # bytes hashed at a time
 PLACE = ["doc", "tag", "at", "n", "x"]
-ROWS = "core long, t1 long, t2 long, doc long, tag int, at int, n int, x int"
+ROWS = "core long, t1 long, t2 long, doc long, tag long, at int, n int, x int"
 
 
 def tagged(docs: DataFrame) -> DataFrame:
-    """doc and tag (a hash of the text) tell documents apart, also those that repeat an id."""
+    """doc and tag (a hash of the text) tell documents apart, also those that repeat an id or have none.
+
+    Ids that are no whole numbers are numbered in their order."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"text": text, "doc": F.col("doc_id").cast("long"), "tag": F.hash(text)})
+    if isinstance(docs.schema["doc_id"].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        docs = docs.withColumn("doc", F.col("doc_id").cast("long"))
+    else:
+        ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy("doc_id")
+        docs = docs.join(stable(ids.withColumn("doc", F.monotonically_increasing_id())), "doc_id", "left")
+    return docs.withColumns({"text": text, "tag": F.xxhash64(text)})
+
+
+def under(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all columns as one, so that none meets a name used here."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def over(cut: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
+    """The columns of docs, but for those that ``made`` replaces, and ``made``."""
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c not in made]
+    return cut.select(*kept, *made)
 
 
 def _batch(core, t1, t2, ids: list[pa.Array], which: np.ndarray, at, n, x) -> Iterator[pa.RecordBatch]:
@@ -161,8 +183,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     Every byte goes that is in a string of ``length`` bytes which begins anywhere
     else, too.  The digest is of the bytes left; a letter of which a part went is
     left out of the text."""
-    others = [c for c in docs.columns if c != "text" and c not in ("doc", "tag")]
-    known = tagged(docs.select(*others, "text"))
+    known, others = tagged(under(docs)), ["_row"]
     ranges = _lists(repeated(known, length), ["at", "n"], "ranges")
     joined = squeezed(known).join(ranges, _same(), "left").select(*others, "packed", "ranges")
 
@@ -185,5 +206,6 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                     [*others, "text", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
                 )
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return joined.mapInArrow(run, kinds + "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kinds = f"_row {known.schema['_row'].dataType.simpleString()}, "
+    cut = joined.mapInArrow(run, kinds + "text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return over(cut, docs, ["text", "n_bytes", "n_removed", "n_spans", "kept_sha256"])

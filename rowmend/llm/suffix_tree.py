@@ -16,6 +16,9 @@ share an anchor but not all words around it go on as single suffixes.
 Nulls: a null text has no words; a null id counts as larger than all others.
 Repeated rows have one id, so neither takes words from the other.  Texts
 shorter than the window lose nothing.  An empty table gives an empty result.
+Texts may be of any length; a document's own list of places has to fit into memory.
+Other columns stay; one with the name of a result (n_words, n_removed, kept_sha256)
+is replaced by it.
 """
 
 from __future__ import annotations
@@ -32,11 +35,11 @@ from rowmend.core import stable
 
 from .buckets import neighbours
 from .packed import Chunk, Rolling, byte_hash, chunks, discard, mix, opened, segments, signed, squeezed, stored, words
-from .suffix_array import _lists, _same, tagged
+from .suffix_array import _lists, _same, over, tagged, under
 
 ANCHOR = 5
 PLACE = ["doc", "tag", "at", "n"]
-ROWS = "core long, t1 long, doc long, tag int, at int, n int"
+ROWS = "core long, t1 long, doc long, tag long, at int, n int"
 
 
 def _words(c: Chunk) -> tuple[Rolling, Rolling, np.ndarray]:
@@ -132,8 +135,7 @@ def repeated(docs: DataFrame, window: int = 13) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """The rows of docs with text made of the words left, and n_words, n_removed, kept_sha256."""
-    others = [c for c in docs.columns if c not in ("text", "doc", "tag")]
-    known = tagged(docs.select(*others, "text"))
+    known, others = tagged(under(docs)), ["_row"]
     ranges = _lists(repeated(known, window), ["at", "n"], "ranges")
     joined = squeezed(known).join(ranges, _same(), "left").select(*others, "packed", "ranges")
 
@@ -163,5 +165,6 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                     [*others, "text", "n_words", "n_removed", "kept_sha256"],
                 )
 
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
-    return joined.mapInArrow(run, kinds + "text string, n_words long, n_removed long, kept_sha256 string")
+    kinds = f"_row {known.schema['_row'].dataType.simpleString()}, "
+    cut = joined.mapInArrow(run, kinds + "text string, n_words long, n_removed long, kept_sha256 string")
+    return over(cut, docs, ["text", "n_words", "n_removed", "kept_sha256"])
