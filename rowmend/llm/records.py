@@ -33,6 +33,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from rowmend.core import ensure_checkpoint_dir
 
 FILE_BYTES = 24_000_000  # of text
 SPREAD_BYTES = 1_000_000  # of text that a task has at least, if there are more cores than files
-HELD = 500_000  # entries of texts whose ids a worker remembers
+HELD = 300_000  # entries of texts whose ids a worker remembers
 HEAD, HEAD_BYTES = "<qBBHI", 16
 LENGTH, CHECK = "<Q", "<I"
 BLOCK = 1024
@@ -54,7 +55,6 @@ MASK_ADD = 0xA282EAD8
 PIECES = re.compile(
     r"[\t\r\n](?=[^ \t\r\n])|[ \t\r\n]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[\x00-@\[-`{-\x7f]|\Z)|[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+"
 )
-PLAIN = re.compile(r" ?[^ \t\r\n]+")
 ALONE = "\x01"
 # Texts with other white space (or what some engine counts as such) are not cut.
 _RARE = [*range(0x0B, 0x0D), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]
@@ -202,8 +202,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.encode_special_tokens = not special
-        # entries of texts, and the smaller pieces that they are made of
-        self.entries, self.pieces = Known(), Known()
+        self.entries = Known()
         self.line_break = self._encode(["\n"])[0].ids
 
     def _encode(self, texts: list[str]) -> list:
@@ -218,33 +217,20 @@ class Ids:
         return (ALONE + text.replace("\n", " \n")).split(" ")
 
     def _learn(self, entries: list[str]) -> None:
-        cut = [
-            ([e[1:]] if RARE_SPACE.search(e) else PIECES.findall(e[1:])) if e[0] == ALONE else PIECES.findall(e if e[0] == "\n" else " " + e)
-            for e in entries
-        ]
-        flat = list(chain.from_iterable(cut))
-        self._learn_pieces(list(set(flat).difference(self.pieces.place)))
-        code = np.fromiter(map(self.pieces.place.__getitem__, flat), np.int64, len(flat))
-        ids, upto = self.pieces.of(code)
-        self.entries.add(entries, ids, upto[np.cumsum([len(c) for c in cut])])
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        # pieces without white space but a blank in front go through side by side, with line breaks between them
-        plain = [p for p in pieces if PLAIN.fullmatch(p) and not RARE_SPACE.search(p)]
-        lines = self._encode(["\n".join(plain[k : k + 500]) for k in range(0, len(plain), 500)])
+        # words go through side by side, with line breaks between them
+        plain = [e for e in entries if e[0] not in (ALONE, "\n")]
+        lines = self._encode([" " + "\n ".join(plain[k : k + 500]) for k in range(0, len(plain), 500)])
         ids = np.array(list(chain.from_iterable(line.ids + self.line_break for line in lines)), np.uint32)
         stops = np.flatnonzero(ids == self.line_break[0])
-        self.pieces.add(plain, np.delete(ids, stops), stops - np.arange(len(stops)))
-        others = list(set(pieces).difference(plain))
-        coded = [c.ids for c in self._encode(others)]
-        self.pieces.add(others, np.array(list(chain.from_iterable(coded)), np.uint32), np.cumsum([len(c) for c in coded]))
+        self.entries.add(plain, np.delete(ids, stops), stops - np.arange(len(stops)))
+        others = [e for e in entries if e[0] in (ALONE, "\n")]
+        coded = [c.ids for c in self._encode([e[1:] if e[0] == ALONE else e for e in others])]
+        self.entries.add(others, np.array(list(chain.from_iterable(coded)), np.uint32), np.cumsum([len(c) for c in coded]))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
         if len(self.entries) > HELD or len(self.entries.flat) > 8 * HELD:
             self.entries = self.entries.forget(HELD // 2)
-        if len(self.pieces) > HELD or len(self.pieces.flat) > 8 * HELD:
-            self.pieces = self.pieces.forget(HELD // 2)
         entries: list[str] = []
         n = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -262,15 +248,15 @@ class Ids:
         return ids, np.diff(upto[np.r_[0, np.cumsum(n)]])
 
 
-def _portions(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    lo = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= limit:
-            yield lo, i + 1
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
+def _portions(column: pa.Array, limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Rows that have about ``limit`` bytes of text together."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(size):
+        done = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, done + limit, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, special: bool = True) -> None:
@@ -291,16 +277,16 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, special:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, rest = Ids.of_worker(vocabulary.value, special), None
         for batch in batches:
-            texts, names = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            texts, names = batch.column("text"), batch.column("doc_id")
             for lo, hi in _portions(texts):
-                ids, n = ids_of.of(texts[lo:hi])
+                ids, n = ids_of.of(texts.slice(lo, hi - lo).to_pylist())
                 end = np.cumsum(n + 1)
                 whole = np.full(len(ids) + hi - lo, end_id, np.uint32)
                 inner = np.ones(len(whole), bool)
                 inner[end - 1] = False
                 whole[inner] = ids
                 parts = []
-                for name, a, b in zip(names[lo:hi], (end - n - 1).tolist(), end.tolist()):
+                for name, a, b in zip(names.slice(lo, hi - lo).to_pylist(), (end - n - 1).tolist(), end.tolist()):
                     mine = whole[a:b]
                     wide = 2 if mine.max() < 1 << 16 else 4
                     head = struct.pack(HEAD, name or 0, name is not None, wide, 0, b - a)
