@@ -18,6 +18,7 @@ from rowmend.operators import confident, encode, fairness, metrics, noise, ranki
 from rowmend.plans import experiments, provenance, reports
 from rowmend.sources import readers, store
 
+from . import logisticsql as L
 from . import sqltext as S
 from . import views
 from .views import DOCS, EVENTS, LINES, ORDERS
@@ -489,14 +490,20 @@ def yeo_johnson_fixed(spark, sf):
     )
 
 
-@query("yeo_johnson_fit")
+@query(
+    "yeo_johnson_fit",
+    L.materialized(
+        S.view("lines") + L.best_power("v", "price", "lam_price") + L.best_power("v", "quantity", "lam_quantity")
+        + [("far", "SELECT 1.0::DOUBLE - ln(1.0::DOUBLE + price / 1000.0::DOUBLE) AS price FROM v")] + L.best_power("far", "price", "lam_far"),
+        "SELECT round(p.lam, 4) AS lambda_price, round(q.lam, 4) AS lambda_quantity, round(f.lam, 4) AS lambda_far FROM lam_price p, lam_quantity q, lam_far f",
+    ),
+)
 def yeo_johnson_fit(spark, sf):
-    """Lambda per column and the log-likelihood pieces at it."""
-    df = stable(views.lines(spark, sf).select("row_id", "price", "quantity"))
-    lam = fit_yeo_johnson(df, ["price", "quantity"])
-    return df.agg(
-        *[F.lit(round(v, 6)).alias(f"lambda_{c}") for c, v in lam.items()],
-        *[F.round(F.var_pop(yeo_johnson(F.col(c), v)), 6).alias(f"var_{c}") for c, v in lam.items()],
+    """Lambda per column."""
+    x = views.lines(spark, sf).select("row_id", "price", "quantity").withColumn("far", 1.0 - F.log(1.0 + F.col("price") / 1000.0))
+    lam = fit_yeo_johnson(stable(x), ["price", "quantity", "far"])
+    return spark.createDataFrame([tuple(lam.values())], "lambda_price double, lambda_quantity double, lambda_far double").select(
+        *[R(f"lambda_{c}", 4) for c in lam]
     )
 
 
@@ -542,26 +549,37 @@ def _train_test(spark, sf, view, spec):
     return split.where("split = 'train'"), split.where("split = 'val'"), split.where("split = 'test'")
 
 
-@query("model_logistic")
+@query("model_logistic", L.predictions(DOCS, "docs"))
 def model_logistic(spark, sf):
     frame = encode.factorize(stable(views.docs(spark, sf)), DOCS.cat)
     train, _, test = _train_test(spark, sf, lambda *_: frame, DOCS)
     out = logistic_model(DOCS).predict(train, test)
-    return out.select("row_id", "y", "protected", R("p1"), "pred")
+    return out.select("row_id", "y", "protected", R("p1", 3), "pred")
+
+
+@query(
+    "logistic_certificate",
+    "SELECT unnest(['(intercept)', " + ", ".join(f"'{c}'" for c in DOCS.features) + "]) AS name, TRUE AS flat",
+)
+def logistic_certificate(spark, sf):
+    """No slope of the penalised loss is left at the fitted coefficients: the one optimum."""
+    frame = encode.factorize(stable(views.docs(spark, sf)), DOCS.cat)
+    train, _, _ = _train_test(spark, sf, lambda *_: frame, DOCS)
+    return logistic_model(DOCS).certificate(train).select("name", (F.abs("slope") < 1e-6).alias("flat"))
 
 
 @query("model_forest")
 def model_forest(spark, sf):
     frame = encode.factorize(stable(views.docs(spark, sf)), DOCS.cat)
     train, _, test = _train_test(spark, sf, lambda *_: frame, DOCS)
-    out = forest_model(DOCS, n_trees=20).predict(train, test)
+    out = forest_model(DOCS).predict(train, test)
     return out.select("row_id", "y", "protected", R("p1"), "pred")
 
 
-@query("oof_predict_logistic")
+@query("oof_predict_logistic", L.out_of_fold(DOCS, "docs"))
 def oof_predict_logistic(spark, sf):
     frame = encode.factorize(stable(views.docs(spark, sf)), DOCS.cat)
-    return logistic_model(DOCS, max_iter=50).oof(frame).select("row_id", "y", "fold", R("p1"))
+    return logistic_model(DOCS).oof(frame).select("row_id", "y", "fold", R("p1", 3))
 
 
 # ------------------------------------------------------------------ rankers
@@ -943,9 +961,23 @@ def _model_curve(spark, sf, model: str, kind: str) -> DataFrame:
     return _curve(exp)
 
 
-@query("curve_logistic")
+FREE = ("fair_heuristic", "random")  # rankings that need no model
+
+
+@query("curve_logistic", L.curve("docs", DOCS, "group_label", FREE))
 def curve_logistic(spark, sf):
-    return _model_curve(spark, sf, "logistic", "group_label")
+    """A fit for each of 21 points of each ranking, all at once."""
+    return _curve(experiments.run_group_label(views.docs(spark, sf), DOCS, model="logistic", methods=FREE))
+
+
+@query("curve_logistic_control", L.curve("docs", DOCS, "no_noise", FREE))
+def curve_logistic_control(spark, sf):
+    return _curve(experiments.run_no_noise_control(views.docs(spark, sf), DOCS, model="logistic", methods=FREE))
+
+
+@query("curve_logistic_rankers")
+def curve_logistic_rankers(spark, sf):
+    return _curve(experiments.run_group_label(views.docs(spark, sf), DOCS, model="logistic"))
 
 
 @query("curve_forest")

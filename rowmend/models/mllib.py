@@ -1,16 +1,22 @@
-"""The two MLlib models: logistic regression on transformed columns, and a
-random forest on selected principal components.
+"""Logistic regression on transformed columns, and MLlib's random forest on
+selected principal components.
 
 Same interface as the Naive Bayes scorer, without the one-pass sweep: every
-point of a cleaning curve refits everything, preprocessing included.
+point of a cleaning curve refits everything, preprocessing included.  Where a
+repair changes labels only, the logistic models of all points share their
+preprocessing and are fitted together (``relabel_sweep``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -18,8 +24,13 @@ from pyspark.sql import functions as F
 
 from ..core import Spec, in_parallel, stable
 from ..operators.sampling import stratified_folds
+from . import logistic
+from .naive_bayes import point_metrics
 from .preprocess import MedianImputer, ModeImputer, Standardizer, YeoJohnson
 
+# the task functions below travel with the job, so executors need no install
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class MLModel:
     """A list of stages whose last one is the classifier.
@@ -67,9 +78,84 @@ class MLModel:
         return stable(out)
 
 
+class LogisticModel(MLModel):
+    """Stages, and ``logistic.fit`` in place of the last one."""
+
+    def __init__(self, spec: Spec, stages: Callable[[DataFrame], list], n_folds: int = 5, max_iter: int = 1000):
+        super().__init__("logistic", spec, stages, n_folds)
+        self.max_iter = max_iter
+
+    def coefficients(self, train: DataFrame):
+        """The preprocessing, and the coefficients over its output."""
+        apply, _ = self.space(train)
+        rows = stable(apply(train).select("vec", F.col("y").cast("int").alias("y")))
+        return apply, logistic.fit(rows, len(self.spec.features), max_iter=self.max_iter)[0]
+
+    def predict(self, train: DataFrame, rows: DataFrame) -> DataFrame:
+        apply, beta = self.coefficients(train)
+        out = apply(rows).withColumn("p1", logistic.probability(beta))
+        return out.withColumn("pred", (F.col("p1") > 0.5).cast("int")).drop("features", "vec")
+
+    def certificate(self, train: DataFrame) -> DataFrame:
+        """(name, slope) of the fitted model."""
+        apply, beta = self.coefficients(train)
+        return logistic.gradient(apply(train).select("vec", "y"), beta[None, :], self.spec.features)
+
+    def relabel_sweep(self, train: DataFrame, moves: DataFrame, test: DataFrame, grid: list[float], series: list[tuple[str, int]]) -> DataFrame:
+        """(method, seed, g, accuracy, dp_gap) of the model at every grid point of every ranking, if repairs change
+        labels only.  ``moves``: method, seed, row_id, _point (first grid index that repairs the row) and y_after."""
+        spark = train.sparkSession
+        points = len(grid)
+        apply, _ = self.space(train)
+        first = {s: f"_b{i}" for i, s in enumerate(series)}
+        when = moves.groupBy("row_id").agg(
+            F.max("y_after").cast("int").alias("_after"),
+            *[F.max(F.when((F.col("method") == m) & (F.col("seed") == s), F.col("_point"))).cast("int").alias(c) for (m, s), c in first.items()],
+        )
+        bs = list(first.values())
+        never = [F.coalesce(c, F.lit(points)).alias(c) for c in bs]
+        y = F.col("y").cast("int")
+        rows = stable(apply(train).join(when, "row_id", "left").select("vec", y.alias("y"), F.coalesce("_after", y).alias("_after"), *never))
+
+        def labels(batch: pa.RecordBatch) -> np.ndarray:
+            now, after = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)[:, None] for c in ("y", "_after"))
+            repaired = [batch.column(c).to_numpy(zero_copy_only=False)[:, None] <= np.arange(points) for c in bs]
+            return np.concatenate([np.where(r, after, now) for r in repaired], axis=1)
+
+        kinds = rows.select(*[
+            F.sum(F.when(F.col(c) <= g, F.col("_after")).otherwise(F.col("y"))).alias(f"{c}_{g}") for c in bs for g in range(points)
+        ], F.count(F.lit(1)).alias("n")).first()
+        ok = np.array([0 < (kinds[f"{c}_{g}"] or 0) < kinds["n"] for c in bs for g in range(points)])
+        beta = logistic.fit(rows, len(self.spec.features), len(ok), labels, max_iter=self.max_iter)
+
+        def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column("vec").flatten().to_numpy().reshape(batch.num_rows, -1)
+                called = (x @ beta[:, 1:].T + beta[:, 0]) > 0
+                y, p = batch.column("y").to_pylist(), batch.column("protected").to_pylist()
+                kinds = list(zip(y, p))
+                for k in set(kinds):
+                    mine = np.array([q == k for q in kinds])
+                    n = called.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(n, dtype=np.int32)), pa.array([k[0]] * n, pa.int32()), pa.array([k[1]] * n, pa.bool_()),
+                         pa.array(np.full(n, float(mine.sum()))), pa.array(called[mine].sum(axis=0).astype(np.float64))],
+                        ["gid", "y", "protected", "n", "hits"],
+                    )
+
+        counts = apply(test).select("vec", y.alias("y"), "protected").mapInArrow(hits, "gid int, y int, protected boolean, n double, hits double")
+        table = spark.createDataFrame(
+            [(i * points + g, m, s, g, bool(ok[i * points + g])) for i, (m, s) in enumerate(series) for g in range(points)],
+            "gid int, method string, seed int, g int, ok boolean",
+        )
+        return F.broadcast(table).join(point_metrics(counts), "gid").select(
+            "method", "seed", "g", F.when(F.col("ok"), F.col("accuracy")).alias("accuracy"), F.when(F.col("ok"), F.col("dp_gap")).alias("dp_gap")
+        )
+
+
 def logistic_model(spec: Spec, classifier=None, max_iter: int = 1000) -> MLModel:
     """Numbers: median, power transform, standardise.  Categories: mode.
-    Then logistic regression with an L2 penalty of 1/n, or ``classifier``."""
+    Then logistic regression with an L2 penalty of 1/n, or the MLlib stage ``classifier``."""
 
     def stages(train: DataFrame) -> list:
         num, cat = list(spec.num), list(spec.cat)
@@ -77,21 +163,16 @@ def logistic_model(spec: Spec, classifier=None, max_iter: int = 1000) -> MLModel
         if cat:
             out.append(ModeImputer(cat))
         out.append(VectorAssembler(inputCols=num + cat, outputCol="features", handleInvalid="keep"))
-        out.append(
-            classifier
-            or LogisticRegression(
-                featuresCol="features", labelCol="y", maxIter=max_iter,
-                regParam=1.0 / max(1, train.count()), elasticNetParam=0.0, standardization=False,
-            )
-        )
-        return out
+        return [*out, classifier]
 
-    return MLModel("logistic", spec, stages)
+    return MLModel("logistic", spec, stages) if classifier is not None else LogisticModel(spec, stages, max_iter=max_iter)
 
 
 def forest_model(spec: Spec, n_components: int = 8, k_best: int = 5, n_trees: int = 100,
-                 max_depth: int = 12) -> MLModel:
-    """Median, standardise, principal components, best by ANOVA F, forest."""
+                 max_depth: int = 30) -> MLModel:
+    """Median, standardise, principal components, best by ANOVA F, forest.
+
+    ``max_depth``: 30 is the most that Spark's trees take."""
 
     def stages(train: DataFrame) -> list:
         cols = list(spec.features)

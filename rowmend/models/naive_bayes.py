@@ -227,7 +227,7 @@ class NaiveBayes:
         """Metrics of the model at every grid point of every ranking.
 
         ``moves`` has one row per ranked training row: ``method``, ``seed``,
-        ``b`` (first grid index that includes the row), the row's features and
+        ``_point`` (first grid index that includes the row), the row's features and
         label, the same suffixed ``_after`` behind the repair, and
         ``keep_after``.  ``series`` lists the (method, seed) pairs.  Returns
         (method, seed, g, accuracy, dp_gap); the metrics are NULL where the
@@ -253,8 +253,8 @@ class NaiveBayes:
         )
         # net change per grid point and distinct row content
         delta = (
-            moves.where(F.col("b") < points)
-            .select(*keys, "b", F.inline(both))
+            moves.where(F.col("_point") < points)
+            .select(*keys, F.col("_point").alias("b"), F.inline(both))
             .groupBy(*keys, "b", "y", *names)
             .agg(F.sum("w").alias("w"))
         )

@@ -8,15 +8,22 @@ and it has no power transform.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml import Estimator, Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import literal_array, yeo_johnson
+from ..functions import yeo_johnson
 from ..operators.encode import median_of, mode_of
 
+# the task functions below travel with the job, so executors need no install
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class _Projection(Model):
     """Fitted stage that rewrites columns with expressions."""
@@ -78,45 +85,88 @@ class Standardizer(Estimator):
         )
 
 
-def fit_yeo_johnson(
-    df: DataFrame, cols: Sequence[str], low: float = -5.0, high: float = 5.0, passes: int = 5
-) -> dict[str, float]:
-    """Maximum-likelihood lambda per column.
-
-    Each pass evaluates nine lambdas for all columns in one aggregation, then
-    zooms in around the best; the log-likelihood needs only the variance of
-    the transformed column and the sum of sign(x) log1p|x|.
-    """
-    grid = {c: (low, high) for c in cols}
-    best = {c: 1.0 for c in cols}
-    for _ in range(passes):
-        points = {c: [a + (b - a) * i / 8 for i in range(9)] for c, (a, b) in grid.items()}
-        # lambdas are data, so all passes run the same compiled plan
-        cells = F.array(
-            *[
-                F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x"), literal_array(points[c]).alias("ls"))
-                for c in cols
-            ]
-        )
-        long = df.select(F.explode(cells).alias("e")).where(F.col("e.x").isNotNull())
-        long = long.select("e.c", "e.x", F.posexplode("e.ls").alias("i", "lam"))
-        x = F.col("x")
-        rows = long.groupBy("c", "i").agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("l"),
-            F.var_pop(yeo_johnson(x, F.col("lam"))).alias("v"),
-        )
-        found = {c: (-math.inf, None) for c in cols}
-        for r in rows.collect():  # 9 rows per column
-            if r["v"] is not None and r["v"] > 0 and not math.isinf(r["v"]):
-                loglik = -r["n"] / 2 * math.log(r["v"]) + (points[r["c"]][r["i"]] - 1) * r["l"]
-                found[r["c"]] = max(found[r["c"]], (loglik, r["i"]))
-        for c in cols:
-            if found[c][1] is not None:
-                best[c] = points[c][found[c][1]]
-            a, b = grid[c]
-            half = (b - a) / 8
-            grid[c] = (max(low, best[c] - half), min(high, best[c] + half))
+POINTS = 9  # lambdas tried in a pass
+WIDEST = 1e4  # beyond it a column has no best lambda to speak of
+
+
+def _power(x: np.ndarray, lam: float) -> np.ndarray:
+    size = np.log1p(np.abs(x))
+    up = size if abs(lam) < 1e-12 else np.expm1(lam * size) / lam
+    down = -size if abs(2 - lam) < 1e-12 else -np.expm1((2 - lam) * size) / (2 - lam)
+    return np.where(x >= 0, up, down)
+
+
+def _power_sums(df: DataFrame, cols: Sequence[str], points: dict[str, list[float]], middle: dict[str, float]) -> DataFrame:
+    """(c, i, n, l, s1, s2, s3): per column and lambda the pieces of the log-likelihood.
+
+    A task adds up each batch's count, mean and squared deviations; n, sum of n * mean, of the deviations and of
+    n * mean^2 give the variance of all.  Means are those of the distance to the transformed ``middle``, as powers
+    may be much larger than their variance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(cols), POINTS, 5))
+        for batch in batches:
+            for k, c in enumerate(cols):
+                x = batch.column(c).drop_null().to_numpy(zero_copy_only=False).astype(np.float64)
+                x = x[~np.isnan(x)]
+                if not len(x):
+                    continue
+                total[k, :, 0] += len(x)
+                total[k, :, 1] += (np.sign(x) * np.log1p(np.abs(x))).sum()
+                with np.errstate(all="ignore"):
+                    for i, lam in enumerate(points[c]):
+                        z = _power(x, lam) - _power(np.array([middle[c]]), lam)
+                        mean = z.mean()
+                        total[k, i, 2:] += (len(z) * mean, ((z - mean) ** 2).sum(), len(z) * mean * mean)
+        for k, c in enumerate(cols):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c] * POINTS), pa.array(range(POINTS), pa.int32()), *(pa.array(total[k, :, j]) for j in range(5))],
+                ["c", "i", "n", "l", "s1", "s2", "s3"],
+            )
+
+    parts = df.select(*cols).mapInArrow(run, "c string, i int, n double, l double, s1 double, s2 double, s3 double")
+    return parts.groupBy("c", "i").agg(*[F.sum(x).alias(x) for x in ("n", "l", "s1", "s2", "s3")])
+
+
+def fit_yeo_johnson(df: DataFrame, cols: Sequence[str], low: float = -5.0, high: float = 5.0) -> dict[str, float]:
+    """Maximum-likelihood lambda per column; 1 for a column without two different values.
+
+    Each pass tries nine lambdas of every column in one go.  If the best is the first or the last, the bracket moves
+    there and doubles, as often as needed; else it closes in on the best.  The last one is refined by a parabola
+    through it and its neighbours.  A column whose likelihood still grows at ``WIDEST`` is an error."""
+    means = df.agg(*[F.avg(c).alias(c) for c in cols]).first() if cols else {}
+    middle = {c: float(means[c] or 0.0) for c in cols}
+    grid, best, open_ = {c: (low, high) for c in cols}, dict.fromkeys(cols, 1.0), set(cols)
+    while open_:
+        now = [c for c in cols if c in open_]
+        points = {c: np.linspace(*grid[c], POINTS).tolist() for c in now}
+        found = {c: np.full(POINTS, -np.inf) for c in now}
+        for r in _power_sums(df, now, points, middle).collect():  # nine rows per column
+            if r["n"]:
+                v = (r["s2"] + r["s3"] - r["s1"] ** 2 / r["n"]) / r["n"]
+                if v > 0 and math.isfinite(v):
+                    found[r["c"]][r["i"]] = -r["n"] / 2 * math.log(v) + (points[r["c"]][r["i"]] - 1) * r["l"]
+        for c in now:
+            like, at = found[c], points[c]
+            i, (a, b) = int(np.argmax(like)), grid[c]
+            if not np.isfinite(like[i]):
+                open_.discard(c)
+                continue
+            best[c] = at[i]
+            if i in (0, POINTS - 1):
+                if abs(at[i]) > WIDEST:
+                    raise ValueError(f"the power of column {c} has no best value within {WIDEST:g}")
+                grid[c] = (at[i] - (b - a), at[i] + (b - a))
+                continue
+            step = at[1] - at[0]
+            if step < 1e-3:
+                left, mid, right = like[i - 1 : i + 2]
+                bend = left - 2 * mid + right
+                if np.isfinite(bend) and bend < 0:
+                    best[c] = float(at[i] + step * (left - right) / (2 * bend))
+                open_.discard(c)
+            else:
+                grid[c] = (at[i - 1], at[i + 1])
     return best
 
 

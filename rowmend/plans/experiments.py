@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -84,7 +85,7 @@ def corrupt(split: DataFrame, spec: Spec, noise_type: str, level: float, seed: i
 
 
 def rank_rows(model, train: DataFrame, val: DataFrame, methods, k: int = 1,
-              shapley_steps: int | None = None) -> DataFrame:
+              shapley_steps: int | None = None, shapley_error: float | None = None) -> DataFrame:
     """All requested rankings of one corrupted training table, stacked."""
     candidates = train.where("is_noisy").select("row_id")
 
@@ -107,13 +108,13 @@ def rank_rows(model, train: DataFrame, val: DataFrame, methods, k: int = 1,
 
         def plain() -> DataFrame:
             val_space = apply(val).select("row_id", "y", *cols)
-            scores = shapley.knn_shapley(train_space, val_space, cols, "accuracy", k, shapley_steps)
+            scores = shapley.knn_shapley(train_space, val_space, cols, "accuracy", k, shapley_steps, shapley_error)
             return labelled("shapley", shapley.rank_by_shapley(scores, candidates))
 
         def parity() -> DataFrame:
             pred = model.predict(train, val).select("row_id", "pred")
             val_space = apply(val).select("row_id", "protected", *cols).join(pred, "row_id")
-            scores = shapley.knn_shapley(train_space, val_space, cols, "parity", k, shapley_steps)
+            scores = shapley.knn_shapley(train_space, val_space, cols, "parity", k, shapley_steps, shapley_error)
             return labelled("fair_shapley", shapley.rank_by_shapley(scores, candidates))
 
         return in_parallel(*[{"shapley": plain, "fair_shapley": parity}[m] for m in wanted])
@@ -158,7 +159,7 @@ def repair_action(kind: str, spec: Spec, cap: float | None) -> repair.Action:
 def _moves(train: DataFrame, rankings: DataFrame, spec: Spec, how: Noise, cap: float | None):
     top = F.when(F.col("method") == "entropy", F.lit(how.entropy_cap)).otherwise(1.0)
     ranked = rankings.select(
-        "method", "seed", "row_id", repair.first_grid_index(list(how.grid), top).alias("b")
+        "method", "seed", "row_id", repair.first_grid_index(list(how.grid), top).alias("_point")
     )
     after = {f"{c}_after": F.col(c) for c in spec.features}
     after["y_after"] = F.col("y")
@@ -176,7 +177,8 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
                    spec: Spec, how: Noise, cap: float | None, threads: int = 4) -> DataFrame:
     """(method, seed, proportion, n_cleaned, accuracy, dp_gap).
 
-    The Naive Bayes scorer updates its counts along the grid in one pass.
+    The Naive Bayes scorer updates its counts along the grid in one pass; logistic models
+    of all points are fitted together where repairs change labels only.
     Other models are refitted at every point, and a fit refused as invalid gives
     NULL metrics; the driver keeps a few fits in
     flight, and points that clean the same rows share one fit.
@@ -205,6 +207,14 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
             "method", "seed", "proportion", "n_cleaned", "accuracy", "dp_gap"
         )
 
+    if hasattr(model, "relabel_sweep") and how.action in ("restore", "flip"):
+        table = spark.createDataFrame(points, "method string, seed int, g int, proportion double, n_cleaned long")
+        moves = _moves(train, rankings, spec, how, cap).select("method", "seed", "row_id", "_point", "y_after")
+        metrics = model.relabel_sweep(train, moves, test, grid, series)
+        return metrics.join(F.broadcast(table), ["method", "seed", "g"]).select(
+            "method", "seed", "proportion", "n_cleaned", "accuracy", "dp_gap"
+        )
+
     action = repair_action(how.action, spec, cap)
 
     # the rows and their rank in every ranking, stored once: a point is a projection
@@ -232,12 +242,15 @@ def cleaning_curve(model, train: DataFrame, test: DataFrame, rankings: DataFrame
 
 
 def run_experiment(
-    df: DataFrame, spec: Spec, noise_type: str, model: str = "nb", level: float = 0.2,
+    df: DataFrame, spec: Spec, noise_type: str, model: str | Callable = "nb", level: float = 0.2,
     seed: int = 42, split_seed: int = 0, grid: list[float] | None = None,
     methods: tuple[str, ...] | None = None, k: int = 1, shapley_steps: int | None = None, val_cap: int | None = None,
+    shapley_error: float | None = None,
 ) -> Experiment:
     """Run one experiment on a frame (row_id, y, protected, features).
 
+    ``model``: a key of ``make_model``, or a function from the spec to a scorer (``forest_model`` with
+    other arguments, say).  ``shapley_steps`` and ``shapley_error``: see ``knn_shapley``.
     ``val_cap`` bounds the validation rows; those left out are ``unused`` in the split."""
     if noise_type not in NOISE_TYPES:
         raise ValueError(f"unknown noise type {noise_type!r}; choose from {sorted(NOISE_TYPES)}")
@@ -255,9 +268,10 @@ def run_experiment(
     train, cap = corrupt(split, spec, noise_type, level, seed)
     val = split.where(F.col("split") == "val")
     test = split.where(F.col("split") == "test")
-    rankings = stable(rank_rows(scorer, train, val, how.rankers, k, shapley_steps))
+    rankings = stable(rank_rows(scorer, train, val, how.rankers, k, shapley_steps, shapley_error))
     curve = cleaning_curve(scorer, train, test, rankings, spec, how, cap)
-    return Experiment(noise_type, model, list(how.grid), train, test, val, rankings, curve, cap, split)
+    name = model if isinstance(model, str) else getattr(scorer, "name", "own")
+    return Experiment(noise_type, name, list(how.grid), train, test, val, rankings, curve, cap, split)
 
 
 def run_outlier(df, spec, **kw) -> Experiment:
