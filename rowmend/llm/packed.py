@@ -84,9 +84,13 @@ _DRAWN = np.random.default_rng(20).integers(2**20, 2**31 - 2, (2, 2), dtype=np.i
 
 def _reduced(x: np.ndarray) -> np.ndarray:
     """x modulo the prime, for x below 2^62."""
-    x = (x & PRIME) + (x >> np.uint64(31))
-    x = (x & PRIME) + (x >> np.uint64(31))
-    return np.where(x >= PRIME, x - PRIME, x)
+    low = x & PRIME
+    low += x >> np.uint64(31)
+    high = low >> np.uint64(31)
+    low &= PRIME
+    low += high
+    np.subtract(low, PRIME, out=low, where=low >= PRIME)
+    return low
 
 
 def _letters(which: int, fold: bool) -> np.ndarray:
@@ -96,22 +100,27 @@ def _letters(which: int, fold: bool) -> np.ndarray:
     return table
 
 
-_POWERS: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+BLOCK = 1024
 
 
-def _powers(which: int, part: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base, and of its inverse."""
-    known = _POWERS.get((which, part))
-    if known is None or len(known[0]) < size:
-        prime, base = int(PRIME), int(_DRAWN[which, part])
-        out = []
-        for b in (base, pow(base, -1, prime)):
-            p = np.ones(1, np.uint64)
-            while len(p) < size:
-                p = np.concatenate([p, _reduced(p * np.uint64(pow(b, len(p), prime)))])
-            out.append(p)
-        known = _POWERS[which, part] = (out[0], out[1])
-    return known
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.ones(1, np.uint64)
+    while len(p) < n:
+        p = np.concatenate([p, _reduced(p * np.uint64(pow(base, len(p), int(PRIME))))])
+    return p[:n]
+
+
+class Powers:
+    """Powers of a base, as products of two short tables."""
+
+    def __init__(self, base: int, n: int):
+        self.low, self.high = _powers(base, BLOCK), _powers(pow(base, BLOCK, int(PRIME)), n // BLOCK + 1)
+
+    def first(self, n: int) -> np.ndarray:
+        return _reduced(self.high[:, None] * self.low[None, :]).ravel()[:n]
+
+    def of(self, k: np.ndarray) -> np.ndarray:
+        return _reduced(self.high[k // BLOCK] * self.low[k % BLOCK])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -129,19 +138,26 @@ class Rolling:
     are the coefficients of the two polynomials."""
 
     def __init__(self, values: np.ndarray, which: int = 0):
-        size = 1 << max(10, int(len(values)).bit_length())
+        n, prime = len(values), int(PRIME)
         self.sums, self.down = [], []
         for part in (0, 1):
-            up, down = _powers(which, part, size)
-            half = (values >> np.uint64(31 * part)) & PRIME
-            sums = np.zeros(len(values) + 1, np.uint64)
-            np.cumsum(_reduced(half * up[: len(values)]), out=sums[1:])
+            base = int(_DRAWN[which, part])
+            half = values >> np.uint64(31 * part)
+            half &= PRIME
+            half *= Powers(base, n).first(n)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_reduced(half), out=sums[1:])
             self.sums.append(sums)
-            self.down.append(down)
+            self.down.append(Powers(pow(base, -1, prime), n))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        one, two = (_reduced(_reduced(s[end] - s[start]) * d[start]) for s, d in zip(self.sums, self.down))
-        return mix(one << np.uint64(31) | two)
+        out = None
+        for s, down in zip(self.sums, self.down):
+            x = _reduced(s[end] - s[start])
+            x *= down.of(start)
+            x = _reduced(x)
+            out = x if out is None else (out << np.uint64(31)) | x
+        return mix(out)
 
 
 def byte_hash(c: Chunk, which: int = 0, fold: bool = False) -> Rolling:
