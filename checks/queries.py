@@ -16,7 +16,7 @@ from rowmend.models.naive_bayes import NaiveBayes
 from rowmend.models.preprocess import MedianImputer, Standardizer, anova_f, fit_yeo_johnson
 from rowmend.operators import confident, encode, fairness, metrics, noise, ranking, repair, sampling, shapley
 from rowmend.plans import experiments, provenance, reports
-from rowmend.sources import readers, store
+from rowmend.sources import readers, results, store
 
 from . import logisticsql as L
 from . import sqltext as S
@@ -1136,6 +1136,82 @@ def overlap_summary(spark, sf):
     return out.withColumns({"proportion": F.round("proportion", 2), "jaccard": F.round("jaccard", 9)})
 
 
+SAVED = ("shapley", "confident", "random")
+
+
+def _saved_run(spark, sf, kind) -> str:
+    """A run saved twice: first with other rankings, which must not stay."""
+    path = scratch(spark, "results")
+    frame = stable(views.docs(spark, sf))
+    for methods in (("fair_heuristic",), SAVED):
+        exp = experiments.run_experiment(frame, DOCS, kind, methods=methods)
+        results.save_run(exp, DOCS, "docs", path, 0.2, "lang")
+    return path
+
+
+_POSITIONS = ("pos", "SELECT row_id, row_number() OVER (ORDER BY row_id) - 1 AS train_position, is_noisy FROM tr")
+
+
+@query(
+    "summary_rows",
+    S.with_(
+        S.corrupted("docs", DOCS, "outlier") + S.rankings(DOCS, SAVED, FINE)
+        + [
+            _POSITIONS,
+            ("gg", "SELECT g, g * 0.05::DOUBLE AS p FROM range(0, 21) r(g)"),
+            ("a", "SELECT g, row_id FROM rnk, gg WHERE method = 'shapley' AND rank <= floor(p * n_ranked)"),
+            ("b", "SELECT g, row_id FROM rnk, gg WHERE method = 'confident' AND rank <= floor(p * n_ranked)"),
+        ],
+        """SELECT 'noisy' AS part, '' AS method, 0 AS seed, train_position AS i, row_id AS j, 0.0::DOUBLE AS x FROM pos WHERE is_noisy
+           UNION ALL SELECT 'ranking', method, seed, rank, row_id, train_position FROM rnk JOIN pos USING (row_id)
+           UNION ALL SELECT 'cleaned', method, seed, rank, row_id, round(min(p), 2) FROM rnk, gg WHERE rank <= floor(p * n_ranked) GROUP BY method, seed, rank, row_id
+           UNION ALL SELECT 'overlap', '', g, na, nb, round(CASE WHEN na + nb - ni > 0 THEN ni / (na + nb - ni)::DOUBLE ELSE 0 END, 9) FROM (
+             SELECT gg.g, (SELECT count(*) FROM a WHERE a.g = gg.g) AS na, (SELECT count(*) FROM b WHERE b.g = gg.g) AS nb,
+               (SELECT count(*) FROM a JOIN b ON a.g = b.g AND a.row_id = b.row_id WHERE a.g = gg.g) AS ni FROM gg)
+           UNION ALL SELECT 'run', split, 0, count(*), 0, round((SELECT cap FROM cap), 6) FROM sp WHERE split IN ('train', 'val', 'test') GROUP BY split
+           UNION ALL SELECT 'feature', f, 0, k - 1, 0, 0.2 FROM (SELECT unnest(["""
+        + ", ".join(f"'{c}'" for c in DOCS.features) + "]) AS f, unnest(range(1, " + str(len(DOCS.features) + 1) + ")) AS k)",
+    ),
+)
+def summary_rows(spark, sf):
+    """All lists of a run's summary, read back from the normalised tables."""
+    path = _saved_run(spark, sf, "outlier")
+    get = lambda name: results.read(spark, path, name)
+    zero, none = F.lit(0).cast("long"), F.lit("")
+    ranked, overlap, runs = get("rankings"), get("overlap"), get("runs")
+    parts = [
+        get("noisy").select(F.lit("noisy"), none, F.lit(0), "train_position", "dataset_index", F.lit(0.0)),
+        ranked.select(F.lit("ranking"), "method", "seed", "rank", "dataset_index", F.col("train_position").cast("double")),
+        get("cleaned").select(F.lit("cleaned"), "method", "seed", "rank", "dataset_index", F.round("min_proportion", 2)),
+        overlap.select(
+            F.lit("overlap"), none, F.round(F.col("proportion") * 20).cast("int"), "shapley_count", "confident_count", F.round("jaccard", 9)
+        ),
+        runs.select(F.lit("run"), F.inline(F.array(*[F.struct(F.lit(s).alias("s"), F.lit(0).alias("o"), F.col(f"n_{s}").alias("n")) for s in ("train", "val", "test")])),
+                    zero, F.round("cap_value", 6)),
+        get("features").crossJoin(F.broadcast(runs.select("level"))).select(F.lit("feature"), "name", F.lit(0), F.col("place").cast("long"), zero, "level"),
+    ]
+    out = parts[0].toDF("part", "method", "seed", "i", "j", "x")
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@query(
+    "control_summary",
+    S.with_(
+        S.experiment("docs", DOCS, "no_noise", FINE, SAVED),
+        """SELECT round(proportion, 2) AS proportion, round(max((SELECT max(accuracy) FROM crv WHERE proportion = 0)), 9) AS baseline,
+             round(max(accuracy) FILTER (method = 'shapley'), 9) AS shapley, round(max(accuracy) FILTER (method = 'confident'), 9) AS confident,
+             round(avg(accuracy) FILTER (method = 'random'), 9) AS random_mean, round(stddev_pop(accuracy) FILTER (method = 'random'), 9) AS random_std
+           FROM crv GROUP BY crv.proportion""",
+    ),
+)
+def control_summary(spark, sf):
+    """Curves of the run without noise, next to its baseline."""
+    out = results.control_summary(spark, _saved_run(spark, sf, "no_noise"))
+    return out.select(R("proportion", 2), *[R(c, 9) for c in ("baseline", "shapley", "confident", "random_mean", "random_std")])
+
+
 @query("summary_sink")
 def summary_sink(spark, sf):
     path = scratch(spark, "summary")
