@@ -7,7 +7,6 @@ rows only inside their bucket.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -15,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import stable
-from ..functions import literal_array, order_key
+from ..functions import order_key
 
 PREFIX = 3  # hexadecimal digits per bucket level: 4096 buckets
-QUANTILES = 2048  # finest bucket grid of a score
+LEAST_ROWS = 10_000  # smaller inputs are not spread over more cores
 COLLECT_ROWS = 50_000  # a boundary bucket is read by the driver only below this
 
 
@@ -131,20 +130,6 @@ def hash_rank(
 # ------------------------------------------------------------- score ranks
 
 
-def edges_below(edges: Sequence, value: Column, dtype: str) -> Column:
-    """Number of sorted constant edges below a value, searched in two levels:
-    first the blocks, then one block."""
-    if not edges:
-        return F.lit(0)
-    step = max(1, round(len(edges) ** 0.5))
-    if len(edges) <= 32:
-        return F.size(F.filter(literal_array(edges, dtype), lambda e: e < value))
-    block_ends = literal_array(edges[step - 1 :: step], dtype)
-    skipped = F.size(F.filter(block_ends, lambda e: e < value)) * step
-    block = F.slice(literal_array(edges, dtype), skipped + 1, F.lit(step))
-    return skipped + F.size(F.filter(block, lambda e: e < value))
-
-
 def score_rank(
     df: DataFrame,
     score: str,
@@ -154,59 +139,45 @@ def score_rank(
     rows_per_bucket: int = 250_000,
     total_col: str | None = None,
 ) -> DataFrame:
-    """Exact 1..N rank by (score, row_id), within ``by``.
-
-    Bucket edges are quantiles of the score, read once by the driver, so
-    every pass sees the same edges.  A value that fills a whole quantile step
-    gets a bucket of its own which is split further along ``row_id``: a score
-    shared by a third of all rows does not end in one task.
+    """Exact 1..N rank by (score, row_id), within ``by``; NULL scores come first.
+
+    Only ids, groups and scores are put in order: range partitions, whose borders lie
+    between (score, row_id) pairs, so that a score or a NULL that many rows share is
+    spread along ``row_id``; their number comes from the number of rows.  A row's place is
+    its place in its partition behind the rows of all partitions before, a table with a row
+    for each partition.  Other columns are joined by ``row_id`` (unique within ``by``) afterwards, if there are any.
+    ``by`` must be a column set of few values.
     """
-    groups = list(by)
-    frame = stable(df.withColumn("_s", F.lit(0.0) - F.col(score) if descending else F.col(score) + 0.0))
-    probs = literal_array([i / QUANTILES for i in range(1, QUANTILES)])
-    stats = frame.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx("_s", probs, 20_000).alias("s"),
-        F.percentile_approx("row_id", probs, 20_000).alias("r"),
-    ).first()
-    n = stats["n"]
-    steps = max(1, min(QUANTILES, -(-n // rows_per_bucket)))
-    picked = [round(i * QUANTILES / steps) - 1 for i in range(1, steps)]
-    s_all = [stats["s"][i] for i in picked] if n else []
-    s_edges = sorted(set(s_all))
-    r_edges = sorted({stats["r"][i] for i in picked}) if n else []
-
-    # a value gets as many row_id pieces as quantile steps it fills
-    fills = Counter(s_all)
-    width = literal_array([max(1, -(-len(r_edges) // fills[e])) for e in s_edges], "bigint")
-    frame = frame.withColumn("_i", edges_below(s_edges, F.col("_s"), "double"))
-    # get() is NULL past the last edge
-    at_edge = F.get(literal_array(s_edges), F.col("_i")) if s_edges else F.lit(None)
-    piece = (
-        F.floor(edges_below(r_edges, F.col("row_id"), "bigint") / F.get(width, F.col("_i")))
-        if s_edges
-        else F.lit(0)
-    )
-    on_edge = F.coalesce(at_edge == F.col("_s"), F.lit(False))
-
-    frame = frame.withColumn(
-        "_b", F.col("_i") * 2 + on_edge.cast("int")
-    ).withColumn("_c", F.when(on_edge, piece).otherwise(0).cast("int"))
-
-    before = (
-        Window.partitionBy(*(groups or [F.lit(0)]))
-        .orderBy("_b", "_c")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # a few times 2048 rows per group at most
-    counts = frame.groupBy(*groups, "_b", "_c").count()
-    offsets = counts.select(
-        *groups, "_b", "_c", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_off")
-    )
-    inside = Window.partitionBy(*groups, "_b", "_c").orderBy("_s", "row_id")
-    out = (
-        frame.join(F.broadcast(offsets), [*groups, "_b", "_c"], "left")
-        .withColumn(rank_col, F.col("_off") + F.row_number().over(inside))
-        .drop("_s", "_i", "_b", "_c", "_off")
-    )
+    groups, spark = list(by), df.sparkSession
+    whole = set(df.columns) <= {"row_id", score, *groups}
+    kept = df.columns if whole else [*groups, "row_id"]
+    value = F.lit(0.0) - F.col(score) if descending else F.col(score) + 0.0
+    narrow = stable(df.select(*kept, value.alias("_s")))
+    n = narrow.count()
+    parts = max(1, -(-n // rows_per_bucket), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    order = [F.col(c).asc_nulls_first() for c in (*groups, "_s", "row_id")]
+    ordered = narrow.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # partition and place in it; stored, so that all passes see the same ones
+    placed = stable(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    within = F.col("_at") - F.shiftleft(F.col("_p"), 33)
+    ranked = placed.join(F.broadcast(offsets), "_p").withColumn("_pos", F.col("_off") + within + 1)
+    if groups:
+        firsts = ranked.groupBy(*[F.col(g).alias(f"_g_{g}") for g in groups]).agg(F.min("_pos").alias("_first"))
+        same = F.lit(True)
+        for g in groups:
+            same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        ranked = ranked.join(F.broadcast(firsts), same).withColumn("_pos", F.col("_pos") - F.col("_first") + 1)
+    ranked = ranked.withColumn(rank_col, F.col("_pos"))
+    if whole:
+        out = ranked.select(*kept, rank_col)
+    else:
+        names = {c: f"_k_{c}" for c in ("row_id", *groups)}
+        same = F.lit(True)
+        for c, k in names.items():
+            same = same & df[c].eqNullSafe(F.col(k))
+        keyed = ranked.select(*[F.col(c).alias(k) for c, k in names.items()], F.col(rank_col).alias("_rank"))
+        out = df.join(keyed, same).withColumn(rank_col, F.col("_rank")).drop(*names.values(), "_rank")
     return out.withColumn(total_col, F.lit(n).cast("long")) if total_col else out

@@ -41,6 +41,19 @@ def test_score_rank_descending_by_group(spark):
         assert {r: k for r, _, k in rows} == want
 
 
+def test_score_rank_with_other_columns(spark):
+    """NULL scores and groups, ids that groups share, and columns that stay out of the sort."""
+    rows = [(k % 50, "a" if k < 50 else None if k < 100 else "b", None if k % 3 == 0 else float(k * 7 % 11), f"text {k}") for k in range(150)]
+    df = spark.createDataFrame(rows, "row_id bigint, g string, s double, payload string").repartition(4)
+    ranked = ranking.score_rank(df, "s", by=["g"], rows_per_bucket=20)
+    got = {(r["g"], r["row_id"]): (r["rank"], r["payload"]) for r in ranked.collect()}
+    for g in ("a", "b", None):
+        order = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        assert [got[g, r[0]] for r in order] == [(i + 1, r[3]) for i, r in enumerate(order)]
+    text = ranked._jdf.queryExecution().toString()
+    assert not any("payload" in line for line in text.splitlines() if "rangepartitioning" in line.lower())
+
+
 def test_score_rank_of_nothing(spark):
     df = spark.createDataFrame([], "row_id bigint, s double")
     assert ranking.score_rank(df, "s", total_col="n").count() == 0
