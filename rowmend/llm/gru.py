@@ -131,14 +131,15 @@ def scores(p: dict, ids: np.ndarray, off: np.ndarray, n_lanes: int = 384, width:
     return total
 
 
-def _gradients(p: dict, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
+def _gradients(p: dict, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, real: np.ndarray, h: np.ndarray, of: int | None = None) -> tuple[dict, np.ndarray]:
+    """Of the mean loss over ``of`` words, or over those that are read here, and the last states."""
     states, kept = forward(p, x, fresh, h)
     g = {name: np.zeros_like(v) for name, v in p.items()}
     n_class, size = p["bo"].shape
     flat, yr = states[real], y[real]
     soft = np.exp(_log_softmax(flat @ p["wc"] + p["bc"]))
     soft[np.arange(len(yr)), np.minimum(yr // size, n_class)] -= 1
-    scale = np.float32(1 / max(1, len(yr)))
+    scale = np.float32(1 / max(1, of or len(yr)))
     soft *= scale
     g["wc"], g["bc"] = flat.T @ soft, soft.sum(axis=0)
     d_flat = soft @ p["wc"].T
@@ -171,13 +172,14 @@ def _gradients(p: dict, x: np.ndarray, fresh: np.ndarray, y: np.ndarray, real: n
     return g, states[-1]
 
 
-def train(p: dict, ids: np.ndarray, off: np.ndarray, memory: dict, rate: float = 0.03, n_lanes: int = 128, width: int = 16) -> dict:
+def train(p: dict, ids: np.ndarray, off: np.ndarray, memory: dict, rate: float = 0.1, n_lanes: int = 128, width: int = 16) -> dict:
     """Truncated backpropagation through time over the documents, with Adagrad steps."""
     s = Streams(ids, off, n_lanes)
     h = np.zeros((len(s.own), p["wh"].shape[0]), np.float32)
     for t, steps, live in s.windows(width):
         cut = (slice(t, t + steps), slice(0, live))
-        g, h = _gradients(p, s.inputs[cut], s.fresh[cut], s.targets[cut], s.doc[cut] >= 0, h[:live])
+        # where only a few long documents are left, a window counts by its words, not as a whole one
+        g, h = _gradients(p, s.inputs[cut], s.fresh[cut], s.targets[cut], s.doc[cut] >= 0, h[:live], width * len(s.own))
         for name, d in g.items():
             memory[name] += d * d
             p[name] = p[name] - np.float32(rate) * d / (np.sqrt(memory[name]) + np.float32(1e-4))

@@ -4,8 +4,7 @@ Word counts come from all training documents.  The ``classes * class_size`` most
 frequent words have weights of their own; the others are one class, in which
 their counts decide.  The model is trained in rounds: tasks start from the same
 weights, learn from the training documents of the round, and their weights are
-averaged, and kept if documents of another round become likelier.  Each training
-document is in one round.  So counts and training grow with the corpus, while the
+averaged.  Each training document is in one round, and what it teaches stays.  So counts and training grow with the corpus, while the
 weights and the table of ``known_words`` frequent words, which go to every task,
 stay as large as the parameters say.
 
@@ -191,40 +190,30 @@ def train(docs: DataFrame, table: Table, size: Size) -> dict[str, np.ndarray]:
                 total = total + np.frombuffer(value.as_py(), "<f4").astype(np.float64) * n
             return pa.table({"name": group.column("name")[:1], "value": pa.array([(total / seen.sum()).astype("<f4").tobytes()], pa.binary())})
 
-        # all tasks' weights meet in two steps, so that no group holds those of all
+        # a few tasks' weights meet at a time, so that no group holds those of all
         learned = docs.where(_round(size) == k).select("text").mapInArrow(run, "name string, value binary, seen long")
         rows = _average(learned, average).collect()  # as large as the model
         if rows:
             new = {r.name: np.frombuffer(r.value, "<f4") for r in rows}
-            tried = {n: new[n].reshape(p[n].shape).copy() for n in names}
-            if better(docs.where(_round(size) == (k + 1) % size.rounds).select("text"), table, p, tried, size):
-                p, memory = tried, {n: new[f"m:{n}"].reshape(p[n].shape).copy() for n in names}
+            p, memory = ({n: new[at + n].reshape(p[n].shape).copy() for n in names} for at in ("", "m:"))
     return p
 
 
-def better(docs: DataFrame, table: Table, old: dict, new: dict, size: Size) -> bool:
-    """Whether the documents are likelier with the new weights."""
-    held = docs.sparkSession.sparkContext.broadcast((vars(table), old, new))
+def _average(learned: DataFrame, average, fan: int = 8) -> DataFrame:
+    """Weights of all tasks, averaged ``fan`` at a time until one of each name is left."""
+    left = learned.withColumn("t", F.spark_partition_id())
+    tasks = learned.rdd.getNumPartitions()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields, old, new = held.value
-        table = Table(**fields)
-        texts = (x.as_py() for b in batches for x in b.column("text"))
-        for numbers, off, _ in _read(table, texts, size.task_words):
-            gain = gru.scores(new, table.model[numbers], off) - gru.scores(old, table.model[numbers], off)
-            yield pa.RecordBatch.from_arrays([pa.array([float(gain.sum())])], ["gain"])
-
-    return docs.mapInArrow(run, "gain double").agg(F.coalesce(F.sum("gain"), F.lit(0.0)).alias("g")).first().g > 0
-
-
-def _average(learned: DataFrame, average) -> DataFrame:
     def partly(group: pa.Table) -> pa.Table:
         out = average(group)
-        return out.append_column("seen", pa.array([int(sum(group.column("seen").to_pylist()))]))
-
-    spread = learned.withColumn("g", F.pmod(F.xxhash64("seen", F.substring("value", 1, 64)), F.lit(16)))
-    first = spread.groupBy("name", "g").applyInArrow(lambda t: partly(t), "name string, value binary, seen long")
-    return first.groupBy("name").applyInArrow(average, "name string, value binary")
+        t = pa.array([group.column("t")[0].as_py() // fan], pa.int32())
+        return out.append_column("seen", pa.array([int(sum(group.column("seen").to_pylist()))])).append_column("t", t)
+
+    while tasks > 1:
+        meet = left.withColumn("g", (F.col("t") / fan).cast("int"))
+        left = meet.groupBy("name", "g").applyInArrow(lambda t: partly(t), "name string, value binary, seen long, t int")
+        tasks = -(-tasks // fan)
+    return left.select("name", "value")
 
 
 def score(docs: DataFrame, size: Size = Size()) -> DataFrame:

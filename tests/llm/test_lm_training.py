@@ -2,6 +2,9 @@
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+
 from rowmend.llm import gru, lm
 
 
@@ -18,3 +21,64 @@ def test_rounds_cover_all_training_documents(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(gru, "train", seen)
     scored = lm.score(docs, lm.Size(classes=4, class_size=4, known_words=30, embed=4, hidden=4)).collect()
     assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == scored[0].train_tokens > 0
+
+
+def _model(rng):
+    n_class, size, hidden = 3, 4, 5
+    log_word = np.log(np.full((n_class, size), 1 / size))
+    p = gru.start(np.log(np.full(n_class + 1, 1 / (n_class + 1))), log_word, 3, hidden, seed=2)
+    return {k: (v + rng.normal(0, 0.3, v.shape)).astype(np.float64) for k, v in p.items()}
+
+
+def test_gradients_against_finite_differences():
+    rng = np.random.default_rng(3)
+    p = _model(rng)
+    steps, lanes = 4, 3
+    x, y = rng.integers(0, 13, (steps, lanes)), rng.integers(0, 13, (steps, lanes))
+    fresh, real = rng.random((steps, lanes)) < 0.3, rng.random((steps, lanes)) < 0.8
+    h = rng.normal(0, 1, (lanes, 5))
+
+    def loss(q):
+        out, state = np.zeros((steps, lanes, 5)), h
+        states, _ = gru.forward(q, x, fresh, h)
+        out[:] = states
+        return -gru.log_likelihood(q, states[real], y[real]).sum() / real.sum()
+
+    g, _ = gru._gradients(p, x, fresh, y, real, h)
+    for name, v in p.items():
+        flat = v.ravel()
+        for i in rng.choice(len(flat), min(6, len(flat)), replace=False):
+            up, down = ({**p, name: v.copy()} for _ in range(2))
+            up[name].ravel()[i] += 0.01
+            down[name].ravel()[i] -= 0.01
+            want = (loss(up) - loss(down)) / 0.02
+            assert abs(want - g[name].ravel()[i]) < 2e-3, name
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(4)
+    p = _model(rng)
+    states = rng.normal(0, 1, (6, 5))
+    words = [gru.log_likelihood(p, states, np.full(6, w)) for w in range(13)]  # twelve words and the rare class
+    assert np.allclose(np.exp(words).sum(axis=0), 1, atol=1e-5)
+
+
+def test_every_round_is_kept_and_all_tasks_count(spark, monkeypatch):
+    """The average over any number of tasks is the one that their numbers of words give."""
+    rows = [("w", float(k), k + 1) for k in range(20)]
+    parts = spark.createDataFrame(rows, "name string, v double, seen long").repartition(20)
+
+    def pack(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                value = np.array([r["v"]], "<f4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([r["name"]]), pa.array([value], pa.binary()), pa.array([r["seen"]])], ["name", "value", "seen"])
+
+    def average(group):
+        seen = group.column("seen").to_numpy().astype(float)
+        v = np.array([np.frombuffer(x.as_py(), "<f4")[0] for x in group.column("value")])
+        return pa.table({"name": group.column("name")[:1], "value": pa.array([np.array([(v * seen).sum() / seen.sum()], "<f4").tobytes()], pa.binary())})
+
+    got = lm._average(parts.mapInArrow(pack, "name string, value binary, seen long"), average, fan=3).collect()
+    want = sum(v * n for _, v, n in rows) / sum(n for *_, n in rows)
+    assert len(got) == 1 and abs(np.frombuffer(got[0].value, "<f4")[0] - want) < 1e-4
