@@ -63,7 +63,7 @@ def test_probabilities_sum_to_one():
     assert np.allclose(np.exp(words).sum(axis=0), 1, atol=1e-5)
 
 
-def test_every_round_is_kept_and_all_tasks_count(spark, monkeypatch):
+def test_averages_count_all_tasks(spark, monkeypatch):
     """The average over any number of tasks is the one that their numbers of words give."""
     rows = [("w", float(k), k + 1) for k in range(20)]
     parts = spark.createDataFrame(rows, "name string, v double, seen long").repartition(20)
