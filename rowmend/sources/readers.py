@@ -38,25 +38,51 @@ def number_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
-def _schema(names: str, ints: str) -> T.StructType:
-    whole = set(ints.split())
-    return T.StructType(
-        [T.StructField(n, T.IntegerType() if n in whole else T.StringType()) for n in names.split()]
-    )
-
-
 # Column names, integer columns, file names, label and group
 # values of the three supported public datasets.
-ADULT = _schema(
-    "age workclass fnlwgt education education_num marital_status occupation relationship race sex "
-    "capital_gain capital_loss hours_per_week native_country income",
-    "age fnlwgt education_num capital_gain capital_loss hours_per_week",
+ADULT = T.StructType(
+    [
+        T.StructField("age", T.IntegerType()),
+        T.StructField("workclass", T.StringType()),
+        T.StructField("fnlwgt", T.IntegerType()),
+        T.StructField("education", T.StringType()),
+        T.StructField("education_num", T.IntegerType()),
+        T.StructField("marital_status", T.StringType()),
+        T.StructField("occupation", T.StringType()),
+        T.StructField("relationship", T.StringType()),
+        T.StructField("race", T.StringType()),
+        T.StructField("sex", T.StringType()),
+        T.StructField("capital_gain", T.IntegerType()),
+        T.StructField("capital_loss", T.IntegerType()),
+        T.StructField("hours_per_week", T.IntegerType()),
+        T.StructField("native_country", T.StringType()),
+        T.StructField("income", T.StringType()),
+    ]
 )
-GERMAN = _schema(
-    "checking_status duration credit_history purpose credit_amount savings_status employment "
-    "installment_commitment personal_status other_parties residence_since property_magnitude age "
-    "other_payment_plans housing existing_credits job num_dependents own_telephone foreign_worker class",
-    "duration credit_amount installment_commitment residence_since age existing_credits num_dependents class",
+GERMAN = T.StructType(
+    [
+        T.StructField("checking_status", T.StringType()),
+        T.StructField("duration", T.IntegerType()),
+        T.StructField("credit_history", T.StringType()),
+        T.StructField("purpose", T.StringType()),
+        T.StructField("credit_amount", T.IntegerType()),
+        T.StructField("savings_status", T.StringType()),
+        T.StructField("employment", T.StringType()),
+        T.StructField("installment_commitment", T.IntegerType()),
+        T.StructField("personal_status", T.StringType()),
+        T.StructField("other_parties", T.StringType()),
+        T.StructField("residence_since", T.IntegerType()),
+        T.StructField("property_magnitude", T.StringType()),
+        T.StructField("age", T.IntegerType()),
+        T.StructField("other_payment_plans", T.StringType()),
+        T.StructField("housing", T.StringType()),
+        T.StructField("existing_credits", T.IntegerType()),
+        T.StructField("job", T.StringType()),
+        T.StructField("num_dependents", T.IntegerType()),
+        T.StructField("own_telephone", T.StringType()),
+        T.StructField("foreign_worker", T.StringType()),
+        T.StructField("class", T.IntegerType()),
+    ]
 )
 TITANIC = T.StructType(
     [
