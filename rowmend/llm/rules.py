@@ -1,17 +1,16 @@
 """Quality rules: counts of each text, two fixed limits, and an isolation forest.
 
 The forest's trees split the statistics of a few documents at random places;
-documents that few splits set apart have short paths and are anomalous.  The
-limit on the path length is calibrated on labelled rows.
-
-Trees and limit come from a bounded sample, the documents with the smallest
-hashes: at most ``labelled`` rows of each label, every second good one for the
-trees (without labels, as many of any documents); counts, paths and the range
-of the statistics cover every row and text.
+documents that few splits set apart have short paths and are anomalous.  Each
+tree draws its ``sample`` documents anew from all good ones (without labels,
+from all documents), as the method has it: at most half of them, and repeated
+rows stand for one.  The limit on the path length is the one that sets all
+labelled documents apart best, each judged by the trees that have not drawn it.
+Counts, paths and the range of the statistics cover every row and text.
 
 Nulls: a null text is an empty one; null ids are judged and never labelled.
 Repeated rows are judged alike.  Without labels of both kinds the limit keeps
-the share ``1 - contamination`` of the labelled (or sampled) rows.  An empty
+the share ``1 - contamination`` of the labelled rows, or of all.  An empty
 table gives an empty result.
 """
 
@@ -22,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowmend.core import stable
@@ -132,28 +131,51 @@ def ratios(t: dict[str, np.ndarray]) -> np.ndarray:
 
 
 @dataclass
-class Forest:
-    """Trees as arrays of nodes: feature (-1: a leaf), cut, left child, and the depth a leaf stands for."""
+class Tree:
+    """Arrays of nodes: feature (-1: a leaf), cut, left child, and the depth a leaf stands for."""
 
-    feature: list[np.ndarray]
-    cut: list[np.ndarray]
-    child: list[np.ndarray]
-    depth: list[np.ndarray]
+    feature: np.ndarray
+    cut: np.ndarray
+    child: np.ndarray
+    depth: np.ndarray
 
     def path(self, x: np.ndarray) -> np.ndarray:
-        """Mean path length of each row."""
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
-        for f, cut, child, depth in zip(self.feature, self.cut, self.child, self.depth):
-            node = np.zeros(len(x), np.int64)
-            while True:
-                inner = f[node] >= 0
-                if not inner.any():
-                    break
-                at = node[inner]
-                node[inner] = child[at] + (x[rows[inner], f[at]] >= cut[at])
-            total += depth[node]
-        return total / max(1, len(self.feature))
+        """Path length of each row."""
+        rows, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        while True:
+            inner = self.feature[node] >= 0
+            if not inner.any():
+                return self.depth[node]
+            at = node[inner]
+            node[inner] = self.child[at] + (x[rows[inner], self.feature[at]] >= self.cut[at])
+
+
+@dataclass
+class Forest:
+    """Trees, and of each its number and the last key that it has drawn."""
+
+    trees: list[Tree]
+    number: list[int]
+    last: list[int]
+
+    def path(self, x: np.ndarray, key: np.ndarray | None = None, drawn_from: np.ndarray | None = None) -> np.ndarray:
+        """Mean path length of each row; of rows with ``drawn_from``, in the trees that have not
+        drawn them, if there are any."""
+        total, total_out, n_out = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+        for tree, k, last in zip(self.trees, self.number, self.last):
+            length = tree.path(x)
+            total += length
+            if key is not None:
+                out = ~(drawn_from & (tree_key(key, k) <= np.uint64(last)))
+                total_out += np.where(out, length, 0.0)
+                n_out += out
+        total /= max(1, len(self.trees))
+        return np.where((n_out > 0) & (n_out < len(self.trees)), total_out / np.maximum(n_out, 1), total)
+
+
+def tree_key(key: np.ndarray, tree: int) -> np.ndarray:
+    """The order in which a tree draws rows."""
+    return mix(key + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2**64))
 
 
 def expected_depth(n: int) -> float:
@@ -161,46 +183,104 @@ def expected_depth(n: int) -> float:
     return 0.0 if n < 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
-    """Trees over rows ``x``, cut anywhere in the box from ``low`` to ``high`` that all
-    documents fill: so where none of the rows lie, paths end early."""
-    rng, out = np.random.default_rng(seed), Forest([], [], [], [])
-    most = 2 * int(np.ceil(np.log2(max(2, min(sample, len(x))))))
-    for _ in range(trees if len(x) else 0):
-        own = x[rng.permutation(len(x))[:sample]]
-        feature, cut, child, depth, todo = [-1], [0.0], [0], [0.0], [(0, own, low, high, 0)]
-        while todo:
-            at, rows, lo, hi, level = todo.pop()
-            able = np.flatnonzero(hi > lo)
-            if level >= most or len(rows) < 2 or not len(able):
-                depth[at] = level + expected_depth(len(rows))
-                continue
-            f = int(rng.choice(able))
-            where = float(rng.uniform(lo[f], hi[f]))
-            right = rows[:, f] >= where
-            feature[at], cut[at], child[at] = f, where, len(feature)
-            for side, name in ((~right, "hi"), (right, "lo")):
-                box = {"lo": lo.copy(), "hi": hi.copy()}
-                box[name][f] = where
-                todo.append((len(feature), rows[side], box["lo"], box["hi"], level + 1))
-                feature.append(-1), cut.append(0.0), child.append(0), depth.append(0.0)
-        for name, values in (("feature", feature), ("cut", cut), ("child", child), ("depth", depth)):
-            getattr(out, name).append(np.array(values))
-    return out
-
-
-def _limit(path: np.ndarray, good: np.ndarray, keep: float, contamination: float) -> float:
-    """The path length below which a document goes: what sets the labels apart best
-    (share of bad that goes less share of good that goes), if ``keep`` of the good stay."""
-    if not len(path):
+def grow(own: np.ndarray, low: np.ndarray, high: np.ndarray, seed: list[int]) -> Tree:
+    """A tree over the rows it has drawn, cut anywhere in the box from ``low`` to ``high`` that
+    all documents fill: so where none of the rows lie, paths end early."""
+    rng = np.random.default_rng(seed)
+    most = 2 * int(np.ceil(np.log2(max(2, len(own)))))
+    feature, cut, child, depth, todo = [-1], [0.0], [0], [0.0], [(0, own, low, high, 0)]
+    while todo:
+        at, rows, lo, hi, level = todo.pop()
+        able = np.flatnonzero(hi > lo)
+        if level >= most or len(rows) < 2 or not len(able):
+            depth[at] = level + expected_depth(len(rows))
+            continue
+        f = int(rng.choice(able))
+        where = float(rng.uniform(lo[f], hi[f]))
+        right = rows[:, f] >= where
+        feature[at], cut[at], child[at] = f, where, len(feature)
+        for side, name in ((~right, "hi"), (right, "lo")):
+            box = {"lo": lo.copy(), "hi": hi.copy()}
+            box[name][f] = where
+            todo.append((len(feature), rows[side], box["lo"], box["hi"], level + 1))
+            feature.append(-1), cut.append(0.0), child.append(0), depth.append(0.0)
+    return Tree(np.array(feature), np.array(cut), np.array(child), np.array(depth))
+
+
+def _features(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return ratios({c: batch.column(c).to_numpy() for c in COUNTS + MORE})
+
+
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("key").to_numpy().astype(np.int64).view(np.uint64)
+
+
+def forest(good: DataFrame, low: np.ndarray, high: np.ndarray, trees: int, sample: int, seed: int) -> Forest:
+    """Trees that draw from all rows of ``good`` (key, COUNTS, MORE; no key twice), each in a task of its own."""
+    n = good.count()
+    want = min(sample, (n + 1) // 2)
+    # somewhat more than wanted of each tree's smallest keys; the tree takes the smallest of them
+    share = min(1.0, (want + 8 * want**0.5 + 20) / max(1, n))
+    below = np.uint64(min(2**64 - 1, int(share * 2**64)))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(trees if batch.num_rows else 0):
+                key = tree_key(_keys(batch), k)
+                at = np.flatnonzero(key <= below)
+                if len(at):
+                    values = batch.select(COUNTS + MORE).take(pa.array(at))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), k, np.int32)), pa.array(key[at].view(np.int64)), *values.columns], ["tree", "key", *COUNTS, *MORE]
+                    )
+
+    def grown(group: pa.Table) -> pa.Table:
+        key, k = _keys(group), group.column("tree")[0].as_py()
+        first = np.argsort(key)[:want]
+        t = grow(_features(group)[first], low, high, [seed, k])
+        return pa.table({
+            "tree": pa.array([k], pa.int32()), "last": pa.array([int(key[first[-1]].view(np.int64))]), "feature": [t.feature.tolist()],
+            "cut": [t.cut.tolist()], "child": [t.child.tolist()], "depth": [t.depth.tolist()],
+        })
+
+    longs = ", ".join(f"{c} long" for c in COUNTS + MORE)
+    drawn = good.select("key", *COUNTS, *MORE).mapInArrow(draw, f"tree int, key long, {longs}")
+    shape = "tree int, last long, feature array<long>, cut array<double>, child array<long>, depth array<double>"
+    rows = sorted(drawn.groupBy("tree").applyInArrow(grown, shape).collect())  # as large as the parameters say
+    return Forest(
+        [Tree(np.array(r.feature, np.int64), np.array(r.cut), np.array(r.child, np.int64), np.array(r.depth)) for r in rows],
+        [r.tree for r in rows], [r.last % 2**64 for r in rows],
+    )
+
+
+def path_limit(tried: DataFrame, keep: float, contamination: float) -> float:
+    """The path length below which a document goes, over all rows of ``tried`` (path, good): what sets
+    the labels apart best (share of bad that goes less share of good that goes), if ``keep`` of the
+    good stay; with one label only, the quantile ``contamination``."""
+    each = tried.groupBy("path").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
+    # ranges of paths, whose sums give what lies before each
+    each = stable(each.repartitionByRange("path").withColumn("part", F.spark_partition_id()))
+    sums = each.groupBy("part").agg(F.sum("n_good").alias("g"), F.sum("n_bad").alias("b")).orderBy("part").collect()
+    n_good, n_bad = sum(r.g for r in sums), sum(r.b for r in sums)
+    if not n_good + n_bad:
         return -np.inf
-    if good.all() or not good.any():
-        return float(np.quantile(path, contamination))
-    at = np.unique(path)
-    gone_good = np.searchsorted(np.sort(path[good]), at) / good.sum()
-    gone_bad = np.searchsorted(np.sort(path[~good]), at) / (~good).sum()
-    value = np.where(gone_good <= 1 - keep, gone_bad - gone_good, -1.0)
-    return float(at[len(at) - 1 - int(np.argmax(value[::-1]))])  # the last of equals
+    start, g, b = [], 0, 0
+    for r in sums:
+        start.append((r.part, g, b))
+        g, b = g + r.g, b + r.b
+    start = F.broadcast(each.sparkSession.createDataFrame(start, "part int, g long, b long"))
+    earlier = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda n, at: F.col(at) + F.coalesce(F.sum(n).over(earlier), F.lit(0))
+    each = each.join(start, "part").select("path", "n_good", "n_bad", before("n_good", "g").alias("gone_good"), before("n_bad", "b").alias("gone_bad"))
+    if not (n_good and n_bad):
+        place = contamination * (n_good + n_bad - 1)
+        low, high = (
+            each.where((F.col("gone_good") + F.col("gone_bad") <= k) & (F.col("gone_good") + F.col("gone_bad") + F.col("n_good") + F.col("n_bad") > k)).first().path
+            for k in (int(np.floor(place)), int(np.ceil(place)))
+        )
+        return low + (high - low) * (place - np.floor(place))
+    value = F.col("gone_bad") / n_bad - F.col("gone_good") / n_good
+    return each.where(F.col("gone_good") / n_good <= 1 - keep).select("path", value.alias("v")).orderBy(F.desc("v"), F.desc("path")).first().path
 
 
 def judge(
@@ -210,7 +290,6 @@ def judge(
     max_repeat: int = 20,
     trees: int = 150,
     sample: int = 256,
-    labelled: int = 4000,
     keep: float = 0.99,
     contamination: float = 0.05,
     seed: int = 11,
@@ -218,38 +297,37 @@ def judge(
     """doc_id, COUNTS, base_failed, path (mean path length) and kept of every document."""
     stats = stable(statistics(docs))
     base_failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
+    passed = stats.where(~base_failed).withColumn("key", F.xxhash64("doc_id", *COUNTS, *MORE))
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("k")).agg(F.min("quality").alias("quality"))
-    picked = stats.join(known, F.col("doc_id") == F.col("k")).where(~base_failed)
-    order = (F.xxhash64("doc_id"), "doc_id", *COUNTS)
-    rows = [r for q in (0, 1) for r in picked.where(F.col("quality") == q).orderBy(*order).limit(labelled).collect()]
-    good = [r for r in rows if r.quality == 1]
-    if not good:
-        rows = good = stats.where(~base_failed).withColumn("quality", F.lit(1)).orderBy(*order).limit(labelled).collect()
-
-    def columns(some: list) -> dict[str, np.ndarray]:
-        return {c: np.array([r[c] for r in some], np.int64) for c in COUNTS + MORE}
+    picked = passed.join(known, F.col("doc_id") == F.col("k")).select("key", *COUNTS, *MORE, (F.col("quality") == 1).alias("good"))
+    if not picked.where("good").limit(1).count():
+        picked = passed.select("key", *COUNTS, *MORE, F.lit(True).alias("good"))
+    picked = stable(picked)
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = ratios({c: batch.column(c).to_numpy() for c in COUNTS + MORE})
+                x = _features(batch)
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.stack([x.min(axis=0), x.max(axis=0)]).T.copy()], RATIOS)
 
-    span = stats.where(~base_failed).select(*COUNTS, *MORE).mapInArrow(extremes, ", ".join(f"{c} double" for c in RATIOS))
+    span = passed.select(*COUNTS, *MORE).mapInArrow(extremes, ", ".join(f"{c} double" for c in RATIOS))
     box = span.agg(*[F.min(c).alias(f"lo_{c}") for c in RATIOS], *[F.max(c).alias(f"hi_{c}") for c in RATIOS]).first()
     low, high = (np.array([box[f"{side}_{c}"] for c in RATIOS], float) for side in ("lo", "hi"))
-    used = good[::2]
-    forest = grow(ratios(columns(used)), low, high, trees, sample, seed) if used else Forest([], [], [], [])
-    rest = good[1::2] + [r for r in rows if r.quality == 0]
-    tried = forest.path(ratios(columns(rest))) if rest else np.zeros(0)
-    limit = _limit(tried, np.array([r.quality == 1 for r in rest], bool), keep, contamination)
+    grown = forest(picked.where("good").dropDuplicates(["key"]), low, high, trees, sample, seed)
+
+    def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = batch.column("good").to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(grown.path(_features(batch), _keys(batch), good)), batch.column("good")], ["path", "good"])
+
+    limit = path_limit(picked.mapInArrow(tried, "path double, good boolean"), keep, contamination)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = ratios({c: batch.column(c).to_numpy() for c in COUNTS + MORE})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(c) for c in ["doc_id", *COUNTS]] + [pa.array(forest.path(x))], ["doc_id", *COUNTS, "path"]
+                    [batch.column(c) for c in ["doc_id", *COUNTS]] + [pa.array(grown.path(_features(batch)))], ["doc_id", *COUNTS, "path"]
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
