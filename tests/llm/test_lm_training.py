@@ -82,3 +82,38 @@ def test_averages_count_all_tasks(spark, monkeypatch):
     got = lm._average(parts.mapInArrow(pack, "name string, value binary, seen long"), average, fan=3).collect()
     want = sum(v * n for _, v, n in rows) / sum(n for *_, n in rows)
     assert len(got) == 1 and abs(np.frombuffer(got[0].value, "<f4")[0] - want) < 1e-4
+
+
+def test_texts_are_read_twice(spark, tmp_path, monkeypatch):
+    """Once for the counts and once for the numbers that training and scoring share."""
+    rows = [(k, f"alpha beta w{k % 7} " * (1 + k % 5)) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    folder, words = str(tmp_path), lm._words
+
+    def seen(texts):
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(texts) if hasattr(texts, "__len__") and not isinstance(texts, str) else 1))
+        return words(texts)
+
+    monkeypatch.setattr(lm, "_words", seen)
+    scored = lm.score(docs, lm.Size(classes=4, class_size=4, known_words=30, embed=4, hidden=4)).collect()
+    training = sum(not r.held_out for r in scored)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == training + len(rows)
+
+
+def test_told_words_are_those_of_the_weights_before():
+    rng = np.random.default_rng(6)
+    p = {k: v.astype(np.float32) for k, v in _model(rng).items()}
+    ids, off = rng.integers(0, 13, 40), np.array([0, 15, 16, 40])
+    memory = {**{k: np.full_like(v, 1e-6) for k, v in p.items()}, "told": np.zeros(1)}
+    want = gru.scores(p, ids, off).sum()
+    gru.train(dict(p), ids, off, memory, rate=0.0)
+    assert abs(memory["told"][0] - want) < 1e-3
+
+
+def test_words_are_cut_at_ascii_blanks_only():
+    texts = [None, "", " ", "\x0b\x0c", "a", "é x  y\x85z\x1c\x1f\x00q", "ÀÉ aB\tCd\r\n\x0bE ", "　 K"]
+    words, n = lm._words(pa.array(texts))
+    want = [(t or "").encode().lower().split() for t in texts]
+    assert n.tolist() == [len(w) for w in want]
+    assert [w.encode() for w in words.to_pylist()] == [x for w in want for x in w]
