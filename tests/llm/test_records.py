@@ -1,5 +1,6 @@
 """Binary records against the tokenizer itself, and their frames against the format."""
 
+import json
 import os
 import random
 import struct
@@ -121,3 +122,30 @@ def test_whole_table(spark):
     want = {i: (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in brute([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])}
     got = records.round_trip(docs.withColumn("record", F.lit(1)), PATH)
     assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in got.collect()} == want
+
+
+def test_words_with_marks_by_the_model(monkeypatch):
+    """Words of letters and marks skip the pattern, with the ids that the whole tokenizer gives."""
+    with open(PATH, encoding="utf-8") as f:
+        vocabulary = f.read()
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abehinortABÉÀÖØöøÿíß") for _ in range(rng.randrange(1, 12))) + "".join(rng.choice("".join(records.MARKS) + "'9") for _ in range(rng.choice([0, 0, 0, 1, 1, 2, 4]))) for _ in range(3000)]
+    texts = ["".join(rng.choice([w + " ", w + "\n", w, w + " "]) for w in rng.sample(words, 40)) for _ in range(200)] + ["a<|endoftext|> b", "<|endoftext|>"]
+    t, ids = Tokenizer.from_file(PATH), records.Ids(vocabulary, True)
+    through: list[str] = []
+    whole = records.Ids._learn_any
+    monkeypatch.setattr(records.Ids, "_learn_any", lambda self, entries: through.extend(entries) or whole(self, entries))
+    got, n = ids.of(texts)
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert n.tolist() == [len(x) for x in want] and got.tolist() == [i for x in want for i in x]
+    assert not any(e.strip("\x01\n" + records.MARKS).isascii() and e.strip("\x01\n").rstrip(records.MARKS).isalpha() for e in through if e.isascii())
+
+
+def test_added_words_go_through_the_whole_tokenizer():
+    with open(PATH, encoding="utf-8") as f:
+        config = json.load(f)
+    assert records.Ids(json.dumps(config), False).by_model
+    config["added_tokens"].append({**config["added_tokens"][0], "id": 50257, "content": "there", "special": False})
+    t = Tokenizer.from_str(json.dumps(config))
+    ids = records.Ids(json.dumps(config), True)
+    assert not ids.by_model and ids.of(["over there, there"])[0].tolist() == t.encode("over there, there").ids
