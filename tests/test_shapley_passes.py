@@ -21,7 +21,7 @@ SCHEMA = "row_id bigint, y int, protected boolean, pred int, a double, b double,
 
 
 @pytest.mark.parametrize("steps", [None, 128])
-@pytest.mark.parametrize("splits", [20_000_000, 300])
+@pytest.mark.parametrize("splits", [32_000_000, 300])
 def test_utilities_of_one_pass(spark, monkeypatch, steps, splits):
     monkeypatch.setattr(shapley, "SPLIT_VALUES", splits)
     train = frame(spark, rows_of(90, 1), SCHEMA)
